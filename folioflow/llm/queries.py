@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import exact_dedup
+from folioflow.llm import bpe, exact_dedup, packing, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.query,
+        "op7_byte_bpe": bpe.query,
+        "op8_warc": warc.query,
+        "op10_packing": packing.query,
     }
 
 
