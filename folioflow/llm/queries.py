@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import bpe, exact_dedup, packing, warc
+from folioflow.llm import bpe, exact_dedup, html_extract, packing, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.query,
+        "op4_html_extract": html_extract.query,
         "op7_byte_bpe": bpe.query,
         "op8_warc": warc.query,
+        "op9_url_filter": url_filter.query,
         "op10_packing": packing.query,
     }
 
