@@ -27,8 +27,8 @@ def ties(buckets: DataFrame, keys: list[str]) -> DataFrame:
     """
     scratch = Scratch(buckets.sparkSession, "ties")
     buckets = scratch.put(buckets, "buckets")
-    first = buckets.groupBy(*keys).agg(F.min(F.when(F.col("holds"), F.col("item"))).alias("b"), F.min("item").alias("low"), F.max("item").alias("high"))
-    first = scratch.put(first.where("b is not null and low < high").drop("low", "high"), "first")
+    first = buckets.groupBy(*keys).agg(F.min(F.when(F.col("holds"), F.col("item"))).alias("b"), F.min("item").alias("__low"), F.max("item").alias("__high"))
+    first = scratch.put(first.where("b is not null and __low < __high").drop("__low", "__high"), "first")
     return buckets.join(first, keys).where("item <> b").select(F.col("item").alias("a"), "b").distinct()
 
 

@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import bpe, embedding_dedup, exact_dedup, html_extract, jaccard_join, packing, url_filter, warc
+from folioflow.llm import bpe, embedding_dedup, exact_dedup, html_extract, jaccard_join, line_dedup, packing, quality, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.query,
         "op2_embedding_dedup": embedding_dedup.query,
+        "op3_line_dedup": line_dedup.query,
         "op4_html_extract": html_extract.query,
+        "op5_quality": quality.query,
         "op6_ngram_jaccard_join": jaccard_join.query,
         "op7_byte_bpe": bpe.query,
         "op8_warc": warc.query,
