@@ -26,7 +26,7 @@ TRIGRAMS = 256
 CLASSES = 10
 WIDTH = TRIGRAMS + CLASSES + 2
 #: A passage of this many bytes counts half; the encoding of a shorter one is drawn further towards the mean.
-HALF = 128
+HALF = 400
 #: Bytes encoded at a time.
 STEP = 4 << 20
 
@@ -130,7 +130,7 @@ class Model:
         return scored(text)
 
 
-def train(x: np.ndarray, counts: np.ndarray, labels: np.ndarray, hidden: int = 32, attention: int = 16, epochs: int = 30, batch: int = 128, rate: float = 0.01, decay: float = 1e-4) -> Model:
+def train(x: np.ndarray, counts: np.ndarray, labels: np.ndarray, hidden: int = 32, attention: int = 16, epochs: int = 30, batch: int = 128, rate: float = 0.01, decay: float = 1e-3) -> Model:
     """Adam on the cross-entropy of documents; seeded, so that equal samples give equal models."""
     share = float(labels.mean()) if len(labels) else 0.5
     if share in (0.0, 1.0) or not len(labels):
