@@ -1,0 +1 @@
+"""Operators over page and document tables."""
