@@ -57,7 +57,8 @@ def token_estimate(c: Column) -> Column:
 
 def confidence(reply: Column) -> Column:
     """A number between 0 and 1; 0.5 for what is none."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), reply.try_cast("double"))), F.lit(0.5))
+    number = reply.try_cast("double")  # greatest and least pass over nulls
+    return F.when(number.isNull(), F.lit(0.5)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
 
 
 def is_blank(c: Column) -> Column:
@@ -107,7 +108,7 @@ def data_url(image: Column, kind: str = "image/jpeg") -> Column:
     return F.concat(F.lit(f"data:{kind};base64,"), F.regexp_replace(F.base64(image), r"\s", ""))
 
 
-def template(text: str, **values: Column) -> Column:
+def template(text: str, /, **values: Column) -> Column:
     """A template with {name} slots filled by columns."""
     out = F.lit(text)
     for name, value in values.items():

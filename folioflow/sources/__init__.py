@@ -1,0 +1 @@
+"""Readers of source documents, page images, page files and caches."""
