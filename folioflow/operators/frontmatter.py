@@ -85,8 +85,7 @@ def parse_yaml(header: Column) -> Column:
                 else:
                     row[n] = None if row[n] is None else str(row[n])
             rows.append(row)
-        out = pd.DataFrame(rows, columns=names)
-        return out.astype({"page": "Int32", "retry_attempts": "Int32"})
+        return pd.DataFrame({n: pd.Series([r[n] for r in rows], dtype=object) for n in names})
 
     return parse(header)
 

@@ -67,7 +67,8 @@ def render(docs: DataFrame, renderer: Callable[[bytes], list[bytes]] = text_page
                     pages = renderer(bytes(content)) if content is not None else []
                 except Exception:  # noqa: BLE001  the document is reported as failed
                     pages = []
-                yield pd.DataFrame({"doc_stem": [stem] * len(pages), "page_number": range(1, len(pages) + 1), "image": pages})
+                if pages:
+                    yield pd.DataFrame({"doc_stem": [stem] * len(pages), "page_number": range(1, len(pages) + 1), "image": pages})
 
     return docs.select("doc_stem", "content").mapInPandas(work, schemas.PAGE_IMAGE)
 

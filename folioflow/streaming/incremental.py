@@ -16,7 +16,7 @@ from folioflow.functions.text import file_stem
 
 def arrivals(spark: SparkSession, folder: str, pattern: str = r".*\.pdf") -> DataFrame:
     """(path, file_name, doc_stem, content) as a stream."""
-    raw = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdf").load(folder)
+    raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdf").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     return raw.select("path", name.alias("file_name"), file_stem(name).alias("doc_stem"), "content").where(name.rlike(f"^(?:{pattern})"))
 
