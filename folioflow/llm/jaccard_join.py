@@ -145,7 +145,8 @@ def join(docs: DataFrame, similarity: float = 0.8, trees: int = 20, longest: int
     # Whole texts travel for members of groups only, once, and again for each pair of blocks of a large group.
     members = scratch.put(members, "members")
     wanted = members.select(F.col("id").alias("its_id"), F.col("text_key").alias("its_key"), "item", "root", "weight", "size")
-    texts = source.join(wanted, source["id"].eqNullSafe(F.col("its_id")) & (F.col("text_key") == F.col("its_key"))).select("item", "root", "weight", "size", "text").dropDuplicates(["item"])
+    # Their number grows with the documents, so that no size of the input has them broadcast.
+    texts = source.join(wanted.hint("merge"), source["id"].eqNullSafe(F.col("its_id")) & (F.col("text_key") == F.col("its_key"))).select("item", "root", "weight", "size", "text").dropDuplicates(["item"])
     rows = linking.blocked(texts, 512, 250_000)
     found = linking.verify(
         rows.select("root", "part", "side", "item", "weight", "text"),
@@ -171,9 +172,9 @@ def join(docs: DataFrame, similarity: float = 0.8, trees: int = 20, longest: int
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the documents that ``join`` does not keep; all columns stay, of a repeated row one."""
-    kept = join(docs, id_col=id_col, text_col=text_col, **options).where("kept").select(F.col(id_col).alias("its_id"), F.col("text_key").alias("its_key"))
+    kept = join(docs, id_col=id_col, text_col=text_col, **options).where("kept").select(F.col(id_col).alias("__its_id"), F.col("text_key").alias("__its_key"))
     key = F.md5(text_or_empty(docs[text_col]).cast("binary"))
-    found = docs.withColumn("__text_key", key).join(kept, docs[id_col].eqNullSafe(F.col("its_id")) & (F.col("__text_key") == F.col("its_key")), "left_semi")
+    found = docs.withColumn("__text_key", key).join(kept.hint("merge"), docs[id_col].eqNullSafe(F.col("__its_id")) & (F.col("__text_key") == F.col("__its_key")), "left_semi")
     return found.dropDuplicates([id_col, "__text_key"]).drop("__text_key")
 
 
