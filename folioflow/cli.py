@@ -5,8 +5,10 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+from functools import partial
 
 from folioflow.config import Profile, Settings, list_profiles, read_env
+from folioflow.operators.http_provider import HttpProvider
 from folioflow.plans.pipeline import Job, Pipeline
 from folioflow.prompts import patient_context
 from folioflow.sinks.logs import set_up
@@ -36,6 +38,8 @@ def run_profile(spark, profile: Profile, args: argparse.Namespace, env: dict[str
         print(f"profile {profile.name} has no input_path or no output_path", file=sys.stderr)
         return False
     settings = Settings.from_env(env).overridden(profile, args.model, args.workers, args.dry_run)
+    if provider is None:
+        provider = partial(HttpProvider, settings)
     pattern = args.pattern or profile.input_file_regex or env.get("INPUT_FILE_REGEX") or r".*\.pdf"
     job = Job(
         profile.input_path, profile.output_path, provider, pattern=pattern, n_extractions=settings.n_extractions, max_input_tokens=settings.max_input_tokens,
@@ -53,6 +57,8 @@ def run_profile(spark, profile: Profile, args: argparse.Namespace, env: dict[str
         if args.regenerate:
             for row in pipeline.frontmatter_issues().toLocalIterator():
                 log.error("%s: %s %s", row["file_name"], row["issue"], list(row["missing"]))
+            for row in pipeline.odd_categories().toLocalIterator():
+                log.warning("%s: category %s", row["file_name"], row["category"])
         return True
     report = pipeline.process(args.reprocess_all, args.document, args.page)
     for row in report.status.toLocalIterator():
@@ -71,8 +77,6 @@ def main(argv: list[str] | None = None, provider=None, spark=None) -> int:
     if args.page is not None and not args.document:
         print("--page needs --document", file=sys.stderr)
         return 2
-    if provider is None:
-        from folioflow.operators.providers import StubProvider as provider
     if spark is None:
         from pyspark.sql import SparkSession
 

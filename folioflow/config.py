@@ -87,7 +87,7 @@ class Settings:
             validation_model=env.get("VALIDATION_MODEL_ID") or extract,
             self_consistency_model=env["SELF_CONSISTENCY_MODEL_ID"],
             api_key=env["OPENROUTER_API_KEY"],
-            base_url=resolve_base_url(env.get("OPENROUTER_BASE_URL", ""), any(map(os.path.exists, ("/.dockerenv", "/run/.containerenv")))),
+            base_url=resolve_base_url(env.get("OPENROUTER_BASE_URL") or "https://openrouter.ai/api/v1", any(map(os.path.exists, ("/.dockerenv", "/run/.containerenv")))),
             n_extractions=int(env.get("N_EXTRACTIONS") or 1),
             max_workers=max(1, _int(env.get("MAX_WORKERS"), 1)),
             max_input_tokens=int(env.get("SUMMARIZE_MAX_INPUT_TOKENS") or 100_000),

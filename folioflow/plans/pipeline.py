@@ -77,7 +77,20 @@ class Pipeline:
         found = files.manifest(self.spark, self.job.input_path, self.job.pattern)
         if document:
             return records.select_one(found, document)
-        return found if reprocess_all else records.unprocessed(found, self.outputs().where("kind = 'page'"))
+        return found if reprocess_all else records.unprocessed(found, self.done())
+
+    def done(self) -> DataFrame:
+        """Documents that need no run: with a page for each image, or found to be no exam before. Partial and failed ones are taken again."""
+        out = self.outputs()
+        images, pages = out.where("kind = 'image'"), out.where("kind = 'page'")
+        whole = pages.select("doc_stem").distinct().join(checks.incomplete(images, pages).select("doc_stem"), "doc_stem", "left_anti")
+        if files.listing(self.spark, self.status_path).where("file_name like '%.parquet'").isEmpty():
+            return whole
+        return whole.unionByName(self.spark.read.schema(schemas.STATUS).parquet(self.status_path).where("status = 'skipped'").select("doc_stem"))
+
+    @property
+    def status_path(self) -> str:
+        return f"{self.job.output_path}/logs/document_status"
 
     def dry_run(self, **which) -> DataFrame:
         """(doc_stem, pages): what a run would render; nothing is written and no model called."""
@@ -146,8 +159,11 @@ class Pipeline:
         self.write_summaries(full)
         done = rows.groupBy("doc_stem").agg(F.count(F.lit(1)).cast("int").alias("pages"))
         status = docs.select("doc_stem").join(done, "doc_stem", "left").join(skipped.select("doc_stem", F.lit(True).alias("skipped")), "doc_stem", "left").join(rendered.select("doc_stem", F.lit(True).alias("rendered")), "doc_stem", "left")
-        kind = F.when(F.col("skipped"), "skipped").when(F.col("rendered").isNull(), "failed").otherwise("processed")
+        expected = wanted.groupBy("doc_stem").agg(F.count(F.lit(1)).alias("expected"))
+        status = status.join(expected, "doc_stem", "left")
+        kind = F.when(F.col("skipped"), "skipped").when(F.col("rendered").isNull(), "failed").when(F.coalesce("pages", F.lit(0)) < F.col("expected"), "partial").otherwise("processed")
         status = self.stage(status.select("doc_stem", kind.alias("status"), F.coalesce("pages", F.lit(0)).alias("pages")), "status")
+        status.write.mode("append").parquet(self.status_path)
         return Report(checks.roll_up(status), self.issues(docs.join(exams.select("doc_stem"), "doc_stem", "left_semi")), status)
 
     def write_summaries(self, rows: DataFrame) -> DataFrame:
@@ -173,5 +189,8 @@ class Pipeline:
         found = self.outputs()
         return checks.reconcile(docs, found.where("kind = 'image'"), found.where("kind = 'page'"), found.where("kind = 'summary'"))
 
+    def odd_categories(self) -> DataFrame:
+        return checks.odd_categories(files.read_markdown(self.spark, self.outputs().where("kind in ('page', 'summary')")))
+
     def frontmatter_issues(self) -> DataFrame:
         return checks.frontmatter_issues(files.read_markdown(self.spark, self.outputs().where("kind in ('page', 'summary')")))
