@@ -182,3 +182,16 @@ def dedup(
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "embeddings"))
+
+
+#: All pairs and their closure; for small tables.
+ORACLE_SQL = """
+with recursive v as (
+  select vec_id, label, embedding::double[] as x from embeddings
+  where label is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0 and len(list_filter(embedding, lambda c: c <> 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.x) = len(b.x) where list_cosine_similarity(a.x, b.x) >= 0.93),
+reach as (select vec_id, vec_id as other from embeddings union select reach.vec_id, links.b from reach join links on reach.other = links.a),
+least_of as (select vec_id, min(other) as component_id from reach group by all),
+n as (select a as vec_id, count(*) as n_links from links group by all)
+select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component_id as kept from least_of left join n using (vec_id)
+"""

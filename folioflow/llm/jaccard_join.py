@@ -180,3 +180,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+#: Shared shingles of all pairs and the closure of their links; for small tables.
+ORACLE_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') as words from documents),
+s as (select distinct doc_id, unnest(case when len(words) = 0 then [] when len(words) < 5 then [array_to_string(words, ' ')] else list_transform(range(1, len(words) - 3), lambda k: array_to_string(words[k:k + 4], ' ')) end) as shingle from w),
+n as (select doc_id, count(*) as n_shingles from s group by all),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as n from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by all),
+links as (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 10 * n >= 8 * (x.n_shingles + y.n_shingles - n)),
+reach as (select doc_id, doc_id as other from documents union select reach.doc_id, links.b from reach join links on reach.other = links.a),
+classes as (select doc_id, min(other) as class_id from reach group by all),
+degree as (select a as doc_id, count(*) as n_links from links group by all)
+select c.doc_id, class_id, coalesce(n_links, 0) as n_links, count(*) over (partition by class_id) as group_size, c.doc_id = class_id as kept, coalesce(n_shingles, 0) as n_shingles
+from classes c left join degree using (doc_id) left join n using (doc_id)
+"""

@@ -27,4 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op2_embedding_dedup": embedding_dedup.ORACLE_SQL,
+        "op6_ngram_jaccard_join": jaccard_join.ORACLE_SQL,
+        "op8_warc": warc.ORACLE_SQL,
     }

@@ -303,3 +303,17 @@ def archive_round_trip(pages: DataFrame, min_bytes: int = 0, keep_payload: bool
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+#: Base32 of the hex digest: each five hex digits are four letters.
+ORACLE_SQL = """
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as hex from pages),
+d as (
+  select page_id, octet_length(encode(html)) as payload_bytes, min(page_id) over (partition by hex) as first_id,
+         list_transform(range(8), lambda g: list_reduce(list_transform(range(5), lambda k: strpos('0123456789abcdef', hex[5 * g + k + 1]) - 1), lambda x, y: 16 * x + y)) as parts
+  from p)
+select page_id, cast(payload_bytes as bigint) as payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + (parts[1 + i // 4] // (1 << (5 * (3 - i % 4)))) % 32]), '') as payload_digest,
+       case when page_id = first_id then 'response' else 'revisit' end as record_type, case when page_id <> first_id then first_id end as refers_to
+from d
+"""
