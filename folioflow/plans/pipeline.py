@@ -94,7 +94,7 @@ class Pipeline:
 
     def dry_run(self, **which) -> DataFrame:
         """(doc_stem, pages): what a run would render; nothing is written and no model called."""
-        docs = files.contents(self.spark, self.plan(**which))
+        docs = files.contents(self.spark, self.plan(**which), self.job.input_path)
         pages = files.render(docs, self.job.renderer).groupBy("doc_stem").agg(F.count(F.lit(1)).cast("int").alias("pages"))
         return docs.select("doc_stem").join(pages, "doc_stem", "left").select("doc_stem", F.coalesce("pages", F.lit(0)).alias("pages"))
 
@@ -102,7 +102,7 @@ class Pipeline:
         """Page images: those stored before, else rendered; all rendered with ``again``."""
         if again:
             return files.preprocessed(files.render(docs, self.job.renderer))
-        stored = files.stored_images(self.spark, self.outputs().where("kind = 'image'").join(docs.select("doc_stem"), "doc_stem", "left_semi"))
+        stored = files.stored_images(self.spark, self.outputs().where("kind = 'image'").join(docs.select("doc_stem"), "doc_stem", "left_semi"), self.job.output_path)
         new = docs.join(stored.select("doc_stem").distinct(), "doc_stem", "left_anti")
         return stored.unionByName(files.preprocessed(files.render(new, self.job.renderer)))
 
@@ -128,7 +128,7 @@ class Pipeline:
         if page is not None and not document:
             raise ValueError("a page needs a document")
         spark, job = self.spark, self.job
-        docs = self.stage(files.contents(spark, self.plan(reprocess_all, document)), "documents")
+        docs = self.stage(files.contents(spark, self.plan(reprocess_all, document), job.input_path), "documents")
         images = self.stage(self.images(docs, again=document is not None), "images")
         rendered = images.select("doc_stem").distinct()
         if page is None:
@@ -154,7 +154,7 @@ class Pipeline:
         sinks.write_files(sinks.page_files(rows), _uri(job.output_path))
         full = rows
         if page is not None:
-            stored = files.stored_records(spark, self.outputs().join(exams.select("doc_stem"), "doc_stem", "left_semi"))
+            stored = files.stored_records(spark, self.outputs().join(exams.select("doc_stem"), "doc_stem", "left_semi"), job.output_path)
             full = self.stage(stored.join(rows.select("doc_stem", "page_number"), ["doc_stem", "page_number"], "left_anti").unionByName(rows), "merged")
         self.write_summaries(full)
         done = rows.groupBy("doc_stem").agg(F.count(F.lit(1)).cast("int").alias("pages"))
@@ -181,7 +181,7 @@ class Pipeline:
         images, pages = found.where("kind = 'image'"), found.where("kind = 'page'")
         whole = pages.join(checks.incomplete(images, pages).select("doc_stem"), "doc_stem", "left_anti")
         sources = files.listing(self.spark, self.job.input_path).where("file_name like '%.pdf'").withColumn("doc_stem", F.regexp_replace("file_name", r"\.pdf$", ""))
-        rows = self.stage(files.stored_records(self.spark, whole, sources), "stored")
+        rows = self.stage(files.stored_records(self.spark, whole, self.job.output_path, sources), "stored")
         self.write_summaries(rows)
         return rows.groupBy("doc_stem").agg(F.count(F.lit(1)).cast("int").alias("pages"))
 
@@ -190,7 +190,7 @@ class Pipeline:
         return checks.reconcile(docs, found.where("kind = 'image'"), found.where("kind = 'page'"), found.where("kind = 'summary'"))
 
     def odd_categories(self) -> DataFrame:
-        return checks.odd_categories(files.read_markdown(self.spark, self.outputs().where("kind in ('page', 'summary')")))
+        return checks.odd_categories(files.read_markdown(self.spark, self.outputs().where("kind in ('page', 'summary')"), self.job.output_path))
 
     def frontmatter_issues(self) -> DataFrame:
-        return checks.frontmatter_issues(files.read_markdown(self.spark, self.outputs().where("kind in ('page', 'summary')")))
+        return checks.frontmatter_issues(files.read_markdown(self.spark, self.outputs().where("kind in ('page', 'summary')"), self.job.output_path))

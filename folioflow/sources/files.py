@@ -41,13 +41,9 @@ def manifest(spark: SparkSession, folder: str, pattern: str = r".*\.pdf") -> Dat
     return found.orderBy("path")
 
 
-def contents(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Documents with their bytes, null for an empty file."""
-    paths = [r["path"] for r in docs.select("path").collect()] if docs.limit(1).count() else []
-    if not paths:
-        return docs.withColumn("content", F.lit(None).cast("binary"))
-    folders = sorted({p.rsplit("/", 1)[0] for p in paths})
-    read = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folders).select(F.col("path").alias("__path"), "content")
+def contents(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents below a folder with their bytes, null for an empty file; tasks read only what the join keeps of the folder's listing."""
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdf").load(folder).select(F.col("path").alias("__path"), "content")
     plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
     return docs.join(read, plain(F.col("path")) == plain(F.col("__path")), "left").drop("__path")
 
@@ -106,31 +102,26 @@ def output_files(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("path", "file_name", "doc_stem", kind.alias("kind"), F.when(kind.isin("page", "image"), page_number(name)).alias("page_number")).where("kind is not null")
 
 
-def read_markdown(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """Page or summary files with header, header_text and body; a page file whose number does not parse is left out."""
-    paths = [r["path"] for r in files.select("path").collect()]
-    if not paths:
-        return parsed(files.withColumn("content", F.lit("")))
-    folders = sorted({p.rsplit("/", 1)[0] for p in paths})
-    raw = spark.read.option("pathGlobFilter", "*.md").text(folders, wholetext=True)
+def read_markdown(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:
+    """Listed page or summary files below a folder with header, header_text and body."""
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     name = F.url_decode(F.replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), F.lit("+"), F.lit("%2B")))
     texts = raw.select(name.alias("file_name"), F.col("value").alias("content"))
     return parsed(files.join(texts, "file_name"))
 
 
-def stored_images(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """(doc_stem, page_number, image) of images that were written before, numbered as their names say."""
-    paths = [r["path"] for r in files.select("path").collect()]
-    if not paths:
+def stored_images(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:
+    """(doc_stem, page_number, image) of listed images that were written before, numbered as their names say."""
+    if files.isEmpty():
         return spark.createDataFrame([], schemas.PAGE_IMAGE)
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").load(sorted({p.rsplit("/", 1)[0] for p in paths}))
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jpg").load(folder)
     raw = raw.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("content").alias("image"))
     return files.join(raw, "file_name").select("doc_stem", "page_number", "image")
 
 
-def stored_records(spark: SparkSession, files: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """Page records read back from page files; a source that the header lacks comes from ``sources`` by stem, first path first."""
-    pages = read_markdown(spark, files.where("kind = 'page' and page_number is not null"))
+def stored_records(spark: SparkSession, files: DataFrame, folder: str, sources: DataFrame | None = None) -> DataFrame:
+    """Page records read back from page files, without files whose number does not parse; a source that the header lacks comes from ``sources`` by stem, first path first."""
+    pages = read_markdown(spark, files.where("kind = 'page' and page_number is not null"), folder)
     if sources is not None:
         first = sources.groupBy("doc_stem").agg(F.min_by("file_name", "path").alias("__source"))
         pages = pages.join(first, "doc_stem", "left")
