@@ -29,6 +29,9 @@ def text_of(page):
         ("<article>a&nbsp;b&#233;&lt;p&gt;</article>", ["a bé<p>"]),
         ("", []),
         ("<article>open <b tag", ["open"]),
+        ("<article>a<!-- b > c", ["a"]),
+        ("<script><!-- x </script><article>b</article>", ["b"]),
+        ("<p>" + "<b " * 30_000, []),
         ("<script>never closed <article>x</article>", []),
     ],
 )
