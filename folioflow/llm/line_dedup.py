@@ -6,9 +6,10 @@ tokens or more is eight runs of tokens; lines of one tree node that agree in all
 two runs, wherever the others vary, share a template. Templates that recur across
 documents are dropped.
 
-A copy of a whole document is no recurrence of its lines: documents made for the
-larger part of lines that others have too are copies, left to document dedup, and all
-copies that hold a template count as one document.
+A copy of a whole document is no recurrence of its lines. Documents made for the
+larger part of lines that others have too may be copies; those of them that the n-gram
+Jaccard join puts into one class are copies of each other, left to document dedup, and
+count as one document. All others count one by one, however much of them recurs.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import linking
+from folioflow.llm import jaccard_join, linking
 from folioflow.llm.common import Scratch, table, text_or_empty
 
 RUNS = 8
@@ -70,6 +71,19 @@ def templates(lines: DataFrame) -> DataFrame:
     return linking.components(sure, "template-classes").select(F.col("node").alias("item"), F.col("root").alias("template"))
 
 
+def copy_classes(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, class) for rows of (doc, id, text_key): equal texts are one class, and texts that the Jaccard join puts together."""
+    scratch = Scratch(docs.sparkSession, "copy-classes")
+    text = text_or_empty(docs[text_col])
+    one = scratch.put(marked.groupBy("text_key").agg(F.min("doc").alias("rep"), F.min_by("id", "doc").alias("its_id")), "one")
+    source = docs.select(docs[id_col].alias("id"), F.md5(text.cast("binary")).alias("its_key"), text.alias("text"))
+    # Their number grows with the documents, so that no size of the input has them broadcast.
+    texts = source.join(one.hint("merge"), source["id"].eqNullSafe(F.col("its_id")) & (F.col("its_key") == F.col("text_key"))).select("rep", "text").dropDuplicates(["rep"])
+    found = jaccard_join.join(scratch.put(texts, "texts"), id_col="rep").select("rep", F.col("class_id").alias("class"))
+    named = scratch.put(one.select("text_key", "rep").join(found, "rep").select("text_key", "class"), "named")
+    return scratch.put(marked.select("doc", "text_key").join(named, "text_key").select("doc", "class"), "classes")
+
+
 def decide(docs: DataFrame, min_docs: int = 2, everywhere: int = 10, min_tokens: int = 4, copy_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_key, dropped) for documents that lose lines: dropped holds the places of these lines, from 0."""
     spark = docs.sparkSession
@@ -96,18 +110,18 @@ def decide(docs: DataFrame, min_docs: int = 2, everywhere: int = 10, min_tokens:
     held = scratch.put(tagged.groupBy("doc", "template").agg(F.first("id").alias("id"), F.sum("n").alias("tokens"), F.max("n").alias("n")), "held")
     often = scratch.put(held.groupBy("template").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1").select("template", F.lit(True).alias("again")), "often")
     share = held.join(often, "template", "left").groupBy("doc").agg((F.sum(F.when(F.col("again"), F.col("tokens")).otherwise(0)) / F.sum("tokens")).alias("share"))
-    copies = scratch.put(share.where(F.col("share") >= copy_share).select("doc", F.lit(True).alias("is_copy")), "copies")
+    keys = scratch.put(rows.groupBy("doc").agg(F.first("id").alias("id"), F.first("text_key").alias("text_key")), "keys")
+    marked = scratch.put(keys.join(share.where(F.col("share") >= copy_share).select("doc"), "doc"), "marked")
+    copies = copy_classes(docs, marked, id_col, text_col)
     known = held.join(often.select("template"), "template", "left_semi").join(copies, "doc", "left")
-    known = scratch.put(known.select("doc", "template", "id", "n", F.coalesce("is_copy", F.lit(False)).alias("is_copy")), "known")
+    known = scratch.put(known.select("doc", "template", "id", "n", F.coalesce("class", "doc").alias("class")), "known")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("doc").alias("doc")))
-    spread = known.groupBy("template").agg(
-        (F.sum((~F.col("is_copy")).cast("long")) + F.max(F.col("is_copy").cast("long"))).alias("docs"), F.max("n").alias("longest"), first.alias("first")
-    )
+    each_class = known.groupBy("template", "class").agg(F.max("n").alias("n"), first.alias("first"))
+    spread = each_class.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.max("n").alias("longest"), F.min("first").alias("first"))
     enough = F.when(F.col("longest") >= min_tokens, F.lit(min_docs)).otherwise(F.lit(everywhere))
     recurring = scratch.put(spread.where(F.col("docs") >= enough).select("template", F.col("first.doc").alias("first_doc"), (F.col("docs") >= everywhere).alias("all_of_them")), "recurring")
     gone = scratch.put(known.join(recurring, "template").where(F.col("all_of_them") | (F.col("doc") != F.col("first_doc"))).select("doc", "template"), "gone")
     places = tagged.select("doc", "template", "at").join(gone, ["doc", "template"]).groupBy("doc").agg(F.sort_array(F.collect_set("at")).alias("dropped"))
-    keys = rows.groupBy("doc").agg(F.first("id").alias("id"), F.first("text_key").alias("text_key"))
     return keys.join(places, "doc").groupBy("id", "text_key").agg(F.max("dropped").alias("dropped"))
 
 
@@ -116,7 +130,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     * A template recurs when ``min_docs`` documents hold it. It is kept in the first of them, by id, or in none once
       ``everywhere`` documents hold it. Shorter lines than ``min_tokens`` recur from ``everywhere`` documents on.
-    * Documents with ``copy_share`` of their tokens in lines that others hold are copies: together they count as one.
+    * Documents with ``copy_share`` of their tokens in lines that others hold are copies of each other if their texts are
+      equal or in one class of the n-gram Jaccard join: a class counts as one document.
     * A null text counts as empty; blank lines are never dropped by themselves; a line repeated in one document only stays.
     * Repeated rows (same id and text) are copies of each other and stay repeated. An empty table gives no rows. Other columns stay.
     """

@@ -135,3 +135,19 @@ def test_repeated_rows_stay(documents):
     rows = [(1, "\n".join(own(1)))] * 3 + [(2, "x" * 200_000)]
     got = line_dedup.line_dedup(documents(rows)).collect()
     assert len(got) == 4 and all(r["n_dropped"] == 0 for r in got)
+
+
+def words(name, n):
+    return " ".join(f"{name}x{w}" for w in range(n)).translate(str.maketrans("0123456789", "abcdefghij"))
+
+
+def test_shared_passage_makes_no_copies(documents):
+    passage, second = words("passage", 60), words("second", 60)
+    rows = [(k, words(f"o{k}", 50) + "\n" + passage) for k in range(2)]
+    rows += [(10 + k, words(f"o{10 + k}", 50) + "\n" + second) for k in range(12)]
+    copied = [words("copied", 20), words("lines", 30), words("more", 40)]
+    rows += [(30, "\n".join(copied)), (31, "\n".join(copied)), (32, "\n".join([copied[0] + " end", *copied[1:]]))]
+    text = {i: r["text"] for i, r in cleaned(documents, rows).items()}
+    assert passage in text[0] and passage not in text[1]
+    assert all(second not in text[10 + k] for k in range(12))
+    assert all(text[i] == dict(rows)[i] for i in (30, 31, 32))
