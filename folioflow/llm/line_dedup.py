@@ -14,6 +14,8 @@ count as one document. All others count one by one, however much of them recurs.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,26 +50,27 @@ def lanes(tokens: Column, half: int) -> Column:
     return out
 
 
-def equal_runs(x: Column, y: Column) -> Column:
-    """How many of the four runs of two longs agree."""
-    both = x.bitwiseXOR(y)
-    return sum((F.shiftrightunsigned(both, 16 * k).bitwiseAND(0xFFFF) == 0).cast("int") for k in range(RUNS // 2))
-
-
 def templates(lines: DataFrame) -> DataFrame:
     """(item, template) for rows of distinct masked lines (item, n, lead, low, high): the smallest item that shares its template.
 
-    Of four pairs of runs, two lines of a template agree in at least two, so that three pairs find every such line.
+    Two lines of a template agree in one of the 28 choices of six runs, which are the keys of a line: lines with a key in
+    common are linked, without a comparison. Of four pairs of runs such lines agree in at least two, so that lines that
+    meet no other by one of three pairs have no need of keys.
     """
     scratch = Scratch(lines.sparkSession, "templates")
     long_lines = lines.where(F.col("n") >= RUNS)
     pairs = [F.shiftrightunsigned("low", 32), F.col("high").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("high", 32)]
     node = F.explode(F.array(*(F.xxhash64(F.lit(k), "n", "lead", pair) for k, pair in enumerate(pairs))))
-    found = linking.ties(long_lines.select("item", node.alias("node"), F.lit(True).alias("holds")), ["node"])
-    side = lambda x: long_lines.select(F.col("item").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "lead", "low", "high")))
-    both = found.join(side("a"), "a").join(side("b"), "b").where("n_a = n_b and lead_a = lead_b")
-    equal = equal_runs(F.col("low_a"), F.col("low_b")) + equal_runs(F.col("high_a"), F.col("high_b"))
-    sure = scratch.put(both.where(equal >= RUNS - VARIABLE).select("a", "b"), "ties")
+    nodes = scratch.put(long_lines.select("item", node.alias("node")), "nodes")
+    shared = scratch.put(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("node"), "shared")
+    meeting = scratch.put(nodes.join(shared, "node", "left_semi").select("item").distinct(), "meeting")
+    keys = []
+    for k, left_out in enumerate(combinations(range(RUNS), VARIABLE)):
+        halves = [sum(0xFFFF << 16 * (r % (RUNS // 2)) for r in range(RUNS) if r // (RUNS // 2) == half and r not in left_out) for half in (0, 1)]
+        low, high = (F.col(c).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")) for c, mask in zip(("low", "high"), halves, strict=True))
+        keys.append(F.xxhash64(F.lit(k), "n", "lead", low, high))
+    keyed = long_lines.join(meeting, "item", "left_semi").select("item", F.explode(F.array(*keys)).alias("node"), F.lit(True).alias("holds"))
+    sure = scratch.put(linking.ties(keyed, ["node"]), "ties")
     return linking.components(sure, "template-classes").select(F.col("node").alias("item"), F.col("root").alias("template"))
 
 

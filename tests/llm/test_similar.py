@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from folioflow.llm import embedding_dedup, jaccard_join, line_dedup
 
@@ -151,3 +152,16 @@ def test_shared_passage_makes_no_copies(documents):
     assert passage in text[0] and passage not in text[1]
     assert all(second not in text[10 + k] for k in range(12))
     assert all(text[i] == dict(rows)[i] for i in (30, 31, 32))
+
+
+def test_templates_link_all_pairs_of_a_node(spark):
+    rng = random.Random(4)
+    runs = lambda *values: " ".join(f"r{k}{v} s{k}{v}" for k, v in enumerate(values)).translate(str.maketrans("0123456789", "abcdefghij"))
+    lines = {1: (0, 2, 2, 2, 2, 2, 0, 0), 2: (0, 0, 0, 0, 0, 0, 0, 0), 3: (0, 0, 1, 0, 1, 0, 0, 0)}
+    lines |= {k: (0, *(rng.choice((0, 0, 0, 3, 4, 5)) for _ in range(7))) for k in range(10, 150)}
+    lines |= {k: (1, *(rng.randrange(9) for _ in range(7))) for k in range(200, 300)}
+    linked = [(a, b) for a, b in combinations(lines, 2) if lines[a][0] == lines[b][0] and sum(x == y for x, y in zip(lines[a], lines[b], strict=True)) >= 6]
+    df = spark.createDataFrame([(k, runs(*v).split()) for k, v in lines.items()], "item long, t array<string>")
+    df = df.select("item", F.size("t").alias("n"), F.hash(F.slice("t", 1, 2)).alias("lead"), line_dedup.lanes(F.col("t"), 0).alias("low"), line_dedup.lanes(F.col("t"), 1).alias("high"))
+    got = {r["item"]: r["template"] for r in line_dedup.templates(df).collect()}
+    assert {i: got.get(i, i) for i in lines} == classes(lines, linked) and (2, 3) in linked and (1, 3) not in linked
