@@ -39,6 +39,20 @@ def test_roles(page, want):
     assert text_of(page) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<nav><form><select>" + "<option>land" * 250 + "</select></form></nav><article>a</article>", ["a"]),
+        ("<nav>" + "<div>" * 250 + "menu</nav><article>a</article>", ["a"]),
+        ("<article><table>" + "<tr><td>c<td>d" * 150 + "</table></article><p>after", ["c", "d"] * 150),
+        ("<article><table><tr><td class=ad>buy<td>a<tr><td><table><tr><td>b<td>c</table>d<tr><th>e</table><dl><dt class=share>s<dd>f</dl>g</article>", ["a", "b", "c", "d", "e", "f", "g"]),
+        ("<select><optgroup><option>x<optgroup><option>y</select><article>a<td>b</article><p>c", ["a", "b"]),
+    ],
+)
+def test_open_elements(page, want):
+    assert text_of(page) == want
+
+
 def test_shared_lines():
     assert html_extract.shared([1, 2, 3, 4], [2, 9, 4]) == {1, 3}
     assert html_extract.shared([1, 1, 2], [1, 2, 2]) == {0, 2}
