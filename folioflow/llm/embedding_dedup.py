@@ -9,6 +9,7 @@ bucket is a candidate, verified by cosine in double precision, block by block.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -85,18 +86,50 @@ def buckets(x: np.ndarray, tables: int, hashes: int, probes: int) -> np.ndarray:
     return out
 
 
-def hashes_for(n: int, width: int, looks: int) -> int:
-    """Hashes of a table, so that a vector that looks into so many buckets meets at most one of n others by chance."""
-    return max(2, math.ceil(math.log(max(n, 2) * looks) / math.log(polytope(width))))
+def at_cosine(cosine: float, width: int, pairs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Random pairs of unit vectors at this cosine."""
+    rng = np.random.default_rng(20_261_126)
+    a, r = rng.normal(size=(2, pairs, max(2, width)))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    r -= (r * a).sum(1, keepdims=True) * a
+    r /= np.linalg.norm(r, axis=1, keepdims=True)
+    return a, cosine * a + math.sqrt(max(0.0, 1 - cosine**2)) * r
+
+
+@functools.cache
+def tables_for(hashes: int, width: int, cosine: float, probes: int, recall: float, least: int) -> int:
+    """Tables, ``least`` or more, at which a pair at this cosine meets in one of them with the target recall.
+
+    The chance of one table is that of 6,400 meetings of simulated pairs, less three standard errors.
+    """
+    tables, pairs = 16, 400
+    x, y = (buckets(v, tables, hashes, probes) for v in at_cosine(cosine, width, pairs))
+    met = ((x == y[:, :, :1]) | (x[:, :, :1] == y)).any(axis=2).mean()
+    chance = met - 3 * math.sqrt(met * (1 - met) / (tables * pairs))
+    if chance <= 0:
+        raise ValueError(f"no number of tables of {hashes} hashes finds pairs at cosine {cosine}")
+    return least if chance >= 1 else max(least, math.ceil(math.log(1 - recall) / math.log(1 - chance)))
+
+
+def plan(n: int, width: int, cosine: float, tables: int, probes: int, recall: float) -> list[tuple[int, int, int]]:
+    """(rows, hashes, tables): up to so many rows of a label, a vector meets at most one other by chance; the last has room for n."""
+    out = []
+    hashes = 2
+    while not out or out[-1][0] < n:
+        needed = tables_for(hashes, width, cosine, probes, recall, tables)
+        out.append((polytope(width) ** hashes // (needed * (1 + probes)), hashes, needed))
+        hashes += 1
+    return out
 
 
 def dedup(
-    vectors: DataFrame, cosine: float = 0.93, tables: int = 20, probes: int = 6, hashes: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label"
+    vectors: DataFrame, cosine: float = 0.93, tables: int = 20, probes: int = 6, hashes: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", recall: float = 0.9999
 ) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept.
 
     Vectors of equal label and width are linked at ``cosine`` or more; component_id is the smallest id reachable by links.
-    ``hashes`` of a table follow from the rows of the largest label, if not given.
+    ``hashes`` of a table follow from the rows of each label, if not given; tables are ``tables``, or as many more as a pair at
+    ``cosine`` needs to meet in one of them with the chance ``recall``.
 
     * A vector that is null, empty or zero, or holds a null or non-finite component, or has a null label, links with nothing.
     * Equal vectors are one item with the weight of all; each counts the others as links. Rows repeated with one id count too.
@@ -113,21 +146,32 @@ def dedup(
     rows = rows.withColumn("vector", F.when(F.coalesce(fine, F.lit(False)), v)).withColumn("row", F.monotonically_increasing_id())
     rows = scratch.put(rows, "rows")
     sound = rows.where("vector is not null")
-    sizes = sound.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("width"))
-    n, width = sizes.agg(F.max("n"), F.max("width")).first()
-    hashes = hashes or hashes_for(n or 1, width or 2, tables * (1 + probes))
+    sizes = scratch.put(sound.groupBy("label", F.size("vector").alias("size")).agg(F.count(F.lit(1)).alias("n")), "sizes")
+    most = {r["size"]: r["n"] for r in sizes.groupBy("size").agg(F.max("n").alias("n")).collect()}
+    # Widths that are padded alike have one plan, made for the largest label of them.
+    padded: dict[int, int] = {}
+    for size, n in most.items():
+        padded[polytope(size) // 2] = max(n, padded.get(polytope(size) // 2, 0))
+    if hashes:
+        plans = {w: [(n, hashes, tables_for(hashes, w, cosine, probes, recall, tables))] for w, n in padded.items()}
+    else:
+        plans = {w: plan(n, w, cosine, tables, probes, recall) for w, n in padded.items()}
 
     equal = sound.groupBy("label", "vector").agg(F.min("row").alias("item"), F.count(F.lit(1)).alias("weight"))
     items = scratch.put(equal, "items")
+    counted = items.withColumn("size", F.size("vector")).join(sizes, ["label", "size"]).select("item", F.col("label").cast("string"), "vector", "n")
+
+    def fitting(size: int, n: int) -> tuple[int, int]:
+        return next((h, t) for rows, h, t in plans[polytope(size) // 2] if n <= rows)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [b""] * b.num_rows
             lists = b.column(2).to_pylist()
             labels = b.column(1).to_pylist()
-            sizes = np.array([len(x) for x in lists])
-            for size in np.unique(sizes):
-                mine = np.flatnonzero(sizes == size)
+            kinds = [(len(x), *fitting(len(x), n)) for x, n in zip(lists, b.column(3).to_pylist(), strict=True)]
+            for size, hashes, tables in sorted(set(kinds)):
+                mine = [k for k, kind in enumerate(kinds) if kind == (size, hashes, tables)]
                 x = np.array([lists[k] for k in mine], float)
                 x /= np.abs(x).max(axis=1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -137,7 +181,7 @@ def dedup(
             each = pa.array(list(found), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), each], names=["item", "codes"])
 
-    codes = items.select("item", F.col("label").cast("string"), "vector").mapInArrow(hashed, "item long, codes array<long>")
+    codes = counted.mapInArrow(hashed, "item long, codes array<long>")
     held = codes.select("item", F.posexplode("codes").alias("k", "code"))
     held = held.select("item", (F.col("k") / (1 + probes)).cast("int").alias("table"), "code", (F.col("k") % (1 + probes) == 0).alias("holds"))
     groups = linking.components(linking.ties(held, ["table", "code"]), "embedding-groups")

@@ -105,6 +105,16 @@ def test_recall_of_hashing():
     assert ((x == y[:, :, :1]) | (x[:, :, :1] == y)).any(axis=(1, 2)).mean() > 0.99
 
 
+def test_recall_holds_as_labels_grow():
+    made = embedding_dedup.plan(9_000_000_000, 64, 0.93, 20, 6, 0.9999)
+    rows, hashes, tables = zip(*made, strict=True)
+    assert hashes == (2, 3, 4, 5, 6) and tables[0] == 20 and tables[4] > tables[3] > 20 and rows[-1] >= 9_000_000_000 > rows[-2]
+    for _, hashes, tables in made[2:]:
+        x, y = (embedding_dedup.buckets(v, tables, hashes, 6) for v in embedding_dedup.at_cosine(0.93, 64, 3000))
+        met = ((x == y[:, :, :1]) | (x[:, :, :1] == y)).any(axis=(1, 2))
+        assert met.mean() >= 0.999
+
+
 def own(k):
     return [f"own{k} line{j} " + " ".join(f"v{k}x{j}y{w}" for w in range(12)).translate(str.maketrans("0123456789", "abcdefghij")) for j in range(4)]
 
