@@ -8,19 +8,26 @@ executor costs only the tasks of the stage it was running.
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch sent to Python; with texts of some 100 KB a batch stays below 100 MB.
+#: Rows and bytes of an Arrow batch sent to Python.
 BATCH_ROWS = 512
+BATCH_BYTES = 32 << 20
+#: Staged tables that ``staging`` ends, the innermost last.
+_OPEN: list[list[Scratch]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share, as a URI. A temporary one is used in local mode only, where it is unset."""
+    """The folder all machines share, as a URI. A temporary one is used in local mode only, where it is unset.
+
+    A path without a scheme is one of Hadoop's default store.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -30,27 +37,46 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="folioflow-")
         spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/") if "://" in base or base.startswith("file:") else "file://" + os.path.abspath(base)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lower the session's Arrow batch size, so that a batch of whole texts fits a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
+    """Lower the session's Arrow batch size in rows and bytes, so that a batch of whole texts fits a Python worker.
+
+    A single longer text is a batch of its own. The setting is read when a plan runs, so that it stays for the session.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < int(spark.conf.get(key).rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
+
+
+@contextmanager
+def staging() -> Iterator[None]:
+    """Drops the tables that operators stage inside it: for callers that have written the result."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for scratch in _OPEN.pop():
+            scratch.close()
+            atexit.unregister(scratch.close)
 
 
 class Scratch:
     """Staged tables of one operator call.
 
     ``put`` writes a frame as Parquet below the shared folder and returns the frame
-    that reads it; ``drop`` removes one early. What is left goes when the driver ends.
+    that reads it; ``drop`` removes one early. What is left goes with ``staging``, else when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/folioflow/{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(self.close)
+        if _OPEN:
+            _OPEN[-1].append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

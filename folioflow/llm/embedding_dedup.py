@@ -2,9 +2,13 @@
 
 A hash rotates the unit vector by three rounds of random signs and a fast Hadamard
 transform and takes the nearest vertex of the cross-polytope, plus or minus an axis. A
-table joins several such hashes into a bucket. A vector is held by its own bucket in
-every table and also looks into the next likely ones (multiprobe). What meets in a
-bucket is a candidate, verified by cosine in double precision, block by block.
+table joins several such hashes into a bucket. A vector stands in its own bucket of
+every table and in the next likely ones (multiprobe). What meets in a bucket is a
+candidate and is checked by cosine in double precision before it joins anything; the
+components of checked pairs are then verified pair by pair, block by block.
+
+Hashes a table are so many that a vector meets few others by chance, whatever the rows
+of its label, and tables so many that the recall stays.
 """
 
 from __future__ import annotations
@@ -15,77 +19,106 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm import linking
 from folioflow.llm.common import Scratch, bounded_batches, table
 
+#: Points that a step of the transform combines.
+RADIX = 64
+#: Vertices of each hash that probes choose from.
+RANKS = 3
+#: Vectors hashed at a time.
+STEP = 1024
+
 
 def polytope(width: int) -> int:
     """Vertices of the cross-polytope for vectors of this width, which is padded to a power of two."""
     return 2 << max(1, (width - 1).bit_length())
 
 
+@functools.cache
+def butterfly(radix: int) -> np.ndarray:
+    """The Walsh-Hadamard matrix of a power of two, scaled to keep lengths."""
+    at = np.arange(radix)
+    signs = 1.0 - 2.0 * (np.bitwise_count(at[:, None] & at[None, :]) & 1)
+    return (signs / math.sqrt(radix)).astype(np.float32)
+
+
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """Fast Walsh-Hadamard transform of the rows, scaled to keep lengths; the width is a power of two."""
-    n, width = x.shape
-    step = 1
-    while step < width:
-        x = x.reshape(n, width // (2 * step), 2, step)
-        x = np.stack((x[:, :, 0] + x[:, :, 1], x[:, :, 0] - x[:, :, 1]), axis=2)
-        step *= 2
-    return x.reshape(n, width) / math.sqrt(width)
-
-
-def rotated(x: np.ndarray, seed: int) -> np.ndarray:
-    """Rows padded to a power of two and rotated by three rounds of seeded signs and a Hadamard transform."""
+    """Fast Walsh-Hadamard transform of the last axis, ``RADIX`` points a step; its width is a power of two."""
+    shape, done = x.shape, 1
+    while done < shape[-1]:
+        radix = min(RADIX, shape[-1] // done)
+        if done == 1:
+            x = x.reshape(-1, radix) @ butterfly(radix)
+        else:
+            x = butterfly(radix) @ x.reshape(-1, radix, done)
+        done *= radix
+    return x.reshape(shape)
+
+
+@functools.lru_cache(4096)
+def signs(seed: int, width: int) -> np.ndarray:
+    return np.random.default_rng(seed).choice(np.array((-1, 1), np.float32), (3, width))
+
+
+def rotated(x: np.ndarray, seeds: list[int]) -> np.ndarray:
+    """(row, seed, point): rows padded to a power of two, rotated by three rounds of seeded signs and a Hadamard transform."""
     width = polytope(x.shape[1]) // 2
-    x = np.pad(x, ((0, 0), (0, width - x.shape[1])))
-    rng = np.random.default_rng(seed)
-    for _ in range(3):
-        x = hadamard(x * rng.choice((-1.0, 1.0), width))
+    x = np.pad(x.astype(np.float32), ((0, 0), (0, width - x.shape[1])))[:, None, :]
+    flips = np.stack([signs(s, width) for s in seeds])
+    for k in range(3):
+        x = hadamard(x * flips[None, :, k])
     return x
 
 
-def vertices(x: np.ndarray, seed: int, ranks: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``ranks`` nearest vertices of every row, nearest first, and how much farther each is than the first."""
-    y = rotated(x, seed)
-    y = np.concatenate((y, -y), axis=1)
-    ranks = min(ranks, y.shape[1])
-    near = np.argpartition(-y, ranks - 1, axis=1)[:, :ranks]
-    value = np.take_along_axis(y, near, 1)
-    order = np.argsort(-value, axis=1, kind="stable")
-    near, value = np.take_along_axis(near, order, 1), np.take_along_axis(value, order, 1)
-    return near, value[:, :1] - value
+def vertices(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest vertices of rotated vectors (.., rank), nearest first, and how much farther each is than the first."""
+    far = np.abs(y).reshape(-1, y.shape[-1])
+    flat, rows = y.reshape(far.shape), np.arange(len(far))
+    near, value = [], []
+    for _ in range(min(RANKS, far.shape[1])):
+        k = far.argmax(axis=1)
+        near.append(2 * k + (flat[rows, k] < 0))
+        value.append(far[rows, k])
+        far[rows, k] = -1
+    shape = (*y.shape[:-1], len(near))
+    value = np.stack(value, 1)
+    return np.stack(near, 1).astype(np.uint64).reshape(shape), (value[:, :1] - value).reshape(shape)
 
 
 def buckets(x: np.ndarray, tables: int, hashes: int, probes: int) -> np.ndarray:
     """Bucket numbers (row, table, 1 + probes): its own first, then those with the smallest loss of distance.
 
-    A probe changes one hash of a table to its next vertex, or the two whose change costs least.
+    A probe changes one hash of a table to one of its next vertices, or two to their second.
     """
     out = np.empty((len(x), tables, 1 + probes), np.uint64)
-    scale = [np.uint64(polytope(x.shape[1]) + 1) ** np.uint64(h) for h in range(hashes)]
-    for t in range(tables):
-        near, loss = zip(*(vertices(x, 1000 * t + h, 1 + probes) for h in range(hashes)), strict=True)
-        own = sum(near[h][:, 0].astype(np.uint64) * scale[h] for h in range(hashes))
-        codes, costs = [], []
-        for h in range(hashes):
-            for r in range(1, near[h].shape[1]):
-                codes.append(own + (near[h][:, r].astype(np.uint64) - near[h][:, 0].astype(np.uint64)) * scale[h])
-                costs.append(loss[h][:, r])
-        for a in range(hashes):
-            for b in range(a):
-                codes.append(own + sum((near[h][:, 1].astype(np.uint64) - near[h][:, 0].astype(np.uint64)) * scale[h] for h in (a, b)))
-                costs.append(loss[a][:, 1] + loss[b][:, 1])
-        best = np.argsort(np.stack(costs, 1), axis=1, kind="stable")[:, :probes]
-        out[:, t, 0] = own
-        out[:, t, 1:] = np.take_along_axis(np.stack(codes, 1), best, 1)
+    scale = [np.uint64(pow(polytope(x.shape[1]) + 1, h, 1 << 64)) for h in range(hashes)]
+    for at in range(0, len(x), STEP):
+        some = x[at : at + STEP]
+        for t in range(tables):
+            near, loss = vertices(rotated(some, [1000 * t + h for h in range(hashes)]))
+            own = sum(near[:, h, 0] * scale[h] for h in range(hashes))
+            step = [[(near[:, h, r] - near[:, h, 0]) * scale[h] for h in range(hashes)] for r in range(near.shape[2])]
+            codes = [own + step[r][h] for h in range(hashes) for r in range(1, near.shape[2])]
+            costs = [loss[:, h, r] for h in range(hashes) for r in range(1, near.shape[2])]
+            for a in range(hashes):
+                for b in range(a):
+                    codes.append(own + step[1][a] + step[1][b])
+                    costs.append(loss[:, a, 1] + loss[:, b, 1])
+            best = np.argsort(np.stack(costs, 1), axis=1, kind="stable")[:, :probes]
+            out[at : at + STEP, t] = own[:, None]  # where there are fewer probes than asked for
+            out[at : at + STEP, t, 1 : 1 + best.shape[1]] = np.take_along_axis(np.stack(codes, 1), best, 1)
     return out
 
 
+def meet(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """(row, table): whether the buckets of x and y have one in common."""
+    return (x[:, :, :, None] == y[:, :, None, :]).any(axis=(2, 3))
+
+
 def at_cosine(cosine: float, width: int, pairs: int) -> tuple[np.ndarray, np.ndarray]:
     """Random pairs of unit vectors at this cosine."""
     rng = np.random.default_rng(20_261_126)
@@ -103,33 +136,101 @@ def tables_for(hashes: int, width: int, cosine: float, probes: int, recall: floa
     The chance of one table is that of 6,400 meetings of simulated pairs, less three standard errors.
     """
     tables, pairs = 16, 400
-    x, y = (buckets(v, tables, hashes, probes) for v in at_cosine(cosine, width, pairs))
-    met = ((x == y[:, :, :1]) | (x[:, :, :1] == y)).any(axis=2).mean()
+    met = meet(*(buckets(v, tables, hashes, probes) for v in at_cosine(cosine, width, pairs))).mean()
     chance = met - 3 * math.sqrt(met * (1 - met) / (tables * pairs))
     if chance <= 0:
         raise ValueError(f"no number of tables of {hashes} hashes finds pairs at cosine {cosine}")
     return least if chance >= 1 else max(least, math.ceil(math.log(1 - recall) / math.log(1 - chance)))
 
 
-def plan(n: int, width: int, cosine: float, tables: int, probes: int, recall: float) -> list[tuple[int, int, int]]:
-    """(rows, hashes, tables): up to so many rows of a label, a vector meets at most one other by chance; the last has room for n."""
+@functools.cache
+def chance_of(hashes: int, width: int, probes: int) -> float:
+    """How likely two unrelated vectors meet in one table.
+
+    Counted on all pairs of 4,000 random vectors in 16 tables for up to four hashes; each further one divides it as the fourth does.
+    """
+    if hashes > 4:
+        return chance_of(4, width, probes) * (chance_of(4, width, probes) / chance_of(3, width, probes)) ** (hashes - 4)
+    tables, n = 16, 4000
+    x = np.random.default_rng(20_261_126).normal(size=(n, max(2, width)))
+    codes = np.sort(buckets(x / np.linalg.norm(x, axis=1, keepdims=True), tables, hashes, probes), axis=2)
+    met = 0
+    for t in range(tables):
+        first = np.concatenate((np.ones((n, 1), bool), codes[:, t, 1:] != codes[:, t, :-1]), axis=1)
+        times = np.unique(codes[:, t][first], return_counts=True)[1]
+        met += int((times * (times - 1)).sum())
+    return max(met, 1) / (tables * n * (n - 1))
+
+
+def plan(n: int, width: int, cosine: float, tables: int, probes: int, recall: float, chance: float) -> list[tuple[int, int, int]]:
+    """(rows, hashes, tables): up to so many rows of a label, a vector meets ``chance`` others by chance; the last has room for n."""
     out = []
     hashes = 2
     while not out or out[-1][0] < n:
         needed = tables_for(hashes, width, cosine, probes, recall, tables)
-        out.append((polytope(width) ** hashes // (needed * (1 + probes)), hashes, needed))
+        out.append((int(chance / (needed * chance_of(hashes, width, probes))), hashes, needed))
         hashes += 1
     return out
 
 
+def matrix(vectors: pa.Array, rows: list[int]) -> np.ndarray:
+    """Some rows, all of one width, scaled to length one."""
+    first = vectors.offsets.to_numpy()[rows]
+    size = len(vectors[rows[0]])
+    x = vectors.values.to_numpy(zero_copy_only=False)[first[:, None] + np.arange(size)]
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def by_kind(kinds: list) -> list[tuple[object, list[int]]]:
+    found: dict = {}
+    for k, kind in enumerate(kinds):
+        found.setdefault(kind, []).append(k)
+    return list(found.items())
+
+
+def read(kinds: pa.Array, vectors: pa.Array) -> list:
+    """(kind, unit vector) of each row; a kind has one width."""
+    out: list = [None] * len(kinds)
+    for kind, rows in by_kind(kinds.to_pylist()):
+        for k, x in zip(rows, matrix(vectors, rows), strict=True):
+            out[k] = (kind, x)
+    return out
+
+
+def alike(left: list, right: list, cosine: float) -> np.ndarray:
+    """Which rows of equal kinds have at least this cosine."""
+    out = np.zeros(len(left), bool)
+    for _, rows in by_kind([x[0] for x in left]):
+        a, b = (np.stack([s[k][1] for k in rows]) for s in (left, right))
+        out[rows] = (a * b).sum(1) >= cosine
+    return out
+
+
+def linked(left: list, right: list | None, cosine: float) -> np.ndarray:
+    """All pairs of equal kinds with at least this cosine."""
+    right = left if right is None else right
+    sides = [dict(by_kind([x[0] for x in s])) for s in (left, right)]
+    out = np.zeros((len(left), len(right)), bool)
+    for kind, a in sides[0].items():
+        b = sides[1].get(kind)
+        if b:
+            y = np.stack([right[k][1] for k in b]).T
+            for at in range(0, len(a), 512):
+                some = a[at : at + 512]
+                out[np.ix_(some, b)] = np.stack([left[k][1] for k in some]) @ y >= cosine
+    return out
+
+
 def dedup(
-    vectors: DataFrame, cosine: float = 0.93, tables: int = 20, probes: int = 6, hashes: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", recall: float = 0.9999
-) -> DataFrame:
+    vectors: DataFrame, cosine: float = 0.93, tables: int = 1, probes: int = 6, hashes: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label",
+    recall: float = 0.9999, chance: float = 1.0,
+) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept.
 
     Vectors of equal label and width are linked at ``cosine`` or more; component_id is the smallest id reachable by links.
-    ``hashes`` of a table follow from the rows of each label, if not given; tables are ``tables``, or as many more as a pair at
-    ``cosine`` needs to meet in one of them with the chance ``recall``.
+    ``hashes`` of a table follow from the rows of each label, if not given, so that a vector meets at most ``chance`` others
+    by chance in all tables, each of which costs one product and joins nothing; tables are as many as a pair at ``cosine`` needs to meet with the chance ``recall``, at least ``tables``.
 
     * A vector that is null, empty or zero, or holds a null or non-finite component, or has a null label, links with nothing.
     * Equal vectors are one item with the weight of all; each counts the others as links. Rows repeated with one id count too.
@@ -146,8 +247,9 @@ def dedup(
     rows = rows.withColumn("vector", F.when(F.coalesce(fine, F.lit(False)), v)).withColumn("row", F.monotonically_increasing_id())
     rows = scratch.put(rows, "rows")
     sound = rows.where("vector is not null")
-    sizes = scratch.put(sound.groupBy("label", F.size("vector").alias("size")).agg(F.count(F.lit(1)).alias("n")), "sizes")
-    most = {r["size"]: r["n"] for r in sizes.groupBy("size").agg(F.max("n").alias("n")).collect()}
+    sizes = sound.groupBy("label", F.size("vector").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = scratch.put(sizes.withColumn("kind", F.monotonically_increasing_id()), "sizes")
+    most = {r["size"]: r["n"] for r in sizes.groupBy("size").agg(F.max("n").alias("n")).collect()}  # a row for each width
     # Widths that are padded alike have one plan, made for the largest label of them.
     padded: dict[int, int] = {}
     for size, n in most.items():
@@ -155,63 +257,38 @@ def dedup(
     if hashes:
         plans = {w: [(n, hashes, tables_for(hashes, w, cosine, probes, recall, tables))] for w, n in padded.items()}
     else:
-        plans = {w: plan(n, w, cosine, tables, probes, recall) for w, n in padded.items()}
+        plans = {w: plan(n, w, cosine, tables, probes, recall, chance) for w, n in padded.items()}
 
     equal = sound.groupBy("label", "vector").agg(F.min("row").alias("item"), F.count(F.lit(1)).alias("weight"))
-    items = scratch.put(equal, "items")
-    counted = items.withColumn("size", F.size("vector")).join(sizes, ["label", "size"]).select("item", F.col("label").cast("string"), "vector", "n")
+    items = scratch.put(equal.withColumn("size", F.size("vector")).join(sizes, ["label", "size"]), "items")
 
     def fitting(size: int, n: int) -> tuple[int, int]:
         return next((h, t) for rows, h, t in plans[polytope(size) // 2] if n <= rows)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [b""] * b.num_rows
-            lists = b.column(2).to_pylist()
-            labels = b.column(1).to_pylist()
-            kinds = [(len(x), *fitting(len(x), n)) for x, n in zip(lists, b.column(3).to_pylist(), strict=True)]
-            for size, hashes, tables in sorted(set(kinds)):
-                mine = [k for k, kind in enumerate(kinds) if kind == (size, hashes, tables)]
-                x = np.array([lists[k] for k in mine], float)
-                x /= np.abs(x).max(axis=1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                for k, codes in zip(mine, buckets(x, tables, hashes, probes), strict=True):
-                    key = xxhash.xxh64_intdigest(f"{size}/{labels[k]}")
-                    found[k] = (codes.ravel() * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(key)).view(np.int64)
-            each = pa.array(list(found), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), each], names=["item", "codes"])
-
-    codes = counted.mapInArrow(hashed, "item long, codes array<long>")
-    held = codes.select("item", F.posexplode("codes").alias("k", "code"))
-    held = held.select("item", (F.col("k") / (1 + probes)).cast("int").alias("table"), "code", (F.col("k") % (1 + probes) == 0).alias("holds"))
-    groups = linking.components(linking.ties(held, ["table", "code"]), "embedding-groups")
-    members = items.join(groups.withColumnRenamed("node", "item"), "item").select("item", "root", "weight", F.size("vector").alias("size"), "label", "vector")
-    blocks = linking.blocked(members, 1024, 1 << 20)
-
-    def read(b: pa.RecordBatch) -> list:
-        out = []
-        for label, x in zip(b.column(5).to_pylist(), b.column(6).to_pylist(), strict=True):
-            y = np.array(x, float)
-            y = y / np.abs(y).max()
-            out.append((label, y / np.linalg.norm(y)))
-        return out
-
-    def link(left: list, right: list | None) -> np.ndarray:
-        right = left if right is None else right
-        kinds: dict = {}
-        side = [np.array([kinds.setdefault((x[0], len(x[1])), len(kinds)) for x in s]) for s in (left, right)]
-        out = np.zeros((len(left), len(right)), bool)
-        for kind in range(len(kinds)):
-            a, b = (np.flatnonzero(s == kind) for s in side)
-            if len(a) and len(b):
-                y = np.stack([right[k][1] for k in b]).T
-                for at in range(0, len(a), 512):
-                    x = np.stack([left[k][1] for k in a[at : at + 512]])
-                    out[np.ix_(a[at : at + 512], b)] = x @ y >= cosine
-        return out
-
-    found = linking.verify(blocks.select("root", "part", "side", "item", "weight", F.col("label").cast("string"), "vector"), read, link, linking.tasks_of(vectors))
-    counts, roots = linking.linked(found, "embeddings")
+            found: list = [None] * b.num_rows
+            kinds = b.column(1).to_numpy()
+            sizes = b.column(2).to_pylist()
+            plan_of = [(size, *fitting(size, n)) for size, n in zip(sizes, b.column(3).to_pylist(), strict=True)]
+            for (_, hashes, tables), mine in by_kind(plan_of):
+                codes = buckets(matrix(b.column(4), mine), tables, hashes, probes)
+                codes = (codes ^ (codes >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + np.arange(tables, dtype=np.uint64)[None, :, None]
+                codes = (codes ^ (codes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) ^ (kinds[mine].astype(np.uint64) * np.uint64(0x94D049BB133111EB))[:, None, None]
+                for k, row in zip(mine, codes.reshape(len(mine), -1).view(np.int64), strict=True):
+                    found[k] = np.unique(row)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["item", "codes"])
+
+    codes = items.select("item", "kind", "size", "n", "vector").mapInArrow(hashed, "item long, codes array<long>")
+    tasks = linking.tasks_of(vectors)
+    alike_, linked_ = functools.partial(alike, cosine=cosine), functools.partial(linked, cosine=cosine)
+    loads = items.select("item", "kind", F.col("vector").alias("load"))
+    groups = linking.groups(codes.select(F.explode("codes").alias("key"), "item"), loads, read, alike_, linked_, tasks)
+    roots = scratch.put(groups, "roots")
+    members = items.join(roots.withColumnRenamed("node", "item"), "item").select("item", "root", "weight", "size", "kind", "vector")
+    blocks = linking.blocked(members, 1024, 1 << 20).select("root", "part", "side", "item", "weight", "kind", "vector")
+    found = linking.verify(blocks, lambda b: read(b.column(5), b.column(6)), linked_, tasks)
+    counts = scratch.put(found.where("partner is null").groupBy("item").agg(F.sum("links").alias("links")), "counts")
     named = items.join(counts, "item", "left").join(roots.withColumnRenamed("node", "item"), "item", "left")
     named = scratch.put(named.select("label", "vector", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "item").alias("root")), "named")
     per_row = rows.join(named, ["label", "vector"], "left").select(

@@ -1,11 +1,14 @@
-"""Links between similar items: candidate groups, blockwise verification, components.
-
-Items that share a bucket are tied to the bucket's smallest item, so a bucket of n items
-gives n - 1 ties and never its pairs. Groups are the connected components of these ties.
-A group is cut into blocks of bounded size and every pair of its blocks is verified in
-one step of a task, which returns per item the weight of what it links with, and a
-spanning forest of the links: rows in proportion to items, never pairs. Ids are long
-and unique; all tables stay distributed, and each round of an iteration is staged.
+"""Links between similar items: candidates in buckets, checks, components of checked ties, blockwise verification.
+
+Items that share a bucket are candidates. Each is first checked against the bucket's
+smallest item, so a bucket of n items gives n - 1 ties and never its pairs. Ties that
+pass the check make cores, their connected components. Pairs that this leaves open,
+of different cores in one bucket, are checked block by block, and what passes joins
+cores to groups: no unchecked meeting ever joins anything. A group is then cut into
+blocks of bounded size and every pair of its blocks is verified in one step of a task,
+which returns per item the weight of what it links with, and a spanning forest of the
+links: rows in proportion to items, never pairs. Ids are long and unique; all tables
+stay distributed, and each round of an iteration is staged.
 """
 
 from __future__ import annotations
@@ -20,16 +23,52 @@ from pyspark.sql import functions as F
 from folioflow.llm.common import Scratch
 
 
-def ties(buckets: DataFrame, keys: list[str]) -> DataFrame:
-    """(a, b): each item of a bucket and the smallest that it holds, from rows of ``keys``, ``item`` and ``holds``.
+def groups(
+    buckets: DataFrame, loads: DataFrame, read: Callable[[pa.Array, pa.Array], list], alike: Callable[[list, list], np.ndarray], link: Callable[[list, list | None], np.ndarray], tasks: int, items: int = 1024
+) -> DataFrame:
+    """(node, root) for items with a checked tie, from (key, item) and (item, kind, load).
 
-    An item that only looks into a bucket (``holds`` false) is tied to it, and ties nothing to itself.
+    ``read`` turns arrays of kinds and loads into payloads; ``alike`` checks two lists of them row by row, ``link`` all pairs
+    of two lists, or of one list and None, as a matrix. Every pair that shares a bucket is checked, unless checked ties connect it.
     """
-    scratch = Scratch(buckets.sparkSession, "ties")
+    scratch = Scratch(buckets.sparkSession, "groups")
     buckets = scratch.put(buckets, "buckets")
-    first = buckets.groupBy(*keys).agg(F.min(F.when(F.col("holds"), F.col("item"))).alias("b"), F.min("item").alias("__low"), F.max("item").alias("__high"))
-    first = scratch.put(first.where("b is not null and __low < __high").drop("__low", "__high"), "first")
-    return buckets.join(first, keys).where("item <> b").select(F.col("item").alias("a"), "b").distinct()
+    first = buckets.groupBy("key").agg(F.min("item").alias("first"), F.max("item").alias("last"), F.count(F.lit(1)).alias("n"))
+    first = scratch.put(first.where("first < last").select("key", "first", "n"), "first")
+    shared = scratch.put(buckets.join(first, "key"), "shared")
+    scratch.drop("buckets")
+    pairs = shared.where("item <> first").select(F.col("item").alias("a"), F.col("first").alias("b")).distinct()
+    side = lambda name: loads.select(F.col("item").alias(name), F.col("kind").alias(f"kind_{name}"), F.col("load").alias(f"load_{name}"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where("kind_a = kind_b").select("a", "b", "kind_a", "load_a", "kind_b", "load_b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = alike(read(b.column(2), b.column(3)), read(b.column(4), b.column(5))) if b.num_rows else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    sure = scratch.put(pairs.mapInArrow(check, "a long, b long"), "sure")
+    cores = components(sure, "cores")
+    # A bucket of two items has its only pair checked.
+    left = shared.where("n > 2").join(cores.select(F.col("node").alias("item"), F.col("root").alias("core")), "item", "left")
+    left = scratch.put(left.select("key", "item", F.coalesce("core", "item").alias("core")), "left")
+    alone, other = F.xxhash64("item"), F.xxhash64(F.lit(1), "item")
+    several = left.groupBy("key").agg(F.min("core").alias("low"), F.max("core").alias("high"), F.count(F.lit(1)).alias("n"), F.bit_xor(alone).alias("x"), F.bit_xor(other).alias("y"))
+    # Buckets of the same items are one.
+    several = several.where("low < high").groupBy("n", "x", "y").agg(F.min("key").alias("key"))
+    several = scratch.put(several.select("key").withColumn("root", F.monotonically_increasing_id()), "several")
+    if several.isEmpty():
+        return cores
+    rest = left.join(several, "key").join(loads, "item").select("item", "root", F.lit(1).alias("size"), F.lit(1).cast("long").alias("weight"), "core", "kind", "load")
+    rest = blocked(rest, items, items).select("root", "part", "side", "item", "weight", "core", "kind", "load")
+
+    def apart(left: list, right: list | None) -> np.ndarray:
+        cores = [np.array([x[0] for x in s], np.int64) for s in (left, left if right is None else right)]
+        made = link([x[1] for x in left], None if right is None else [x[1] for x in right])
+        return made & (cores[0][:, None] != cores[1][None, :])
+
+    more = verify(rest, lambda b: list(zip(b.column(5).to_pylist(), read(b.column(6), b.column(7)), strict=True)), apart, tasks)
+    more = more.where("partner is not null").select(F.col("item").alias("a"), F.col("partner").alias("b"))
+    return components(scratch.put(sure.unionByName(more), "ties"), "checked-groups")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -40,20 +79,18 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     scratch = Scratch(edges.sparkSession, name)
     both = scratch.put(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
     labels = scratch.put(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), "labels-0")
-    k = 0
-    while True:
+    moved, k = not labels.isEmpty(), 0
+    while moved:
         k += 1
-        up = labels.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        jumped = scratch.put(labels.join(up, "root").select("node", "root", "top"), f"jumped-{k}")
-        near = both.join(jumped.select(F.col("node").alias("b"), "top"), "b").groupBy(F.col("a").alias("node")).agg(F.min("top").alias("near"))
-        new = jumped.join(scratch.put(near, f"near-{k}"), "node").select("node", F.least("top", "near").alias("root"), (F.least("top", "near") < F.col("root")).alias("moved"))
-        new = scratch.put(new, f"labels-{k}")
+        near = both.join(labels.select(F.col("node").alias("b"), F.col("root").alias("near")), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
+        least = scratch.put(labels.join(near, "node").select("node", "root", F.least("root", "near").alias("least")), f"least-{k}")
+        up = least.select(F.col("node").alias("least"), F.col("least").alias("top"))
+        new = scratch.put(least.join(up, "least").select("node", F.col("top").alias("root"), (F.col("top") < F.col("root")).alias("moved")), f"labels-{k}")
         moved = new.agg(F.max("moved")).first()[0]
-        for old in (f"labels-{k - 1}", f"jumped-{k}", f"near-{k}"):
+        for old in (f"labels-{k - 1}", f"least-{k}"):
             scratch.drop(old)
         labels = new.drop("moved")
-        if not moved:
-            return labels
+    return labels
 
 
 def blocked(members: DataFrame, items: int, size: int) -> DataFrame:
@@ -67,8 +104,8 @@ def blocked(members: DataFrame, items: int, size: int) -> DataFrame:
     n, total = F.count(F.lit(1)), F.sum("size")
     per_block = lambda all_of_it, least: F.least(F.greatest(F.lit(least), all_of_it / 16), F.lit(16 * least))
     blocks = F.least(n, F.greatest(F.ceil(n / per_block(n, items)), F.ceil(total / per_block(total, size))))
-    groups = scratch.put(members.groupBy("root").agg(blocks.cast("int").alias("blocks"), n.alias("n")).where("n > 1").drop("n"), "groups")
-    rows = members.join(groups, "root").withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
+    several = scratch.put(members.groupBy("root").agg(blocks.cast("int").alias("blocks"), n.alias("n")).where("n > 1").drop("n"), "groups")
+    rows = members.join(several, "root").withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
     pairs = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     part = F.least("block", "other").cast("long") * (1 << 31) + F.greatest("block", "other")
     side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
