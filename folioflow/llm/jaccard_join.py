@@ -2,14 +2,21 @@
 
 Every document becomes the set of its five-word shingles. In each tree of the forest
 it has a signature of ``longest`` min-hashes, and the tree is the trie of these
-signatures: documents meet in the node of their common prefix. Prefixes start at full
-length and are shortened until the chance that a pair at the threshold meets in some
-tree reaches the target recall. Nodes tie their documents into candidate groups,
-whose pairs are verified exactly, block by block, on the shingle sets themselves.
+signatures: documents meet in the node of their common prefix. A document starts at
+full length and its prefix is shortened until the least similar partner that a set of
+its size can have meets it in some tree with the target recall: sets of few shingles,
+of which one is much, stop early, and the smallest, which can have no partner but
+their equals, need no search.
+
+What meets in a node is checked on the whole signatures before it is tied. The groups
+of checked ties are verified exactly, block by block, on the shingle sets themselves,
+and only verified links make classes.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 import re
 from collections.abc import Iterator
 
@@ -59,26 +66,84 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(s)
 
 
-def prefix_length(trees: int, longest: int, similarity: float, recall: float) -> int:
-    """The longest prefix at which a pair of this similarity meets in some tree with the target recall; 1 if none does."""
-    for k in range(longest, 1, -1):
-        if 1 - (1 - similarity**k) ** trees >= recall:
+@functools.lru_cache(8192)
+def least_similarity(size: int, similarity: float) -> float | None:
+    """The least Jaccard similarity, at the threshold or above, of a set of this size and a different set; None if there is none."""
+    both = np.arange(math.ceil(similarity * size - 1e-9), size + 1)
+    union = np.floor(both / similarity + 1e-9).astype(np.int64)
+    fine = (both > 0) & (union >= size) & (union > both)
+    return float((both[fine] / union[fine]).min()) if fine.any() else None
+
+
+@functools.lru_cache(8192)
+def depth(size: int, trees: int, longest: int, similarity: float, recall: float) -> int | None:
+    """Where a set of this size stops: the longest prefix with the target recall, 1 if there is none; None without a possible partner."""
+    least = least_similarity(size, similarity)
+    if least is None:
+        return None
+    return next((k for k in range(longest, 1, -1) if 1 - (1 - least**k) ** trees >= recall), 1)
+
+
+@functools.lru_cache(8192)
+def depths(size: int, trees: int, longest: int, similarity: float, recall: float) -> tuple[int, ...]:
+    """Prefix lengths at which a set of this size stands in the tries: where it stops, and where a possible partner stops earlier.
+
+    A pair is as similar as both sizes allow, so that it need not go beyond the longer of its two prefixes.
+    """
+    mine = depth(size, trees, longest, similarity, recall)
+    if mine is None:
+        return ()
+    others = range(math.ceil(similarity * size - 1e-9), math.floor(size / similarity + 1e-9) + 1) if size < 20 / (1 - similarity) else ()
+    found = {depth(n, trees, longest, similarity, recall) for n in others} | {mine}
+    return tuple(sorted(d for d in found if d is not None and d >= mine))
+
+
+@functools.lru_cache(64)
+def least_agreement(n: int, similarity: float, miss: float = 1e-6) -> int:
+    """How many of n min-hashes a pair of this similarity has in common, but for the chance ``miss``."""
+    total = 0.0
+    for k in range(n + 1):
+        total += math.comb(n, k) * similarity**k * (1 - similarity) ** (n - k)
+        if total > miss:
             return k
-    return 1
+    return n
 
 
 def multipliers(trees: int, longest: int) -> np.ndarray:
     return np.random.default_rng(20_260_801).integers(0, 1 << 63, (trees, longest), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def nodes(found: np.ndarray, by: np.ndarray) -> list[int]:
-    """The node of a shingle set in each tree: a hash of its min-hashes under the multipliers ``by`` (trees, prefix)."""
+def signature(found: np.ndarray, by: np.ndarray) -> bytes:
+    """Two bytes of the min-hash of a shingle set under each multiplier, tree by tree."""
     flat = by.reshape(-1, 1)
     low = np.full(len(flat), ~np.uint64(0))
-    for at in range(0, len(found), 4096):
-        low = np.minimum(low, (flat * found[None, at : at + 4096]).min(axis=1))
-    rows = low.reshape(by.shape)
-    return [xxhash.xxh64_intdigest(rows[t].tobytes(), seed=t) - (1 << 63) for t in range(len(rows))]
+    for at in range(0, len(found), 1024):
+        low = np.minimum(low, (flat * found[None, at : at + 1024]).min(axis=1))
+    low = (low ^ (low >> np.uint64(32))) * MIX
+    return (low >> np.uint64(48)).astype("<u2").tobytes()
+
+
+def prefixes(sign: bytes, trees: int, longest: int, lengths: tuple[int, ...]) -> list[bytes]:
+    """The trie nodes of a signature: tree, length and the min-hashes up to it."""
+    wide = 2 * longest
+    return [bytes((t, d)) + sign[wide * t : wide * t + 2 * d] for t in range(trees) for d in lengths]
+
+
+def agreeing(left: list[np.ndarray], right: list[np.ndarray], least: int) -> np.ndarray:
+    """Which rows have so many min-hashes in common."""
+    if not left:
+        return np.zeros(0, bool)
+    return (np.stack(left) == np.stack(right)).sum(1) >= least
+
+
+def all_agreeing(left: list[np.ndarray], right: list[np.ndarray] | None, least: int) -> np.ndarray:
+    """Which pairs have so many min-hashes in common."""
+    a = np.stack(left)
+    b = a if right is None else np.stack(right)
+    out = np.zeros((len(a), len(b)), np.int32)
+    for k in range(a.shape[1]):
+        out += a[:, k, None] == b[None, :, k]
+    return out >= least
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None, similarity: float) -> np.ndarray:
@@ -109,39 +174,50 @@ def join(docs: DataFrame, similarity: float = 0.8, trees: int = 20, longest: int
     other documents linked directly, and kept marks one row of each class, that with the smallest id.
 
     * Documents with the same shingles are linked and count one by one. A null or wordless text links with nothing.
+    * The whole of a long text counts; texts travel in batches of bounded bytes, a longer one alone.
     * Repeated rows are separate documents, of which one is kept; null ids come last and never name a class that has others.
     * An empty table gives no rows. Only the two named columns are read.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "jaccard")
-    by = multipliers(trees, longest)[:, : prefix_length(trees, longest, similarity, recall)]
+    by = multipliers(trees, longest)
     kind = docs.schema[id_col].dataType.simpleString()
     text = text_or_empty(docs[text_col])
     source = docs.select(docs[id_col].alias("id"), F.md5(text.cast("binary")).alias("text_key"), text.alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets, print_of, met = [], [], []
+            sets, print_of, signs, met = [], [], [], []
             for t in b.column(2).to_pylist():
                 found = shingles(t)
+                lengths = depths(len(found), trees, longest, similarity, recall)
+                made = signature(found, by) if lengths else None
                 sets.append(len(found))
                 print_of.append(xxhash.xxh128_digest(found.tobytes()))
-                met.append(nodes(found, by) if len(found) else [])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(sets, pa.int64()), pa.array(print_of, pa.binary()), pa.array(met, pa.list_(pa.int64()))], names=["id", "text_key", "n_shingles", "print", "nodes"]
-            )
+                signs.append(made)
+                met.append(prefixes(made, trees, longest, lengths) if lengths else [])
+            columns = [pa.array(sets, pa.int64()), pa.array(print_of, pa.binary()), pa.array(signs, pa.binary()), pa.array(met, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["id", "text_key", "n_shingles", "print", "sign", "nodes"])
 
-    signed = source.mapInArrow(sign, f"id {kind}, text_key string, n_shingles long, print binary, nodes array<long>")
+    signed = source.mapInArrow(sign, f"id {kind}, text_key string, n_shingles long, print binary, sign binary, nodes array<binary>")
     signed = scratch.put(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
     worded = signed.where("n_shingles > 0")
     # Documents with equal shingles are one item, named by its first row.
     items = worded.groupBy("print").agg(F.min("row").alias("item"), F.count(F.lit(1)).alias("weight"))
     items = scratch.put(items, "items")
-    firsts = scratch.put(items.join(worded.drop("print"), items["item"] == worded["row"]).select("item", "weight", "id", "text_key", F.col("n_shingles").alias("size"), "nodes"), "firsts")
-    buckets = firsts.select("item", F.posexplode("nodes").alias("tree", "node"), F.lit(True).alias("holds"))
-    groups = linking.components(linking.ties(buckets, ["tree", "node"]), "jaccard-groups")
-    members = firsts.drop("nodes").join(groups.select(F.col("node").alias("item"), "root"), "item")
+    firsts = scratch.put(items.join(worded.drop("print"), items["item"] == worded["row"]).select("item", "weight", "id", "text_key", F.col("n_shingles").alias("size"), "sign", "nodes"), "firsts")
+    least = least_agreement(trees * longest, similarity)
+    loads = firsts.select("item", F.lit(0).alias("kind"), F.col("sign").alias("load"))
+    groups = linking.groups(
+        firsts.select(F.explode("nodes").alias("key"), "item"),
+        loads,
+        lambda _, signs: [np.frombuffer(s, "<u2") for s in signs.to_pylist()],
+        functools.partial(agreeing, least=least),
+        functools.partial(all_agreeing, least=least),
+        linking.tasks_of(docs),
+    )
+    members = firsts.drop("nodes", "sign").join(groups.select(F.col("node").alias("item"), "root"), "item")
     # Whole texts travel for members of groups only, once, and again for each pair of blocks of a large group.
     members = scratch.put(members, "members")
     wanted = members.select(F.col("id").alias("its_id"), F.col("text_key").alias("its_key"), "item", "root", "weight", "size")
@@ -158,7 +234,7 @@ def join(docs: DataFrame, similarity: float = 0.8, trees: int = 20, longest: int
     named = items.join(counts, "item", "left").join(roots.withColumnRenamed("node", "item"), "item", "left")
     named = scratch.put(named.select("print", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "item").alias("root")), "named")
     rows = scratch.put(
-        signed.drop("nodes").join(named, (signed["print"] == named["print"]) & (signed["n_shingles"] > 0), "left").select(
+        signed.drop("nodes", "sign").join(named, (signed["print"] == named["print"]) & (signed["n_shingles"] > 0), "left").select(
             "row", "id", "text_key", "n_shingles", F.coalesce("root", "row").alias("root"), F.coalesce(F.col("links") + F.col("weight") - 1, F.lit(0)).alias("n_links")
         ),
         "rows",

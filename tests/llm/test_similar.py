@@ -56,9 +56,33 @@ def test_jaccard_edges(documents):
     assert jaccard_join.join(documents([])).collect() == []
 
 
-def test_prefix_length():
-    assert jaccard_join.prefix_length(20, 8, 0.8, 0.999) == 5
-    assert jaccard_join.prefix_length(1, 8, 0.8, 0.999) == 1
+def test_prefixes_end_at_different_depths():
+    stop = lambda n, **o: jaccard_join.depth(n, **({"trees": 20, "longest": 8, "similarity": 0.8, "recall": 0.999} | o))
+    assert [stop(n) for n in (1, 3, 4, 6, 7, 500)] == [None, None, 5, 6, 7, 5] and stop(500, trees=1) == 1
+    for n in range(1, 40):
+        found = [i / (n + m - i) for m in range(1, 80) for i in range(min(n, m) + 1) if (i < n or m > n) and 10 * i >= 8 * (n + m - i)]
+        assert jaccard_join.least_similarity(n, 0.8) == (min(found) if found else None)
+    # A possible pair meets at the longer of its prefixes: both stand there.
+    sides = {n: jaccard_join.depths(n, 20, 8, 0.8, 0.999) for n in range(1, 60)}
+    for n, mine in sides.items():
+        for m in range(1, 60):
+            if any(10 * i >= 8 * (n + m - i) for i in range(min(n, m) + 1)) and mine and sides[m]:
+                assert max(mine[0], sides[m][0]) in mine and max(mine[0], sides[m][0]) in sides[m]
+
+
+def test_forest_recall():
+    rng = np.random.default_rng(5)
+    by, met, agreed = jaccard_join.multipliers(20, 8), 0, 0
+    least = jaccard_join.least_agreement(160, 0.8)
+    for k in range(400):
+        n = 7 if k % 2 else 270
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = np.concatenate((a[: n - (1 if n == 7 else 30)], rng.integers(0, 1 << 63, 0 if n == 7 else 30, dtype=np.uint64)))
+        lengths = [jaccard_join.depths(len(x), 20, 8, 0.8, 0.999) for x in (a, b)]
+        signs = [jaccard_join.signature(x, by) for x in (a, b)]
+        met += not set(jaccard_join.prefixes(signs[0], 20, 8, lengths[0])).isdisjoint(jaccard_join.prefixes(signs[1], 20, 8, lengths[1]))
+        agreed += (np.frombuffer(signs[0], "<u2") == np.frombuffer(signs[1], "<u2")).sum() >= least
+    assert met >= 398 and agreed == 400
 
 
 def test_blocks_give_the_same(documents, monkeypatch):
@@ -90,29 +114,39 @@ def test_embeddings_match_all_pairs(spark, extra):
 
 
 def test_rotation_keeps_lengths():
-    x = np.random.default_rng(0).normal(size=(5, 48))
-    assert np.allclose(np.linalg.norm(embedding_dedup.rotated(x, 1), axis=1), np.linalg.norm(x, axis=1))
-
-
-def test_recall_of_hashing():
-    rng = np.random.default_rng(1)
-    a = rng.normal(size=(500, 64))
-    a /= np.linalg.norm(a, axis=1, keepdims=True)
-    r = rng.normal(size=a.shape)
-    r -= (r * a).sum(1, keepdims=True) * a
-    b = 0.93 * a + np.sqrt(1 - 0.93**2) * r / np.linalg.norm(r, axis=1, keepdims=True)
-    x, y = (embedding_dedup.buckets(v, 20, 3, 6) for v in (a, b))
-    assert ((x == y[:, :, :1]) | (x[:, :, :1] == y)).any(axis=(1, 2)).mean() > 0.99
+    for width in (5, 48, 200):
+        x = np.random.default_rng(0).normal(size=(5, width))
+        assert np.allclose(np.linalg.norm(embedding_dedup.rotated(x, [1, 2]), axis=2), np.linalg.norm(x, axis=1)[:, None], rtol=1e-4)
 
 
 def test_recall_holds_as_labels_grow():
-    made = embedding_dedup.plan(9_000_000_000, 64, 0.93, 20, 6, 0.9999)
+    made = embedding_dedup.plan(9_000_000_000, 64, 0.93, 1, 6, 0.9999, 1.0)
     rows, hashes, tables = zip(*made, strict=True)
-    assert hashes == (2, 3, 4, 5, 6) and tables[0] == 20 and tables[4] > tables[3] > 20 and rows[-1] >= 9_000_000_000 > rows[-2]
-    for _, hashes, tables in made[2:]:
+    assert hashes[0] == 2 and rows[-1] >= 9_000_000_000 > rows[-2] and sorted(tables) == list(tables)
+    for _, hashes, tables in made[1:6]:
         x, y = (embedding_dedup.buckets(v, tables, hashes, 6) for v in embedding_dedup.at_cosine(0.93, 64, 3000))
-        met = ((x == y[:, :, :1]) | (x[:, :, :1] == y)).any(axis=(1, 2))
-        assert met.mean() >= 0.999
+        assert embedding_dedup.meet(x, y).any(axis=1).mean() >= 0.999
+
+
+def test_random_vectors_meet_few(spark, monkeypatch):
+    """Unrelated vectors of one label: few candidates each, and none joins a group."""
+    from folioflow.llm import linking
+
+    real, seen = linking.groups, {}
+
+    def watched(buckets, loads, *rest):
+        most = buckets.groupBy("key").count().where("count > 1")
+        seen["meetings"], seen["largest"] = most.agg(F.coalesce(F.sum(F.expr("count * (count - 1)")), F.lit(0)), F.coalesce(F.max("count"), F.lit(1))).first()
+        out = real(buckets, loads, *rest)
+        seen["grouped"] = out.count()
+        return out
+
+    monkeypatch.setattr(linking, "groups", watched)
+    for n in (2000, 20_000):
+        x = np.random.default_rng(n).normal(size=(n, 64)).round(4)
+        df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").withColumn("label", F.lit(1))
+        assert embedding_dedup.dedup(df).where("n_links > 0").count() == 0
+        assert seen["meetings"] <= 2 * n and seen["largest"] <= 16 and seen["grouped"] == 0
 
 
 def own(k):
