@@ -245,9 +245,12 @@ def dedup(
     rows = vectors.select(vectors[id_col].alias("id"), vectors[vector_col].cast("array<double>").alias("vector"), label.alias("label"))
     fine = F.col("label").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = rows.withColumn("vector", F.when(F.coalesce(fine, F.lit(False)), v)).withColumn("row", F.monotonically_increasing_id())
-    rows = scratch.put(rows, "rows")
+    # Equal vectors have equal pairs of hashes, so that whole vectors need not be sorted.
+    rows = scratch.put(rows.withColumns({"h1": F.xxhash64("vector"), "h2": F.xxhash64(F.lit(1), "vector")}), "rows")
+    same = ["label", "size", "h1", "h2"]
+    rows = rows.withColumn("size", F.size("vector"))
     sound = rows.where("vector is not null")
-    sizes = sound.groupBy("label", F.size("vector").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = sound.groupBy("label", "size").agg(F.count(F.lit(1)).alias("n"))
     sizes = scratch.put(sizes.withColumn("kind", F.monotonically_increasing_id()), "sizes")
     most = {r["size"]: r["n"] for r in sizes.groupBy("size").agg(F.max("n").alias("n")).collect()}  # a row for each width
     # Widths that are padded alike have one plan, made for the largest label of them.
@@ -259,8 +262,9 @@ def dedup(
     else:
         plans = {w: plan(n, w, cosine, tables, probes, recall, chance) for w, n in padded.items()}
 
-    equal = sound.groupBy("label", "vector").agg(F.min("row").alias("item"), F.count(F.lit(1)).alias("weight"))
-    items = scratch.put(equal.withColumn("size", F.size("vector")).join(sizes, ["label", "size"]), "items")
+    equal = scratch.put(sound.groupBy(*same).agg(F.min("row").alias("item"), F.count(F.lit(1)).alias("weight")), "equal")
+    items = equal.join(sound.select(F.col("row").alias("item"), "vector"), "item").join(sizes, ["label", "size"])
+    items = scratch.put(items, "items")
 
     def fitting(size: int, n: int) -> tuple[int, int]:
         return next((h, t) for rows, h, t in plans[polytope(size) // 2] if n <= rows)
@@ -290,8 +294,8 @@ def dedup(
     found = linking.verify(blocks, lambda b: read(b.column(5), b.column(6)), linked_, tasks)
     counts = scratch.put(found.where("partner is null").groupBy("item").agg(F.sum("links").alias("links")), "counts")
     named = items.join(counts, "item", "left").join(roots.withColumnRenamed("node", "item"), "item", "left")
-    named = scratch.put(named.select("label", "vector", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "item").alias("root")), "named")
-    per_row = rows.join(named, ["label", "vector"], "left").select(
+    named = scratch.put(named.select(*same, "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "item").alias("root")), "named")
+    per_row = rows.drop("vector").join(named, same, "left").select(
         "row", "id", F.coalesce("root", "row").alias("root"), F.coalesce(F.col("links") + F.col("weight") - 1, F.lit(0)).alias("n_links")
     )
     per_row = scratch.put(per_row, "per-row")
