@@ -1,31 +1,41 @@
 """Line dedup by a log-template tree.
 
 A line's tokens that hold a digit are variable fields at once. The tree has a fixed
-depth: the number of tokens, the leading tokens, then a template. A line of eight
-tokens or more is eight runs of tokens; lines of one tree node that agree in all but
-two runs, wherever the others vary, share a template. Templates that recur across
-documents are dropped.
-
-A copy of a whole document is no recurrence of its lines. Documents made for the
-larger part of lines that others have too may be copies; those of them that the n-gram
-Jaccard join puts into one class are copies of each other, left to document dedup, and
-count as one document. All others count one by one, however much of them recurs.
+depth: the number of tokens, the leading tokens, then the templates of that node. A
+line is eight runs of tokens; a template has wildcards for some of them, two for lines
+of eight tokens or more, one for shorter ones. A line matches every template that it
+equals but for the wildcards; those that some line has as its best one, with the most
+lines, are the templates of the tree. What matches and what recurs depends on the
+lines alone, not on their order or place.
+
+A copy of a whole text is no recurrence of its lines. Equal texts are one document, and
+a text whose five-word shingles are for 0.8 or more those of the first text that holds
+most of its lines is of one class with it. Classes count, and templates that recur
+across classes are dropped.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import jaccard_join, linking
-from folioflow.llm.common import Scratch, table, text_or_empty
+from folioflow.llm import linking
+from folioflow.llm.common import Scratch, bounded_batches, table, text_or_empty
+from folioflow.llm.jaccard_join import shingles
 
 RUNS = 8
-#: Runs in which two lines of a template may differ.
-VARIABLE = 2
+#: Wildcards of a template of lines of ``RUNS`` tokens or more, and of shorter ones.
+VARIABLE, SHORT_VARIABLE = 2, 1
 LEADING = 2
+#: Lines of fewer tokens have no wildcards.
+LEAST = 4
+#: Texts that one task compares with the first text of a class, on average.
+PART = 2000
 
 
 def plain(text: Column) -> Column:
@@ -50,105 +60,158 @@ def lanes(tokens: Column, half: int) -> Column:
     return out
 
 
+def wildcards(variable: int) -> list[Column]:
+    """A key for each choice of so many runs as wildcards."""
+    keys = []
+    for k, left_out in enumerate(combinations(range(RUNS), variable)):
+        halves = [sum(0xFFFF << 16 * (r % (RUNS // 2)) for r in range(RUNS) if r // (RUNS // 2) == half and r not in left_out) for half in (0, 1)]
+        low, high = (F.col(c).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")) for c, mask in zip(("low", "high"), halves, strict=True))
+        keys.append(F.xxhash64(F.lit(100 * variable + k), "n", "lead", low, high))
+    return keys
+
+
 def templates(lines: DataFrame) -> DataFrame:
-    """(item, template) for rows of distinct masked lines (item, n, lead, low, high): the smallest item that shares its template.
+    """(item, template, wild) for rows of distinct masked lines (item, n, lead, low, high, low_doc, high_doc).
 
-    Two lines of a template agree in one of the 28 choices of six runs, which are the keys of a line: lines with a key in
-    common are linked, without a comparison. Of four pairs of runs such lines agree in at least two, so that lines that
-    meet no other by one of three pairs have no need of keys.
+    Lines of a template agree in the runs that are no wildcards. Of four pairs of runs, or two halves for short lines, such
+    lines agree in one that is known beforehand, so that lines that meet no other there have no need of keys. ``wild`` is
+    false for a line by itself, which stands in several documents. Templates of one document are left out.
     """
     scratch = Scratch(lines.sparkSession, "templates")
-    long_lines = lines.where(F.col("n") >= RUNS)
     pairs = [F.shiftrightunsigned("low", 32), F.col("high").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("high", 32)]
-    node = F.explode(F.array(*(F.xxhash64(F.lit(k), "n", "lead", pair) for k, pair in enumerate(pairs))))
-    nodes = scratch.put(long_lines.select("item", node.alias("node")), "nodes")
+    long_nodes, short_nodes = (F.array(*(F.xxhash64(F.lit(k), "n", "lead", x) for k, x in enumerate(parts))) for parts in (pairs, ["low", "high"]))
+    some = lines.where(F.col("n") >= LEAST)
+    nodes = some.select("item", F.explode(F.when(F.col("n") >= RUNS, long_nodes).otherwise(short_nodes)).alias("node"))
     shared = scratch.put(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("node"), "shared")
-    meeting = scratch.put(nodes.join(shared, "node", "left_semi").select("item").distinct(), "meeting")
-    keys = []
-    for k, left_out in enumerate(combinations(range(RUNS), VARIABLE)):
-        halves = [sum(0xFFFF << 16 * (r % (RUNS // 2)) for r in range(RUNS) if r // (RUNS // 2) == half and r not in left_out) for half in (0, 1)]
-        low, high = (F.col(c).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")) for c, mask in zip(("low", "high"), halves, strict=True))
-        keys.append(F.xxhash64(F.lit(k), "n", "lead", low, high))
-    keyed = long_lines.join(meeting, "item", "left_semi").select("item", F.explode(F.array(*keys)).alias("node"), F.lit(True).alias("holds"))
-    sure = scratch.put(linking.ties(keyed, ["node"]), "ties")
-    return linking.components(sure, "template-classes").select(F.col("node").alias("item"), F.col("root").alias("template"))
-
-
-def copy_classes(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, class) for rows of (doc, id, text_key): equal texts are one class, and texts that the Jaccard join puts together."""
-    scratch = Scratch(docs.sparkSession, "copy-classes")
+    meeting = scratch.put(nodes.join(shared.hint("merge"), "node", "left_semi").select("item").distinct(), "meeting")
+    keys = F.when(F.col("n") >= RUNS, F.array(*wildcards(VARIABLE))).otherwise(F.array(*wildcards(SHORT_VARIABLE)))
+    keyed = some.join(meeting.hint("merge"), "item", "left_semi").select("item", "low_doc", "high_doc", F.explode(keys).alias("template"))
+    keyed = scratch.put(keyed, "keyed")
+    held = keyed.groupBy("template").agg(
+        F.count(F.lit(1)).alias("lines"), F.bit_xor(F.xxhash64("item")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "item")).alias("y"), F.min("low_doc").alias("low_doc"), F.max("high_doc").alias("high_doc")
+    )
+    # Templates of the same lines are one.
+    held = held.where("lines > 1 and low_doc < high_doc").groupBy("lines", "x", "y").agg(F.min("template").alias("template"))
+    held = scratch.put(held.select("template"), "held")
+    wild = keyed.select("item", "template").join(held.hint("merge"), "template", "left_semi").withColumn("wild", F.lit(True))
+    alone = lines.where("low_doc < high_doc").select("item", F.xxhash64(F.lit(-1), "item").alias("template"), F.lit(False).alias("wild"))
+    return wild.unionByName(alone)
+
+
+def copies(docs: DataFrame, held: DataFrame, tokens: DataFrame, text_col: str, share: float, similarity: float) -> DataFrame:
+    """(doc, class) for texts that are near copies of an earlier one: ``class`` is the first of them.
+
+    Each text with ``share`` of its tokens in lines that one earlier text holds first is compared with that text, the one
+    with most of them, by their exact sets of shingles. ``held`` has (template, doc, id, at, n), a doc is the MD5 of its text.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "copies")
+    first = held.groupBy("template").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "doc")).alias("first"))
+    first = scratch.put(first.select("template", F.col("first.doc").alias("up")), "first")
+    by = held.select("template", "doc", "at", "n").distinct().join(first, "template").where("doc <> up").select("doc", "up", "at", "n").distinct()
+    by = by.groupBy("doc", "up").agg(F.sum("n").alias("shared")).groupBy("doc").agg(F.max(F.struct("shared", "up")).alias("most"))
+    near = by.join(tokens, "doc").where(F.col("most.shared") >= share * F.col("tokens")).select("doc", F.col("most.up").alias("up"))
+    near = scratch.put(near, "near")
+    # A hot first text is dealt out with a part of those to compare it with.
+    parts = scratch.put(near.groupBy("up").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")), "parts")
+    later = near.join(parts, "up").select("doc", "up", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side"))
+    firsts = parts.select(F.col("up").alias("doc"), "up", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"))
+    wanted = scratch.put(later.unionByName(firsts), "wanted")
     text = text_or_empty(docs[text_col])
-    one = scratch.put(marked.groupBy("text_key").agg(F.min("doc").alias("rep"), F.min_by("id", "doc").alias("its_id")), "one")
-    source = docs.select(docs[id_col].alias("id"), F.md5(text.cast("binary")).alias("its_key"), text.alias("text"))
     # Their number grows with the documents, so that no size of the input has them broadcast.
-    texts = source.join(one.hint("merge"), source["id"].eqNullSafe(F.col("its_id")) & (F.col("its_key") == F.col("text_key"))).select("rep", "text").dropDuplicates(["rep"])
-    found = jaccard_join.join(scratch.put(texts, "texts"), id_col="rep").select("rep", F.col("class_id").alias("class"))
-    named = scratch.put(one.select("text_key", "rep").join(found, "rep").select("text_key", "class"), "named")
-    return scratch.put(marked.select("doc", "text_key").join(named, "text_key").select("doc", "class"), "classes")
-
-
-def decide(docs: DataFrame, min_docs: int = 2, everywhere: int = 10, min_tokens: int = 4, copy_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_key, dropped) for documents that lose lines: dropped holds the places of these lines, from 0."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "line-dedup")
+    texts = docs.select(F.unhex(F.md5(text.cast("binary"))).alias("doc"), text.alias("text")).join(wanted.select("doc").distinct().hint("merge"), "doc", "left_semi")
+    texts = scratch.put(texts.dropDuplicates(["doc"]), "texts")
+    rows = wanted.join(texts, "doc").select("up", "part", "side", "doc", "text").repartition(linking.tasks_of(docs), "up", "part").sortWithinPartitions("up", "part", "side")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        against = np.empty(0, np.uint64)
+        for b in batches:
+            out: list = [[], []]
+            for up, side, doc, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                found = shingles(text)
+                if side == 0:
+                    against = found
+                else:
+                    both = len(np.intersect1d(found, against, assume_unique=True))
+                    if both >= similarity * (len(found) + len(against) - both) - 1e-9:
+                        out[0].append(doc)
+                        out[1].append(up)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in out], names=["doc", "up"])
+
+    found, k = scratch.put(rows.mapInArrow(compare, "doc binary, up binary"), "found"), 0
+    while True:  # each leads to an earlier one; a round doubles the steps
+        k += 1
+        nxt = found.select(F.col("doc").alias("up"), F.col("up").alias("top"))
+        new = scratch.put(found.join(nxt, "up", "left").select("doc", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")), f"found-{k}")
+        moved = new.agg(F.max("moved")).first()[0]
+        found = new.drop("moved")
+        if not moved:
+            return found.withColumnRenamed("up", "class")
+
+
+def decide(
+    docs: DataFrame, min_docs: int = 2, everywhere: int = 10, min_tokens: int = 4, copy_share: float = 0.2, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(doc, dropped) for texts that lose lines, by the MD5 of the text: dropped holds the places of these lines, from 0."""
+    bounded_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "line-dedup")
     text = text_or_empty(docs[text_col])
-    rows = docs.select(docs[id_col].alias("id"), F.md5(text.cast("binary")).alias("text_key"), plain(text).alias("text")).withColumn("doc", F.monotonically_increasing_id())
+    rows = docs.select(docs[id_col].alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("doc"), plain(text).alias("text"))
     each = F.transform(F.split("text", "\n"), lambda x, at: F.struct(at.alias("at"), tokens_of(x).alias("tokens")))
-    rows = rows.select("id", "text_key", "doc", F.explode(F.filter(each, lambda x: F.size(x["tokens"]) > 0)).alias("line"))
+    rows = rows.select("id", "doc", F.explode(F.filter(each, lambda x: F.size(x["tokens"]) > 0)).alias("line"))
     tokens = F.col("line.tokens")
-    long_line = F.size(tokens) >= RUNS
     rows = scratch.put(
         rows.select(
-            "id", "text_key", "doc", "line.at", F.unhex(F.md5(F.array_join(tokens, " ").cast("binary"))).alias("key"), F.size(tokens).alias("n"), F.hash(F.slice(tokens, 1, LEADING)).alias("lead"),
-            F.when(long_line, lanes(tokens, 0)).alias("low"), F.when(long_line, lanes(tokens, 1)).alias("high"),
+            "id", "doc", "line.at", F.xxhash64(tokens).alias("h1"), F.xxhash64(F.lit(1), tokens).alias("h2"), F.size(tokens).alias("n"), F.hash(F.slice(tokens, 1, LEADING)).alias("lead"),
+            F.when(F.size(tokens) >= LEAST, lanes(tokens, 0)).alias("low"), F.when(F.size(tokens) >= LEAST, lanes(tokens, 1)).alias("high"),
         ),
         "lines",
     )
-    distinct = rows.groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "lead", "low", "high")))
+    holder = F.xxhash64("doc")
+    distinct = rows.groupBy("h1", "h2").agg(
+        *(F.min(c).alias(c) for c in ("n", "lead", "low", "high")), F.min(holder).alias("low_doc"), F.max(holder).alias("high_doc")
+    )
     distinct = scratch.put(distinct.withColumn("item", F.monotonically_increasing_id()), "distinct")
-    named = distinct.select("key", "item").join(templates(distinct.drop("key")), "item", "left")
-    named = scratch.put(named.select("key", F.coalesce("template", "item").alias("template")), "named")
-    tagged = scratch.put(rows.select("doc", "id", "at", "n", "key").join(named, "key").drop("key"), "tagged")
-    # A row for each template of a document.
-    held = scratch.put(tagged.groupBy("doc", "template").agg(F.first("id").alias("id"), F.sum("n").alias("tokens"), F.max("n").alias("n")), "held")
-    often = scratch.put(held.groupBy("template").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1").select("template", F.lit(True).alias("again")), "often")
-    share = held.join(often, "template", "left").groupBy("doc").agg((F.sum(F.when(F.col("again"), F.col("tokens")).otherwise(0)) / F.sum("tokens")).alias("share"))
-    keys = scratch.put(rows.groupBy("doc").agg(F.first("id").alias("id"), F.first("text_key").alias("text_key")), "keys")
-    marked = scratch.put(keys.join(share.where(F.col("share") >= copy_share).select("doc"), "doc"), "marked")
-    copies = copy_classes(docs, marked, id_col, text_col)
-    known = held.join(often.select("template"), "template", "left_semi").join(copies, "doc", "left")
-    known = scratch.put(known.select("doc", "template", "id", "n", F.coalesce("class", "doc").alias("class")), "known")
-    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("doc").alias("doc")))
-    each_class = known.groupBy("template", "class").agg(F.max("n").alias("n"), first.alias("first"))
-    spread = each_class.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.max("n").alias("longest"), F.min("first").alias("first"))
-    enough = F.when(F.col("longest") >= min_tokens, F.lit(min_docs)).otherwise(F.lit(everywhere))
-    recurring = scratch.put(spread.where(F.col("docs") >= enough).select("template", F.col("first.doc").alias("first_doc"), (F.col("docs") >= everywhere).alias("all_of_them")), "recurring")
-    gone = scratch.put(known.join(recurring, "template").where(F.col("all_of_them") | (F.col("doc") != F.col("first_doc"))).select("doc", "template"), "gone")
-    places = tagged.select("doc", "template", "at").join(gone, ["doc", "template"]).groupBy("doc").agg(F.sort_array(F.collect_set("at")).alias("dropped"))
-    return keys.join(places, "doc").groupBy("id", "text_key").agg(F.max("dropped").alias("dropped"))
+    named = scratch.put(templates(distinct).join(distinct.select("item", "h1", "h2"), "item").drop("item"), "named")
+    # Lines that no other document has go no further.
+    held = scratch.put(rows.select("id", "doc", "at", "n", "h1", "h2").join(named.hint("merge"), ["h1", "h2"]).drop("h1", "h2"), "held")
+    lengths = rows.select("doc", "at", "n").join(held.select("doc").distinct().hint("merge"), "doc", "left_semi").groupBy("doc", "at").agg(F.min("n").alias("n"))
+    lengths = scratch.put(lengths.groupBy("doc").agg(F.sum("n").alias("tokens")), "lengths")
+    classes = copies(docs, held, lengths, text_col, copy_share, similarity)
+    known = held.join(classes, "doc", "left").withColumn("class", F.coalesce("class", "doc"))
+    known = scratch.put(known.select("template", "wild", "class", "doc", "id", "at", "n"), "known")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("class").alias("class")))
+    each_class = known.groupBy("template", "class").agg(F.max("n").alias("n"), F.max("wild").alias("wild"), first.alias("first"))
+    spread = each_class.groupBy("template").agg(F.count(F.lit(1)).alias("classes"), F.max("n").alias("n"), F.max("wild").alias("wild"), F.min("first").alias("first"))
+    enough = F.when((F.col("n") >= min_tokens) & (~F.col("wild") | (F.col("n") >= RUNS)), F.lit(min_docs)).otherwise(F.lit(everywhere))
+    recurring = spread.where(F.col("classes") >= enough).select("template", F.col("first.class").alias("first_class"), (F.col("classes") >= everywhere).alias("all_of_them"))
+    recurring = scratch.put(recurring, "recurring")
+    gone = known.join(recurring, "template").where(F.col("all_of_them") | (F.col("class") != F.col("first_class")))
+    return gone.groupBy("doc").agg(F.sort_array(F.collect_set("at")).alias("dropped"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with recurring lines dropped from the text; adds n_lines (before) and n_dropped.
 
-    * A template recurs when ``min_docs`` documents hold it. It is kept in the first of them, by id, or in none once
-      ``everywhere`` documents hold it. Shorter lines than ``min_tokens`` recur from ``everywhere`` documents on.
-    * Documents with ``copy_share`` of their tokens in lines that others hold are copies of each other if their texts are
-      equal or in one class of the n-gram Jaccard join: a class counts as one document.
+    * A template recurs when ``min_docs`` classes of documents hold it. It is kept in the first of them, by id, or in none
+      once ``everywhere`` classes hold it. Lines of fewer tokens than ``min_tokens``, and templates with a wildcard of lines
+      of fewer than eight tokens, recur from ``everywhere`` classes on.
+    * Equal texts are of one class, and near copies (``similarity``) of an earlier text that holds ``copy_share`` of the tokens.
     * A null text counts as empty; blank lines are never dropped by themselves; a line repeated in one document only stays.
-    * Repeated rows (same id and text) are copies of each other and stay repeated. An empty table gives no rows. Other columns stay.
+    * Repeated rows (same id and text) are copies of each other and stay repeated. Null ids come last. An empty table gives no rows.
+    * Long texts count whole, and so do long lines. Other columns stay; columns named n_lines or n_dropped are replaced.
     """
-    gone = decide(docs, id_col=id_col, text_col=text_col, **options)
-    gone = gone.select(F.col("id").alias("__its_id"), F.col("text_key").alias("__its_key"), F.col("dropped").alias("__its_dropped"))
+    gone = decide(docs, id_col=id_col, text_col=text_col, **options).select(F.col("doc").alias("doc"), "dropped")
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     text = text_or_empty(docs[text_col])
+    whole = docs.select(F.struct(*(docs[c] for c in names)).alias("row"), F.unhex(F.md5(text.cast("binary"))).alias("doc"), text.alias("text"))
     # What loses lines grows with the documents, so that no size of the input has it broadcast.
-    found = docs.withColumn("__key", F.md5(text.cast("binary"))).join(gone.hint("merge"), docs[id_col].eqNullSafe(F.col("__its_id")) & (F.col("__key") == F.col("__its_key")), "left")
-    lines = F.split(text_or_empty(text_col), "\n")
-    left = F.filter(lines, lambda x, at: ~F.array_contains(F.col("__its_dropped"), at))
-    n_lines = F.size(lines)
-    found = found.withColumn("__left", F.when(F.col("__its_dropped").isNull(), lines).otherwise(left)).withColumn("n_lines", n_lines)
-    cleaned = F.when(F.col("__its_dropped").isNull(), F.col(text_col)).otherwise(F.array_join("__left", "\n"))
-    return found.withColumn("n_dropped", n_lines - F.size("__left")).withColumn(text_col, cleaned).drop("__key", "__left", "__its_id", "__its_key", "__its_dropped")
+    found = whole.join(gone.hint("merge"), "doc", "left")
+    lines = F.split("text", "\n")
+    left = F.filter(lines, lambda x, at: ~F.array_contains(F.col("dropped"), at))
+    cleaned = F.when(F.col("dropped").isNull(), F.col(f"row.`{text_col}`")).otherwise(F.array_join(left, "\n"))
+    n_dropped = F.coalesce(F.size("dropped"), F.lit(0))
+    return found.select(*(cleaned.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in names), F.size(lines).alias("n_lines"), F.when(F.col("dropped").isNull(), 0).otherwise(n_dropped).alias("n_dropped"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """Similarity operators against all pairs on small tables."""
 
+import hashlib
 import random
 from itertools import combinations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from folioflow.llm import embedding_dedup, jaccard_join, line_dedup
@@ -198,14 +200,96 @@ def test_shared_passage_makes_no_copies(documents):
     assert all(text[i] == dict(rows)[i] for i in (30, 31, 32))
 
 
-def test_templates_link_all_pairs_of_a_node(spark):
-    rng = random.Random(4)
-    runs = lambda *values: " ".join(f"r{k}{v} s{k}{v}" for k, v in enumerate(values)).translate(str.maketrans("0123456789", "abcdefghij"))
-    lines = {1: (0, 2, 2, 2, 2, 2, 0, 0), 2: (0, 0, 0, 0, 0, 0, 0, 0), 3: (0, 0, 1, 0, 1, 0, 0, 0)}
-    lines |= {k: (0, *(rng.choice((0, 0, 0, 3, 4, 5)) for _ in range(7))) for k in range(10, 150)}
-    lines |= {k: (1, *(rng.randrange(9) for _ in range(7))) for k in range(200, 300)}
-    linked = [(a, b) for a, b in combinations(lines, 2) if lines[a][0] == lines[b][0] and sum(x == y for x, y in zip(lines[a], lines[b], strict=True)) >= 6]
-    df = spark.createDataFrame([(k, runs(*v).split()) for k, v in lines.items()], "item long, t array<string>")
-    df = df.select("item", F.size("t").alias("n"), F.hash(F.slice("t", 1, 2)).alias("lead"), line_dedup.lanes(F.col("t"), 0).alias("low"), line_dedup.lanes(F.col("t"), 1).alias("high"))
-    got = {r["item"]: r["template"] for r in line_dedup.templates(df).collect()}
-    assert {i: got.get(i, i) for i in lines} == classes(lines, linked) and (2, 3) in linked and (1, 3) not in linked
+def brute_lines(rows):
+    """The texts that line dedup leaves, by its rules, on tokens instead of hashes."""
+    order = {}
+    for i, t in rows:
+        key = (i is None, i or 0)
+        order[t or ""] = min(key, order.get(t or "", key))
+    where, holds = {}, {}
+    for t in order:
+        for at, line in enumerate(t.split("\n")):
+            tokens = tuple("<*>" if any(c.isdigit() for c in x) else x for x in line.split())
+            if tokens:
+                where[t, at] = tokens
+    for place, tokens in where.items():
+        n = len(tokens)
+        cuts = [tokens[n * k // 8 : n * (k + 1) // 8] for k in range(8)]
+        holds.setdefault((False, tokens), set()).add(place)
+        for out in combinations(range(8), 2 if n >= 8 else 1) if n >= 4 else ():
+            holds.setdefault((True, n, tokens[:2], out, tuple(c for k, c in enumerate(cuts) if k not in out)), set()).add(place)
+    size = {t: sum(len(x) for (u, _), x in where.items() if u == t) for t in order}
+    kept = {k: v for k, v in holds.items() if len({t for t, _ in v}) > 1}
+    up = {}
+    for t in order:
+        seen = {}
+        for v in kept.values():
+            first = min({u for u, _ in v}, key=lambda u: (order[u], hashlib.md5(u.encode()).digest()))
+            for place in v:
+                if place[0] == t != first:
+                    seen.setdefault(first, set()).add(place)
+        if seen:
+            n, _, best = max((sum(len(where[p]) for p in v), hashlib.md5(u.encode()).digest(), u) for u, v in seen.items())
+            a, b = (set(jaccard_join.shingles(x).tolist()) for x in (t, best))
+            if n >= 0.2 * size[t] and len(a & b) >= 0.8 * len(a | b):
+                up[t] = best
+
+    def top(t):
+        while t in up:
+            t = up[t]
+        return t
+
+    gone = set()
+    for k, v in kept.items():
+        found = {top(t) for t, _ in v}
+        n = max(len(where[p]) for p in v)
+        first = top(min({u for u, _ in v}, key=lambda u: (order[u], hashlib.md5(top(u).encode()).digest())))
+        if len(found) >= (2 if n >= 4 and (not k[0] or n >= 8) else 10):
+            gone |= {p for p in v if len(found) >= 10 or top(p[0]) != first}
+    return [t if t is None else "\n".join(x for at, x in enumerate(t.split("\n")) if (t, at) not in gone) for _, t in rows]
+
+
+def lined(seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(2))
+    base = [[word() for _ in range(n)] for n in (3, 4, 6, 7, 9, 12, 16, 16, 24, 40)]
+
+    def line():
+        out = list(rng.choice(base))
+        for _ in range(rng.choice((0, 0, 1, 1, 2, 3))):
+            out[rng.randrange(len(out))] = rng.choice((word(), "n7"))
+        return " ".join(out)
+
+    rows = [(k, "\n".join([*(line() for _ in range(rng.randint(0, 5))), *(" ".join(word() for _ in range(12)) for _ in range(rng.randint(0, 4)))])) for k in range(70)]
+    for k in range(40):
+        words_of = rng.choice(rows[:70])[1].split(" ")
+        if k % 2 and len(words_of) > 30:
+            words_of.insert(rng.randrange(len(words_of)), "inserted")
+        rows.append((100 + k, " ".join(words_of)))
+    return [*rows, (None, rows[3][1]), (None, "x"), (7, None), (8, "")]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_lines_match_brute_force(spark, documents, seed):
+    rows = lined(seed)
+    want = sorted(zip((i for i, _ in rows), brute_lines(rows), strict=True), key=str)
+    assert sum(a != b for (_, a), b in zip(rows, brute_lines(rows), strict=True)) > 30
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (4, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = line_dedup.line_dedup(documents(rows).repartition(n)).collect()
+            assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_boilerplate_makes_no_copies(documents):
+    """One own line and three footer lines that all share; a short line of which one word varies; clashing names."""
+    footer = [words(f"foot{k}", 15) for k in range(3)]
+    rows = [(k, "\n".join([words(f"own{k}", 12), *footer])) for k in range(40)]
+    rows += [(100 + k, words(f"more{k}", 20) + f"\nread by {words(f'n{k}', 1)} on the bus") for k in range(26)]
+    df = documents(rows).withColumns({c: F.lit("x") for c in ("doc", "row", "dropped", "n_lines", "__key", "template")})
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(df).collect()}
+    assert all(got[k]["text"] == words(f"own{k}", 12) for k in range(40))
+    assert all(got[100 + k]["text"] == words(f"more{k}", 20) and got[100 + k]["doc"] == "x" and got[100 + k]["n_lines"] == 2 for k in range(26))
