@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 
 import pytest
 
@@ -11,8 +12,8 @@ PAGES = "page_id long, url string, html string"
 
 
 def text_of(page):
-    found, inside, has = html_extract.lines_of(page)
-    return [t for t, y in zip(found, inside, strict=True) if y or not has]
+    found, kinds, _ = html_extract.lines_of(page)
+    return [found[k] for k in html_extract.chosen(kinds, set(), False)]
 
 
 @pytest.mark.parametrize(
@@ -60,6 +61,61 @@ def test_shared_lines():
     assert len(html_extract.shared([1, 2], [2, 1])) == 1
 
 
+@pytest.mark.parametrize(
+    "mark, stays",
+    [("div class=share-price", True), ("section id=related-work", True), ("table id=header-table", True), ("div class='x share-buttons'", False), ("div class=cookie-notice", False), ("div id=ad-slot-3", False)],
+)
+def test_whole_class_tokens(mark, stays):
+    assert text_of(f"<article>a<{mark}>b</{mark.split()[0]}>c</article>") == (["a", "b", "c"] if stays else ["a", "c"])
+
+
+def longest_common(a, b):
+    """Length of the longest common subsequence, by the table of all prefixes."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = row
+        row = [0]
+        for k, y in enumerate(b):
+            row.append(before[k] + 1 if x == y else max(row[k], before[k + 1]))
+    return row[-1]
+
+
+def test_shared_lines_match_brute_force():
+    rng = random.Random(1)
+    for _ in range(300):
+        a = rng.sample(range(30), rng.randint(0, 20))
+        b = rng.sample(range(30), rng.randint(0, 20))
+        found = html_extract.shared(a, b)
+        places = iter(b)
+        assert len(found) == longest_common(a, b) and all(a[k] in places for k in sorted(found))
+
+
+def test_pairing_on_all_pages(spark):
+    """Every page is differenced, and the container restores; lines in the order of paths within the host, by brute force."""
+    rng = random.Random(2)
+    rows = []
+    for k in range(60):
+        menu = "".join(f"<li>m{rng.randint(0, 3)}" for _ in range(4))
+        body = "".join(f"<p>{rng.choice(('same', f'own {k}', f'b{rng.randint(0, 9)}'))} {j}</p>" for j in range(5))
+        rows.append((k, f"http://h{k % 3}.example/{rng.randint(0, 99):02d}", f"<ul>{menu}</ul>" + (f"<article>{body}</article>" if k % 2 else body) + "<footer>f</footer>"))
+    parsed = {i: html_extract.lines_of(h) for i, _, h in rows}
+    order = sorted(rows, key=lambda r: (r[1].split("/")[2], r[1].split("/")[3], r[0]))
+    want = {}
+    for at, (i, url, _) in enumerate(order):
+        lines, kinds, _ = parsed[i]
+        gone, copy = set(), False
+        for j in (at - 1, at + 1):
+            if 0 <= j < len(order) and order[j][1].split("/")[2] == url.split("/")[2]:
+                found = html_extract.shared(lines, parsed[order[j][0]][0])
+                gone |= found
+                copy |= found >= {k for k, kind in enumerate(kinds) if kind == html_extract.OUTSIDE}
+        want[i] = (" ".join(lines[k] for k in html_extract.chosen(kinds, gone, copy)), len(gone))
+    df = spark.createDataFrame(rows, PAGES).coalesce(1)
+    assert {r["page_id"]: (r["text"], r["n_shared"]) for r in html_extract.extract(df).collect()} == want
+    off = {r["page_id"]: (r["text"], r["n_shared"]) for r in html_extract.extract(df, pairing=False).collect()}
+    assert all(off[k][1] == 0 for k in off) and sum(off[k][0] != want[k][0] for k in off) > 20 and all(off[k][0] == want[k][0] for k in off if k % 2)
+
+
 def test_differencing(spark, extra):
     page = lambda k: f"<body><p>Site of things</p><p>own text {k}</p><p>Read on in the shop</p></body>"
     rows = [(k, f"http://h.example/a/{k:02d}", page(k)) for k in range(9)] + [(20, "http://other.example/x", page(20)), (21, None, None), (22, None, "<article>q</article>"), (22, None, "<article>q</article>")]
