@@ -3,8 +3,8 @@
 A text is cut into pre-tokens by the vocabulary's pattern. Each pre-token's UTF-8
 bytes become characters by the byte-to-character table of byte-level BPE, the BPE
 model of the library merges them, and decoding reverses the table. Pre-tokens are
-encoded once and remembered in two bounded generations, so that memory does not
-grow with the corpus.
+encoded once and remembered in two generations of bounded entries of bounded length,
+so that memory does not grow with the corpus, nor with texts that have no spaces.
 
 Cutting at spaces first is exact: where a single space stands between two
 characters that are not white space, every supported pattern starts a new match at
@@ -27,8 +27,9 @@ from pyspark.sql import types as T
 
 from folioflow.llm.common import bounded_batches, table, text_or_empty
 
-#: Entries of one generation of the memory of encoded pieces, in each Python worker.
+#: Entries of one generation of the memory of encoded pieces, in each Python worker, and characters of a piece that is remembered.
 MEMORY = 400_000
+LONGEST = 64
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -54,6 +55,7 @@ class Codec:
         self.find = regex.compile(pattern).findall
         chars = byte_characters()
         self.to_chars = {b: c for b, c in enumerate(chars)}
+        self.space = chars[ord(" ")]
         back = {ord(c): b for b, c in enumerate(chars)}
         self.bytes_of: list[bytes] = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
@@ -62,14 +64,23 @@ class Codec:
         self._words: dict[str, array] = {}
         self._old: dict[str, array] = {}
 
+    def made(self, word: str) -> array:
+        """Ids of one pre-token, by the model."""
+        if word.isascii() and word.isprintable():
+            mapped = word.replace(" ", self.space)
+        else:
+            mapped = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.to_chars)
+        return array("I", [t.id for t in self.model.tokenize(mapped)])
+
     def ids_of(self, word: str) -> array:
-        """Ids of one pre-token."""
+        """Ids of one pre-token, remembered unless it is long."""
         found = self._words.get(word)
         if found is None:
             found = self._old.get(word)
             if found is None:
-                mapped = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.to_chars)
-                found = array("I", [t.id for t in self.model.tokenize(mapped)])
+                found = self.made(word)
+                if len(word) > LONGEST:
+                    return found
             if len(self._words) >= MEMORY:
                 self._old, self._words = self._words, {}
             self._words[word] = found
@@ -147,8 +158,11 @@ class Pieces(dict):
         self.codec, self.make, self.old = made_by, make, {}
 
     def _value(self, piece: str):
+        words = self.codec.find(piece)
+        if len(words) == 1:  # the piece itself is remembered
+            return self.make(self.codec.made(words[0]))
         ids = array("I")
-        for word in self.codec.find(piece):
+        for word in words:
             ids.extend(self.codec.ids_of(word))
         return self.make(ids)
 
@@ -158,6 +172,8 @@ class Pieces(dict):
         value = self.old.get(rest)
         if value is None:
             value = self._value(" " + rest)
+            if len(rest) > LONGEST:
+                return value
         if len(self) >= MEMORY:
             self.old = dict(self)
             self.clear()
@@ -193,8 +209,8 @@ def digest_pieces(path: str, pattern: str) -> Pieces:
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ids, starts, ends (character offsets of each token).
 
-    A null text counts as empty and gives empty arrays. Rows repeated with the same id stay repeated.
-    Only the two named columns are read.
+    A null text counts as empty and gives empty arrays. Rows repeated with the same id stay repeated. Long texts are encoded
+    whole, one row at a time. An empty table gives no rows. Only the two named columns are read.
     """
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
@@ -226,7 +242,8 @@ def decode(ids: str | Column, path: str, pattern: str) -> Column:
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode, then decode: id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256.
 
-    Null texts count as empty: no tokens, and digests of nothing. Repeated rows stay. Only the two named columns are read.
+    Null texts count as empty: no tokens, and digests of nothing. Repeated rows stay, long texts count whole, an empty table
+    gives no rows. Only the two named columns are read.
     """
     bounded_batches(docs.sparkSession)
     schema = T.StructType(
