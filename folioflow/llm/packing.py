@@ -3,13 +3,14 @@
 The plan is made from the histogram of piece lengths alone, whose size is bounded by
 the sequence length: patterns of a few lengths that fill a sequence exactly are
 enumerated, repeat counts are fitted to the histogram by non-negative least squares
-and rounded down, and what the patterns leave is packed best-fit decreasing, again
-on counts. Pieces then take their places by their rank among the pieces of their
+and rounded, the largest remainders up, as far as the histogram has pieces, and what
+the patterns leave, the residuals, is packed best-fit decreasing, again on counts. Pieces then take their places by their rank among the pieces of their
 length, a look-up in a plan of bounded size, so that no task ever holds a group.
 """
 
 from __future__ import annotations
 
+import sys
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -25,9 +26,12 @@ from folioflow.llm import bpe
 from folioflow.llm.common import Scratch, bounded_batches, table, text_or_empty
 
 SEQUENCE = 2048
-#: Patterns of three lengths are enumerated over this many of the most frequent lengths.
+#: Patterns of three lengths have one of this many of the most frequent lengths as their smallest, so that there are at most
+#: COMMON * size of them; lengths that no pattern has are residuals.
 COMMON = 96
-ROUNDS = 200
+#: Steps of the fit, and the relative change of the fitted histogram at which it ends before.
+ROUNDS = 500
+SETTLED = 1e-4
 
 
 def patterns(counts: np.ndarray, size: int) -> np.ndarray:
@@ -55,13 +59,40 @@ def fit(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
     back = lambda v: np.where(rows > 0, v[rows], 0.0).sum(1)
     want = back(h)
     x = np.full(len(rows), h.sum() / max(1, 3 * len(rows)))
+    before = np.zeros(wide)
     for _ in range(ROUNDS):
         made = np.bincount(rows.ravel(), weights=np.repeat(x, 3), minlength=wide)
         made[0] = 0.0
+        if np.abs(made - before).sum() <= SETTLED * h.sum():
+            break
+        before = made
         x *= want / np.maximum(back(made), 1e-12)
     return x
 
 
+def rounded(rows: np.ndarray, x: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole repeats of the patterns and what they leave of the histogram: the fit rounded down, then its largest remainders
+    up, then further repeats in the order of the fit, as long as there are pieces."""
+    left, times = counts.copy(), np.zeros(len(rows), np.int64)
+    held = [np.unique(r[r > 0], return_counts=True) for r in rows]
+
+    def take(k: int, most: int) -> None:
+        lengths, each = held[k]
+        n = min(most, int((left[lengths] // each).min()))
+        if n > 0:
+            left[lengths] -= n * each
+            times[k] += n
+
+    whole = np.floor(x).astype(np.int64)
+    for k in np.argsort(-x, kind="stable"):
+        take(k, int(whole[k]))
+    for k in np.argsort(whole - x, kind="stable"):
+        take(k, 1)
+    for k in np.argsort(-x, kind="stable"):
+        take(k, int(counts.sum()))
+    return times, left
+
+
 def best_fit(counts: np.ndarray, size: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """Best-fit decreasing on counts: (((length, times), ...), repeats), in equal bins at once."""
     open_bins: dict[int, list] = {}
@@ -94,25 +125,14 @@ def best_fit(counts: np.ndarray, size: int) -> list[tuple[tuple[tuple[int, int],
 
 
 def plan(counts: np.ndarray, size: int = SEQUENCE) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """Bins for a histogram of lengths 0..size: contents and repeats. Every piece has a place; the fewest bins found are kept."""
-    tried = [best_fit(counts, size)]
-    rows = patterns(counts, size)
+    """Bins for a histogram of lengths 0..size: contents and repeats, patterns first. Every piece has a place."""
+    rows, out, left = patterns(counts, size), [], counts
     if len(rows):
-        x = fit(rows, counts)
-        for share in (1.0, 0.9, 0.6):
-            left, out = counts.copy(), []
-            for k in np.argsort(-x, kind="stable"):
-                n = int(x[k] * share)
-                if n == 0:
-                    break
-                lengths, times = np.unique(rows[k][rows[k] > 0], return_counts=True)
-                n = min(n, int((left[lengths] // times).min()))
-                if n:
-                    left[lengths] -= n * times
-                    out.append((tuple(zip(lengths[::-1].tolist(), times[::-1].tolist(), strict=True)), n))
-            tried.append(out + best_fit(left, size))
-    fewest = min(sum(n for _, n in t) for t in tried)
-    return next(t for t in reversed(tried) if sum(n for _, n in t) == fewest)
+        times, left = rounded(rows, fit(rows, counts), counts)
+        for k in np.flatnonzero(times):
+            lengths, each = np.unique(rows[k][rows[k] > 0], return_counts=True)
+            out.append((tuple(zip(lengths[::-1].tolist(), each[::-1].tolist(), strict=True)), int(times[k])))
+    return out + best_fit(left, size)
 
 
 def places(bins) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -136,10 +156,17 @@ def places(bins) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 _PIECES: dict[tuple[str, str], bpe.Pieces] = {}
 
 
+def little(ids: array) -> bytes:
+    if sys.byteorder == "big":
+        ids = array("I", ids)
+        ids.byteswap()
+    return ids.tobytes()
+
+
 def id_pieces(path: str, pattern: str) -> bpe.Pieces:
     """Of each piece: its ids, four little-endian bytes each."""
     if (path, pattern) not in _PIECES:
-        _PIECES[path, pattern] = bpe.Pieces(bpe.codec(path, pattern), lambda ids: np.asarray(ids, dtype="<u4").tobytes())
+        _PIECES[path, pattern] = bpe.Pieces(bpe.codec(path, pattern), little)
     return _PIECES[path, pattern]
 
 
@@ -151,7 +178,7 @@ def pieces_of(docs: DataFrame, path: str, pattern: str, end_id: int, size: int,
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = id_pieces(path, pattern)
-        end = array("I", [end_id]).tobytes()
+        end = little(array("I", [end_id]))
         seen = [0] * (size + 1)
         for b in batches:
             who, cols = [], ([], [], [], [], [])
@@ -177,7 +204,7 @@ def pack(docs: DataFrame, path: str, pattern: str, end_id: int = 0, size: int =
 
     * A document is its ids and ``end_id``. Only one longer than ``size`` is cut: its
       first piece takes what is over, the others are full.
-    * A null text counts as empty: one piece of length 1. Repeated rows are packed as often as they occur.
+    * A null text counts as empty: one piece of length 1. Long texts are encoded whole and cut. Repeated rows are packed as often as they occur.
     * Sequences are gapless from offset 0 and hold at most ``size`` ids. An empty table gives no rows.
     * Only the two named columns are read.
     """
