@@ -30,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_embedding_dedup": embedding_dedup.ORACLE_SQL,
         "op6_ngram_jaccard_join": jaccard_join.ORACLE_SQL,
         "op8_warc": warc.ORACLE_SQL,
+        "op9_url_filter": url_filter.ORACLE_SQL,
     }

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 
 import pytest
 
@@ -195,9 +196,9 @@ def brute_rank(edges, seeds, damping, rounds):
     out = {}
     for s, d, n in edges:
         out.setdefault(s, []).append((d, n))
-    rank = dict.fromkeys(seeds, 1.0)
+    rank = dict(seeds)
     for _ in range(rounds):
-        new = dict.fromkeys(seeds, 1.0)
+        new = dict(seeds)
         for s, v in rank.items():
             total = sum(n for _, n in out.get(s, []))
             for d, n in out.get(s, []):
@@ -210,7 +211,44 @@ def test_propagation_matches_brute_force(spark):
     from folioflow.llm.common import Scratch
 
     edges = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 1), ("d", "a", 5)]
-    seeds = spark.createDataFrame([("a", 1)], "host string, seed int")
-    got = url_filter.propagate(Scratch(spark, "t"), spark.createDataFrame(edges, "src string, dst string, n long"), seeds, "t", 0.85, 6, 0.0)
-    want = brute_rank(edges, ["a"], 0.85, 6)
-    assert {r["host"]: round(r["score"], 9) for r in got.collect()} == {h: round(v, 9) for h, v in want.items()}
+    seeds = spark.createDataFrame([("a", 0.7)], "host string, seed double")
+    got = url_filter.propagate(Scratch(spark, "t"), spark.createDataFrame(edges, "src string, dst string, n long"), seeds, "t", 0.5, 1e-4)
+    want = brute_rank(edges, {"a": 0.7}, 0.5, 60)
+    found = {r["host"]: r["score"] for r in got.collect()}
+    assert found.keys() == want.keys() and all(abs(found[h] - want[h]) < 1e-3 for h in want)
+
+
+def test_verdicts_match_brute_force(spark):
+    """Rules make seeds, links and domains carry them."""
+    rng = random.Random(4)
+    hosts = [f"{a}.{b}.{t}" for a in ("x", "y", "z") for b in ("one", "two") for t in ("com", "net")] + ["w.one.org", "long" * 40 + ".two.com", "1.2.3.4"]
+    rows = []
+    for k in range(120):
+        link = "".join(f"<a href='//{rng.choice(hosts)}/p'>l</a>" for _ in range(rng.randint(0, 2)))
+        rows.append((k, f"http://{rng.choice(hosts)}/{rng.choice(('en/7', 'en/1', 'de/1', 'fr/1', 'fr/2' + 'x' * 9000))}", link))
+    got = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(rows, PAGES), damping=0.6).collect()}
+    host, ruled = {k: r["host"] for k, r in got.items()}, {k: r["verdict"] if r["rule"] else None for k, r in got.items()}
+    links = {}
+    for k, _, html in rows:
+        for dst in re.findall(r"href='//([^/]+)/", html):
+            if dst != host[k]:
+                links[host[k], dst] = links.get((host[k], dst), 0) + 1
+    for h in set(host.values()) | {d for _, d in links}:
+        labels = h.split(".")
+        for k in range(len(labels) - 2 if not labels[-1].isdigit() else 0):
+            links.setdefault((".".join(labels[k:]), ".".join(labels[k + 1 :])), 1)
+    share = lambda h, v: sum(host[k] == h and ruled[k] == v for k in host) / sum(host[k] == h for k in host)
+    bad = {h: share(h, "block") for h in set(host.values()) if share(h, "block") >= 0.5}
+    good = {h: share(h, "allow") for h in set(host.values()) if share(h, "allow") > 0}
+    trust = brute_rank([(s, d, n) for (s, d), n in links.items()], good, 0.6, 80)
+    distrust = brute_rank([(d, s, n) for (s, d), n in links.items()], bad, 0.6, 80)
+    want = {k: ruled[k] or ("block" if distrust.get(host[k], 0) >= 0.2 and distrust[host[k]] > trust.get(host[k], 0) else "allow") for k in host}
+    assert {k: r["verdict"] for k, r in got.items()} == want
+    free = [k for k in want if ruled[k] is None]
+    assert {want[k] for k in free} == {"allow", "block"} and any(want[k] == "block" and host[k] not in bad for k in free)
+
+
+def test_seed_table(spark):
+    rows = [(1, "http://A.shop.test/", ""), (2, "http://b.test/", "<a href='http://c.test/'>c</a>"), (3, "http://c.test/", "")]
+    seeds = spark.createDataFrame([("Shop.test", "block"), ("c.test", "block"), ("b.test", "allow"), (None, "block"), ("far.test", "block")], "host string, verdict string")
+    assert {k: v[3] for k, v in verdicts(spark, rows, seeds=seeds).items()} == {1: "block", 2: "allow", 3: "block"}
