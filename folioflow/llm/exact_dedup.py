@@ -1,13 +1,19 @@
 """Exact dedup by a tree merge of sorted digest runs; DataFrame functions only.
 
-Each input partition becomes a run: its documents reduced to digest rows and sorted
-by digest. Runs then merge in rounds, ``fan_in`` runs into one, until a single run is
-left. A merge keeps one row per digest: the best document so far, the number of
-documents behind it, and the extremes of a second fingerprint (an unrelated hash and
-the length of the normalised text) that must agree, so that equal digests are
-verified at every level. The decision then walks the same tree downwards. A digest
-that a third of all rows share has at most ``fan_in`` rows in any group of a merge
-and is joined back run by run, never as one group.
+Each input partition becomes a run: its documents reduced to digest rows and sorted by
+digest. Runs are cut into segments by the first bytes of the digest, alike in all runs,
+and the segments of all runs come together, in the order of digest and place in the
+tree: one exchange and one sort. Then runs merge in rounds within each segment,
+``fan_in`` neighbours into one (a binomial round of fan-in two, or several at once),
+until a single run is left. Every round reads sorted rows and keeps their order, so
+that none sorts or exchanges again.
+
+A merge keeps one row per digest: the best document so far, the number of documents
+behind it, and the extremes of a second fingerprint (an unrelated hash and the length
+of the normalised text) that must agree: equal digests are verified at every level. A
+digest that a third of all rows share has one row in each run, so that it grows with
+the partitions and not with the documents, and the decision reaches the documents run
+by run, never as one group.
 """
 
 from __future__ import annotations
@@ -19,6 +25,8 @@ from folioflow.llm.common import Scratch, table, text_or_empty
 
 #: The characters that normalisation deletes: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
+#: Bytes of a digest that make its segment.
+SEGMENT = 3
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8) -> DataFrame:
@@ -29,7 +37,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
       a null id loses every tie.
     * Rows repeated with the same id belong to one group, each counts, and each
       carries ``kept`` true when its id is the one that stays.
-    * An empty table gives no rows. Other columns of ``docs`` are not read.
+    * Very long texts are hashed whole. An empty table gives no rows. Other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact-dedup")
@@ -47,23 +55,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "runs",
     )
     best = F.struct((-F.col("n_points")).alias("minus_points"), F.col("id").isNull().alias("no_id"), F.col("id").alias("id"))
-    level = runs.groupBy("run", "digest").agg(
-        F.min(best).alias("best"), F.count(F.lit(1)).alias("n"), F.min("proof").alias("low"), F.max("proof").alias("high")
-    )
     width = (runs.agg(F.max("run")).first()[0] or 0) + 1
-    levels = [level]
-    while width > 1:
-        level = level.groupBy((F.col("run") / fan_in).cast("int").alias("run"), "digest").agg(
-            F.min("best").alias("best"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")
-        )
-        levels.append(level)
-        width = -(-width // fan_in)
-    verified = F.when(F.col("low") == F.col("high"), F.col("n")).otherwise(F.raise_error(F.lit("two texts share a SHA-256 digest")).cast("long"))
-    decided = level.select("run", "digest", F.col("best.id").alias("keep_id"), verified.alias("n"))
-    for below in reversed(levels[:-1]):
-        mine = below.select("run", "digest", (F.col("run") / fan_in).cast("int").alias("up"))
-        decided = mine.join(decided.withColumnRenamed("run", "up"), ["up", "digest"]).drop("up")
-    return runs.join(decided, ["run", "digest"]).select(
+    # Where a run stands in each round: its number without the last digits, to the base of the fan-in.
+    rounds, left = ["run"], width
+    while left > 1:
+        left = -(-left // fan_in)
+        rounds.append(f"run_{len(rounds)}")
+    proofs = [F.min("low").alias("low"), F.max("high").alias("high")]
+    same = F.when(F.col("low") == F.col("high"), F.col("n")).otherwise(F.raise_error(F.lit("two texts share a SHA-256 digest")).cast("long"))
+    level = runs.groupBy("run", "digest").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("n"), F.min("proof").alias("low"), F.max("proof").alias("high"))
+    level = level.withColumns({"n": same, "segment": F.substring("digest", 1, SEGMENT)} | {c: F.floor(F.col("run") / F.lit(fan_in**k)).cast("int") for k, c in enumerate(rounds) if k})
+    order = ["segment", "digest", *reversed(rounds)]
+    first = scratch.put(level, "first")
+    level = first.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "segment").sortWithinPartitions(*order)
+    for k in range(1, len(rounds)):
+        keys = order[: len(order) - k]  # the place of a run in this round and those after it
+        level = level.groupBy(*keys).agg(F.min("best").alias("best"), F.sum("n").alias("n"), *proofs).withColumn("n", same)
+    whole = level.select("segment", "digest", F.col("best.id").alias("keep_id"), "n")
+    decided = scratch.put(first.select("segment", "digest", "run").join(whole.hint("merge"), ["segment", "digest"]).drop("segment"), "decided")
+    return runs.join(decided.hint("merge"), ["run", "digest"]).select(
         F.col("id").alias(id_col),
         F.col("keep_id"),
         F.col("n").alias("group_size"),

@@ -40,3 +40,31 @@ def test_empty(documents):
 def test_plan_is_native(documents):
     plan = exact_dedup(documents([(1, "a")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_rounds_keep_the_order(documents):
+    """A merge neither sorts nor exchanges: all rounds stand on one exchange by segment and one sort."""
+    from folioflow.llm import common
+
+    plans, put = [], common.Scratch.put
+
+    class Watched(common.Scratch):
+        def put(self, df, name):
+            plans.append(df._jdf.queryExecution().executedPlan().toString() if name == "decided" else "")
+            return put(self, df, name)
+
+    from folioflow.llm import exact_dedup as module
+
+    module.Scratch, before = Watched, module.Scratch
+    try:
+        exact_dedup(documents([(k, f"t{k % 9}") for k in range(60)]).repartition(30), fan_in=2).collect()
+    finally:
+        module.Scratch = before
+    plan = "".join(plans)
+    merges = plan[plan.index("SortAggregate") : plan.rindex("SortAggregate")]
+    assert plan.count("SortAggregate(") >= 10 and "Exchange" not in merges and "Sort [" not in merges
+
+
+def test_one_run(documents):
+    rows = [(3, "a"), (2, "a "), (1, "b")]
+    assert rows_of(exact_dedup(documents(rows).coalesce(1))) == model(rows)
