@@ -173,28 +173,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = 6000, passages: int = 32, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on at most ``sample`` labelled documents that are not held out, chosen by a hash of the id.
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fit on at most ``sample`` labelled documents that are not held out, chosen by a hash of the id, on their whole texts.
 
-    Of a document that is longer, ``passages`` evenly spaced passages are fitted on; scoring reads all. Labels that are
-    null or have no document are left out. A sample without both labels gives a model that scores its share of ones.
+    A document with several labels has their mean; of several texts with one id, the first in the order of their encodings is
+    read, so that at most ``sample`` rows reach the driver. Labels that are null or have no document are left out. A sample
+    without both labels, or an empty table, gives a model that scores its share of ones, or 0.5.
     """
     chosen = labels.select(labels[id_col].alias("its_id"), labels[label_col].cast("double").alias("label")).where(F.col("label").isNotNull() & F.col("its_id").isNotNull())
-    chosen = chosen.where(~held_out(F.col("its_id"))).dropDuplicates(["its_id"]).orderBy(F.xxhash64("its_id"), "its_id").limit(sample)
+    chosen = chosen.where(~held_out(F.col("its_id"))).groupBy("its_id").agg(F.avg("label").alias("label")).orderBy(F.xxhash64("its_id"), "its_id").limit(sample)
     rows = docs.select(docs[id_col].alias("id"), text_or_empty(docs[text_col]).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("its_id"))
     rows = rows.select("id", "label", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for t in b.column(2).to_pylist():
-                x, _ = encode([t.encode()])
-                if len(x) > passages:
-                    x = x[np.linspace(0, len(x) - 1, passages).astype(int)]
-                out.append(x.astype(np.float16).tobytes())
+            out = [encode([t.encode()])[0].astype(np.float16).tobytes() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1), pa.array(out, pa.binary())], names=["id", "label", "x"])
 
-    found = sorted(rows.mapInArrow(work, "id string, label double, x binary").collect(), key=lambda r: (r["id"], bytes(r["x"])))[:sample]
+    found = rows.mapInArrow(work, "id string, label double, x binary").groupBy("id").agg(F.min("label").alias("label"), F.min("x").alias("x")).collect()
+    found.sort(key=lambda r: r["id"])
     bags = [np.frombuffer(r["x"], np.float16).reshape(-1, WIDTH).astype(np.float32) for r in found]
     y = np.array([r["label"] for r in found])
     return train(np.concatenate(bags) if bags else np.empty((0, WIDTH)), np.array([len(x) for x in bags], np.int64), y)
@@ -203,8 +200,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, held_out, score, predicted.
 
-    A null text counts as empty, and an empty text has a score like any other. Repeated rows score alike; an empty table
-    gives no rows. Only the two named columns are read.
+    A null text counts as empty, and an empty text has a score like any other. Very long texts are scored whole. Repeated
+    rows score alike; an empty table gives no rows. Only the two named columns are read.
     """
     bounded_batches(docs.sparkSession)
     scored = docs.select(docs[id_col].alias("id"), model.column(text_or_empty(docs[text_col])).alias("score"))

@@ -56,6 +56,17 @@ def test_no_labels(spark, documents):
     assert one.share in (1.0, 0.5) and quality.score(documents([]), one).collect() == []
 
 
+def test_labels_in_doubt(spark, documents):
+    """Two labels of a document are averaged, of several texts with one id one is read, and the whole of it."""
+    ddl = "doc_id long, quality int, toxic int"
+    rows, labels = sample(120)
+    doubled = labels + [(i, q, t) for i, q, t in labels if i % 2]
+    a, b = (quality.fit(documents(rows), spark.createDataFrame(x, ddl)) for x in (labels, doubled))
+    assert all(np.array_equal(p, q) for p, q in zip(a.parts, b.parts, strict=True))
+    c, d = (quality.fit(documents(x).repartition(n), spark.createDataFrame(labels, ddl)) for x, n in ((rows + rows[:50] * 3, 3), (rows[:50] * 2 + rows, 7)))
+    assert all(np.array_equal(p, q) for p, q in zip(c.parts, a.parts, strict=True)) and all(np.array_equal(p, q) for p, q in zip(c.parts, d.parts, strict=True))
+
+
 def test_gradient_matches_differences():
     rng = np.random.default_rng(0)
     x, counts, labels = rng.normal(size=(7, quality.WIDTH)).astype(np.float32), np.array([2, 1, 4]), np.array([1.0, 0.0, 1.0])
