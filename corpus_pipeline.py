@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm import jaccard_join, line_dedup, packing, quality
-from folioflow.llm.common import Scratch, table
+from folioflow.llm.common import Scratch, staging, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -52,5 +52,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = scratch.put(stage(spark, docs, sf_dir), name)
+        with staging():  # what a stage leaves behind goes when its result is written
+            docs = scratch.put(stage(spark, docs, sf_dir), name)
     return docs
