@@ -13,6 +13,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
@@ -136,33 +137,54 @@ def confidence_of(provider: ModelProvider, merged: str, samples: list[str]) -> f
         return 0.5
 
 
+FENCED = re.compile(r"```[^\n]*(?:\n(?P<body>.*?))??(?:\n[^\S\n]*```[^\S\n]*)?\Z", re.S)
+
+
 def strip_fences_text(text: str) -> str:
-    """The Python side of ``functions.text.strip_fences``."""
-    if not text.startswith("```"):
-        return text
-    lines = text.split("\n")[1:]
-    if lines and lines[-1].strip() == "```":
-        lines.pop()
-    return "\n".join(lines).strip()
+    """``functions.text.strip_fences`` on the Python side; the tests hold one against the other."""
+    found = FENCED.match(text)
+    return (found["body"] or "").strip() if found else text
+
+
+def once(factory: Factory) -> Factory:
+    """The factory, asked once for each copy that a task unpacks."""
+    held: list[ModelProvider] = []
+
+    def get() -> ModelProvider:
+        if not held:
+            held.append(factory())
+        return held[0]
+
+    return get
+
+
+def in_flight(workers: int, call: Callable, items: list) -> list:
+    """The calls' answers in order, so many at a time."""
+    if workers <= 1:
+        return list(map(call, items))
+    with ThreadPoolExecutor(workers) as pool:
+        return list(pool.map(call, items))
 
 
 def classify(pages: DataFrame, factory: Factory, context: str = "") -> DataFrame:
     """One row per document of (doc_stem, page_number, image), from all its pages in order."""
 
+    provider = once(factory)
+
     def one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         images = [bytes(x) for x in group.sort_values("page_number")["image"]]
-        return pd.DataFrame([{"doc_stem": key[0]} | classify_document(factory(), images, context)])
+        return pd.DataFrame([{"doc_stem": key[0]} | classify_document(provider(), images, context)])
 
     return pages.select("doc_stem", "page_number", "image").groupBy("doc_stem").applyInPandas(one, schemas.CLASSIFICATION)
 
 
-def transcribe(pages: DataFrame, factory: Factory, retries: int = 3, context: str = "") -> DataFrame:
-    """Single mode: text, variant and attempts of each page, with retries over prompt variants."""
+def transcribe(pages: DataFrame, factory: Factory, retries: int = 3, context: str = "", workers: int = 1) -> DataFrame:
+    """Single mode: text, variant and attempts of each page, with retries over prompt variants; ``workers`` pages at a time in a task."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         provider = factory()
         for b in batches:
-            found = [transcribe_with_retry(provider, bytes(x), retries=retries, context=context) for x in b["image"]]
+            found = in_flight(workers, lambda x: transcribe_with_retry(provider, bytes(x), retries=retries, context=context), list(b["image"]))
             out = b[["doc_stem", "page_number"]].copy()
             out["transcription"], out["prompt_variant"], out["retry_attempts"] = zip(*found, strict=True) if found else ((), (), ())
             out["transcription_confidence"] = pd.Series([None] * len(out), dtype="float64", index=out.index)
@@ -171,18 +193,18 @@ def transcribe(pages: DataFrame, factory: Factory, retries: int = 3, context: st
     return pages.select("doc_stem", "page_number", "image").mapInPandas(work, schemas.TRANSCRIPT)
 
 
-def sample(pages: DataFrame, factory: Factory, n: int, temperature: float = 0.5, context: str = "") -> DataFrame:
-    """n samples of each page as rows (doc_stem, page_number, sample_idx, text); a failing call fails its task."""
+def sample(pages: DataFrame, factory: Factory, n: int, temperature: float = 0.5, context: str = "", workers: int = 1) -> DataFrame:
+    """n samples of each page as rows (doc_stem, page_number, sample_idx, text), ``workers`` at a time in a task; a failing call fails its task."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         provider = factory()
         for b in batches:
-            out = b[["doc_stem", "page_number", "sample_idx"]].copy()
-            out["text"] = [provider.transcribe(bytes(x), VARIANTS[0], temperature, context) or "" for x in b["image"]]
+            out = b.loc[b.index.repeat(n), ["doc_stem", "page_number"]].reset_index(drop=True)
+            out["sample_idx"] = list(range(n)) * len(b)
+            out["text"] = in_flight(workers, lambda x: provider.transcribe(bytes(x), VARIANTS[0], temperature, context) or "", [x for x in b["image"] for _ in range(n)])
             yield out
 
-    numbered = pages.select("doc_stem", "page_number", "image", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("sample_idx"))
-    return numbered.mapInPandas(work, schemas.SAMPLE)
+    return pages.select("doc_stem", "page_number", "image").mapInPandas(work, schemas.SAMPLE)
 
 
 def self_consistent(samples: DataFrame, factory: Factory) -> DataFrame:
@@ -260,8 +282,10 @@ def summarize(pages: DataFrame, factory: Factory, max_input_tokens: int = 100_00
     keys = ["doc_stem", "chunk_idx"]
     prompts = exam_lists(chunked, keys).join(transcriptions(chunked, keys), keys).join(chunked.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("n")), keys)
 
+    make = once(factory)
+
     def one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        provider, summary = factory(), ""
+        provider, summary = make(), ""
         for c in group.sort_values("chunk_idx").itertuples():
             name = "summary_first" if c.chunk_idx == group["chunk_idx"].min() else "summary_next"
             prompt = fill(name, n=c.n, exam_list=c.exam_list, transcriptions=c.transcriptions, summary=summary)

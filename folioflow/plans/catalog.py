@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,6 +13,10 @@ from folioflow.functions import dates, text
 from folioflow.operators import checks, chunking, frontmatter, naming, providers, records, voting
 from folioflow.plans import views as V
 from folioflow.plans.views import view
+from folioflow.prompts import VARIANTS
+from folioflow.sinks import files as sinks
+from folioflow.sources import files as sources
+from folioflow.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -461,17 +466,30 @@ def frontmatter_parse(spark, sf_dir):
     return frontmatter.parsed(view(spark, sf_dir, V.HEADED)).select("conv_id", "turn", "header.title", "header.category", "header.exam_date", "body")
 
 
-@query()
+_IMAGES = f"select cast(doc_stem as string) as doc_stem, page_number, case when page_number % 3 = 1 then 'REFUSE' else '' end || transcription as image, {strip_sql('transcription')} as t from ({V.CHATS}) c"
+_WHOLE = f"select doc_stem, string_agg(image, chr(10) order by page_number) as t from ({_IMAGES}) i group by doc_stem"
+
+
+@query(f"""
+select doc_stem, not regexp_matches(lower(t), '\\b(invoice|fatura)\\b') as is_exam, left(list_filter(list_transform(string_split(t, chr(10)), lambda x: {strip_sql('x')}), lambda x: x <> '')[1], 60) as exam_name_raw,
+       nullif(regexp_extract(t, '(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1), '') as exam_date, null as facility_name, null as physician_name, null as department from ({_WHOLE}) w
+""")
 def stub_classify(spark, sf_dir):
     return providers.classify(_chat_images(spark, sf_dir), providers.StubProvider)
 
 
-@query()
+@query(f"""
+with p as (select doc_stem, page_number, t, length(t) >= 20 and not starts_with(lower(t), 'i cannot') as good, page_number % 3 = 1 as refused from ({_IMAGES}) i)
+select doc_stem, page_number, t as transcription, cast(null as double) as transcription_confidence,
+       case when not good then '{VARIANTS[3]}' when refused then '{VARIANTS[1]}' else '{VARIANTS[0]}' end as prompt_variant, case when not good then 4 when refused then 2 else 1 end as retry_attempts from p
+""")
 def stub_transcribe_retry(spark, sf_dir):
     return providers.transcribe(_chat_images(spark, sf_dir), providers.StubProvider)
 
 
-@query()
+@query(f"""
+select doc_stem, page_number, case when page_number % 3 = 1 then 'I cannot help with this document, sorry.' else t end as transcription, 1.0 as transcription_confidence, '{VARIANTS[0]}' as prompt_variant, 1 as retry_attempts from ({_IMAGES}) i
+""")
 def stub_self_consistency(spark, sf_dir):
     return providers.self_consistent(providers.sample(_chat_images(spark, sf_dir), providers.StubProvider, 3), providers.StubProvider)
 
@@ -488,11 +506,63 @@ def stub_summary_fold(spark, sf_dir):
     return providers.summarize(chats, providers.StubProvider, max_input_tokens=3000)
 
 
-@query()
+# files: written by tasks, listed and read again
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the one that all machines share; a temporary one where none is set, in local mode."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}"
+    return f"{base.rstrip('/')}/folioflow-catalog/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@query(f"select doc_stem, page_number, md5(image) as digest from ({_IMAGES}) i")
+def images_round_trip(spark, sf_dir):
+    """Page images written, listed and read back by their numbers."""
+    folder = scratch(spark, "images")
+    sinks.write_files(sinks.image_files(_chat_images(spark, sf_dir)), folder)
+    listed = sources.output_files(spark, folder).where("kind = 'image'")
+    return sources.stored_images(listed).select("doc_stem", "page_number", F.md5("image").alias("digest"))
+
+
+@query(f"select doc_stem, page_number, md5(image) as digest from ({_IMAGES}) i where page_number % 2 = 0")
+def stale_images_removed(spark, sf_dir):
+    """Images of pages that a new rendering lacks are deleted, the others stay."""
+    folder, pages = scratch(spark, "stale"), _chat_images(spark, sf_dir)
+    sinks.write_files(sinks.image_files(pages), folder)
+    sinks.remove_stale_images(sources.output_files(spark, folder), pages.where("page_number % 2 = 0"))
+    return sources.stored_images(sources.output_files(spark, folder).where("kind = 'image'")).select("doc_stem", "page_number", F.md5("image").alias("digest"))
+
+
+@query(f"select doc_stem, cast(row_number() over (partition by doc_stem order by page_number) as int) as page_number, md5(image) as digest from ({_IMAGES}) i")
+def rendered_pages(spark, sf_dir):
+    """Documents written as source files, read by their listing and rendered: pages parted by form feeds, numbered from 1."""
+    folder = scratch(spark, "sources")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("page_number", "image"))), lambda x: x["image"].cast("string"))
+    docs = _chat_images(spark, sf_dir).groupBy("doc_stem").agg(F.array_join(ordered, "\f").alias("content"))
+    sinks.write_files(docs.withColumn("file_name", F.concat("doc_stem", F.lit(".pdf"))), folder)
+    return sources.render(sources.contents(sources.manifest(spark, folder))).select("doc_stem", "page_number", F.md5("image").alias("digest"))
+
+
+@query(f"select cast(doc_stem as string) as doc_stem, page_number, nullif(exam_name_raw, '') as exam_name_raw, nullif(exam_date, '') as exam_date, nullif(exam_type, '') as exam_type, transcription_confidence, {strip_sql('transcription')} as transcription, source_file from ({V.CHATS}) c")
+def page_files_round_trip(spark, sf_dir):
+    """Page files with YAML headers written, listed, and read back as records."""
+    folder = scratch(spark, "pages")
+    sinks.write_files(sinks.page_files(view(spark, sf_dir, V.CHATS).withColumn("doc_stem", F.col("doc_stem").cast("string"))), folder)
+    found = sources.stored_records(sources.output_files(spark, folder).where("kind = 'page'"))
+    blank = lambda c: F.when(F.col(c) != "", F.col(c)).alias(c)
+    return found.select("doc_stem", "page_number", blank("exam_name_raw"), blank("exam_date"), blank("exam_type"), "transcription_confidence", "transcription", "source_file")
+
+
+@query("select doc_id, lang, source, n_chars from documents where doc_id not in (select doc_id from labels)")
 def incremental_stream(spark, sf_dir):
-    """Labelled documents as a stream over Parquet, counted by language until nothing is left."""
-    docs = table(spark, sf_dir, "documents")
-    name = f"arrived_{uuid.uuid4().hex[:12]}"
-    stream = spark.readStream.schema(docs.schema).parquet(f"{sf_dir}/documents.parquet*").groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("chars"))
-    stream.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    """Documents arriving as a stream; those with a label have output already, the others are handled."""
+    docs, folder = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"), scratch(spark, "stream")
+    stream = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parquet*").select(*docs.columns)
+    done = lambda: table(spark, sf_dir, "labels").select("doc_id")
+    docs.limit(0).write.mode("append").parquet(f"{folder}/new")
+    incremental.run_stream(stream, "doc_id", f"{folder}/checkpoint", done, lambda new, number: new.select(*docs.columns).write.mode("append").parquet(f"{folder}/new"))
+    return spark.read.schema(docs.schema).parquet(f"{folder}/new")

@@ -6,6 +6,7 @@ used, so that its calls happen once, and what follows reads tables.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -33,7 +34,7 @@ class Job:
     max_input_tokens: int = 100_000
     birth_date: str | None = None
     context: str = ""
-    workers: int | None = None
+    workers: int = 1  # calls in flight in a task
     cache_path: str | None = None
     work_path: str | None = None
     run: str = field(default_factory=lambda: uuid.uuid4().hex[:12])
@@ -53,7 +54,10 @@ class Report:
 
 
 def _uri(path: str) -> str:
-    return path if "://" in path else f"file://{path}"
+    """A path without a scheme is one of Hadoop's default store."""
+    context = SparkSession.active().sparkContext
+    p = context._jvm.org.apache.hadoop.fs.Path(path)
+    return re.sub("^file:/+", "file:///", p.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(p).toString())
 
 
 class Pipeline:
@@ -68,10 +72,6 @@ class Pipeline:
     def outputs(self) -> DataFrame:
         return files.output_files(self.spark, self.job.output_path)
 
-    def bounded(self, pages: DataFrame) -> DataFrame:
-        """Model calls in flight are the tasks of this frame."""
-        return pages.repartition(self.job.workers) if self.job.workers else pages
-
     def plan(self, reprocess_all: bool = False, document: str | None = None) -> DataFrame:
         """The documents to process."""
         found = files.manifest(self.spark, self.job.input_path, self.job.pattern)
@@ -94,7 +94,7 @@ class Pipeline:
 
     def dry_run(self, **which) -> DataFrame:
         """(doc_stem, pages): what a run would render; nothing is written and no model called."""
-        docs = files.contents(self.spark, self.plan(**which), self.job.input_path)
+        docs = files.contents(self.plan(**which))
         pages = files.render(docs, self.job.renderer).groupBy("doc_stem").agg(F.count(F.lit(1)).cast("int").alias("pages"))
         return docs.select("doc_stem").join(pages, "doc_stem", "left").select("doc_stem", F.coalesce("pages", F.lit(0)).alias("pages"))
 
@@ -102,16 +102,16 @@ class Pipeline:
         """Page images: those stored before, else rendered; all rendered with ``again``."""
         if again:
             return files.preprocessed(files.render(docs, self.job.renderer))
-        stored = files.stored_images(self.spark, self.outputs().where("kind = 'image'").join(docs.select("doc_stem"), "doc_stem", "left_semi"), self.job.output_path)
+        stored = files.stored_images(self.outputs().where("kind = 'image'").join(docs.select("doc_stem"), "doc_stem", "left_semi"))
         new = docs.join(stored.select("doc_stem").distinct(), "doc_stem", "left_anti")
         return stored.unionByName(files.preprocessed(files.render(new, self.job.renderer)))
 
     def transcripts(self, pages: DataFrame) -> DataFrame:
         job = self.job
         if job.n_extractions > 1:
-            samples = self.stage(providers.sample(self.bounded(pages), job.provider, job.n_extractions, context=job.context), "samples")
+            samples = self.stage(providers.sample(pages, job.provider, job.n_extractions, context=job.context, workers=job.workers), "samples")
             return providers.self_consistent(samples, job.provider)
-        return providers.transcribe(self.bounded(pages), job.provider, context=job.context)
+        return providers.transcribe(pages, job.provider, context=job.context, workers=job.workers)
 
     def standardized(self, pages: DataFrame) -> DataFrame:
         """Pages with standard names; only names that the cache lacks are asked for, and only answers are cached."""
@@ -128,11 +128,11 @@ class Pipeline:
         if page is not None and not document:
             raise ValueError("a page needs a document")
         spark, job = self.spark, self.job
-        docs = self.stage(files.contents(spark, self.plan(reprocess_all, document), job.input_path), "documents")
+        docs = self.stage(files.contents(self.plan(reprocess_all, document)), "documents")
         images = self.stage(self.images(docs, again=document is not None), "images")
         rendered = images.select("doc_stem").distinct()
         if page is None:
-            classified = self.stage(providers.classify(self.bounded(images), job.provider, job.context), "classified")
+            classified = self.stage(providers.classify(images, job.provider, job.context), "classified")
         else:
             fields = schemas.struct(schemas.CLASSIFICATION).fields[2:]
             classified = rendered.select("doc_stem", F.lit(True).alias("is_exam"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in fields))
@@ -143,7 +143,7 @@ class Pipeline:
         sinks.write_files(sinks.image_files(kept), _uri(job.output_path))
         sinks.write_files(sinks.source_files(docs.join(exams.select("doc_stem"), "doc_stem", "left_semi"), before), _uri(job.output_path))
         if document is not None:
-            sinks.remove_stale_images(spark, before, kept)
+            sinks.remove_stale_images(before, kept)
         wanted = kept if page is None else kept.where(F.col("page_number") == page)
         texts = self.stage(self.transcripts(wanted), "transcripts")
         rows = records.attach_metadata(texts, exams).join(docs.select("doc_stem", F.col("file_name").alias("source_file")), "doc_stem")
@@ -154,7 +154,7 @@ class Pipeline:
         sinks.write_files(sinks.page_files(rows), _uri(job.output_path))
         full = rows
         if page is not None:
-            stored = files.stored_records(spark, self.outputs().join(exams.select("doc_stem"), "doc_stem", "left_semi"), job.output_path)
+            stored = files.stored_records(self.outputs().join(exams.select("doc_stem"), "doc_stem", "left_semi"))
             full = self.stage(stored.join(rows.select("doc_stem", "page_number"), ["doc_stem", "page_number"], "left_anti").unionByName(rows), "merged")
         self.write_summaries(full)
         done = rows.groupBy("doc_stem").agg(F.count(F.lit(1)).cast("int").alias("pages"))
@@ -181,7 +181,7 @@ class Pipeline:
         images, pages = found.where("kind = 'image'"), found.where("kind = 'page'")
         whole = pages.join(checks.incomplete(images, pages).select("doc_stem"), "doc_stem", "left_anti")
         sources = files.listing(self.spark, self.job.input_path).where("file_name like '%.pdf'").withColumn("doc_stem", F.regexp_replace("file_name", r"\.pdf$", ""))
-        rows = self.stage(files.stored_records(self.spark, whole, self.job.output_path, sources), "stored")
+        rows = self.stage(files.stored_records(whole, sources), "stored")
         self.write_summaries(rows)
         return rows.groupBy("doc_stem").agg(F.count(F.lit(1)).cast("int").alias("pages"))
 
@@ -190,7 +190,7 @@ class Pipeline:
         return checks.reconcile(docs, found.where("kind = 'image'"), found.where("kind = 'page'"), found.where("kind = 'summary'"))
 
     def odd_categories(self) -> DataFrame:
-        return checks.odd_categories(files.read_markdown(self.spark, self.outputs().where("kind in ('page', 'summary')"), self.job.output_path))
+        return checks.odd_categories(files.read_markdown(self.outputs().where("kind in ('page', 'summary')")))
 
     def frontmatter_issues(self) -> DataFrame:
-        return checks.frontmatter_issues(files.read_markdown(self.spark, self.outputs().where("kind in ('page', 'summary')"), self.job.output_path))
+        return checks.frontmatter_issues(files.read_markdown(self.outputs().where("kind in ('page', 'summary')")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from folioflow.functions.text import page_file
 from folioflow.operators.frontmatter import markdown, to_frontmatter
 from folioflow.operators.records import first_pages
+from folioflow.sources.files import store_of
 
 
 def write_files(files: DataFrame, folder: str) -> int:
@@ -56,18 +58,23 @@ def source_files(docs: DataFrame, present: DataFrame) -> DataFrame:
     return docs.join(present.where("kind = 'source'").select("doc_stem").distinct(), "doc_stem", "left_anti").where("content is not null").select("doc_stem", "file_name", "content")
 
 
-def remove(spark, files: DataFrame) -> int:
-    """Delete listed files of a few documents, on the driver."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    paths = [r["path"] for r in files.select("path").collect()]
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(conf).delete(path, False)
-    return len(paths)
+def remove(files: DataFrame) -> int:
+    """Delete listed files, in tasks; the number of files. One that is gone already counts."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = 0
+        for b in batches:
+            for listed in b["path"]:
+                store, path = store_of(listed)
+                with contextlib.suppress(FileNotFoundError):
+                    store.delete_file(path)
+                n += 1
+        yield pd.DataFrame({"n": [n]})
+
+    return files.select("path").mapInPandas(work, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def remove_stale_images(spark, files: DataFrame, pages: DataFrame) -> int:
+def remove_stale_images(files: DataFrame, pages: DataFrame) -> int:
     """Images of rendered documents beyond their pages, once the new ones are written."""
     images = files.where("kind = 'image'").join(pages.select("doc_stem").distinct(), "doc_stem", "left_semi")
-    return remove(spark, images.join(pages.select("doc_stem", "page_number"), ["doc_stem", "page_number"], "left_anti"))
+    return remove(images.join(pages.select("doc_stem", "page_number"), ["doc_stem", "page_number"], "left_anti"))

@@ -1,12 +1,15 @@
-"""Files as tables. Listings go through Hadoop's file systems, so that any store works; contents are read by tasks."""
+"""Files as tables. Listings go through Hadoop's file systems, so that any store works; contents are read by tasks, of the listed paths only."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioflow import schemas
 from folioflow.functions.text import file_stem, page_number
@@ -41,11 +44,37 @@ def manifest(spark: SparkSession, folder: str, pattern: str = r".*\.pdf") -> Dat
     return found.orderBy("path")
 
 
-def contents(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents below a folder with their bytes, null for an empty file; tasks read only what the join keeps of the folder's listing."""
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdf").load(folder).select(F.col("path").alias("__path"), "content")
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    return docs.join(read, plain(F.col("path")) == plain(F.col("__path")), "left").drop("__path")
+def store_of(path: str):
+    """The file system of a listed path, and the path there."""
+    from pyarrow import fs
+
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme or scheme == "file":  # any other character may stand in a path
+        return fs.LocalFileSystem(), re.sub("^file:/+", "/", path)
+    authority, _, below = rest.removeprefix("//").partition("/")
+    store, base = fs.FileSystem.from_uri(f"{scheme}://{authority}/")
+    return store, f"{base.rstrip('/')}/{below}"
+
+
+def with_bytes(listed: DataFrame, column: str) -> DataFrame:
+    """Rows with a path and the bytes of that file, null for an empty one. A task reads the files of its rows, and holds one at a time."""
+    at = listed.columns.index("path")
+    schema = T.StructType([*listed.schema.fields, T.StructField(column, T.BinaryType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                store, path = store_of(b.column(at)[k].as_py())
+                with store.open_input_stream(path, compression=None) as file:
+                    content = file.read() or None
+                yield pa.RecordBatch.from_arrays([*b.slice(k, 1).columns, pa.array([content], pa.binary())], names=schema.names)
+
+    return listed.mapInArrow(work, schema)
+
+
+def contents(docs: DataFrame) -> DataFrame:
+    """Documents with their bytes, null for an empty file."""
+    return with_bytes(docs, "content")
 
 
 def text_pages(content: bytes) -> list[bytes]:
@@ -102,26 +131,19 @@ def output_files(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("path", "file_name", "doc_stem", kind.alias("kind"), F.when(kind.isin("page", "image"), page_number(name)).alias("page_number")).where("kind is not null")
 
 
-def read_markdown(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:
-    """Listed page or summary files below a folder with header, header_text and body."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder, wholetext=True)
-    name = F.url_decode(F.replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), F.lit("+"), F.lit("%2B")))
-    texts = raw.select(name.alias("file_name"), F.col("value").alias("content"))
-    return parsed(files.join(texts, "file_name"))
+def read_markdown(files: DataFrame) -> DataFrame:
+    """Listed page or summary files with header, header_text and body."""
+    return parsed(with_bytes(files, "content").withColumn("content", F.coalesce(F.decode("content", "utf-8"), F.lit(""))))
 
 
-def stored_images(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:
+def stored_images(files: DataFrame) -> DataFrame:
     """(doc_stem, page_number, image) of listed images that were written before, numbered as their names say."""
-    if files.isEmpty():
-        return spark.createDataFrame([], schemas.PAGE_IMAGE)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jpg").load(folder)
-    raw = raw.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("content").alias("image"))
-    return files.join(raw, "file_name").select("doc_stem", "page_number", "image")
+    return with_bytes(files, "image").select("doc_stem", "page_number", "image")
 
 
-def stored_records(spark: SparkSession, files: DataFrame, folder: str, sources: DataFrame | None = None) -> DataFrame:
+def stored_records(files: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """Page records read back from page files, without files whose number does not parse; a source that the header lacks comes from ``sources`` by stem, first path first."""
-    pages = read_markdown(spark, files.where("kind = 'page' and page_number is not null"), folder)
+    pages = read_markdown(files.where("kind = 'page' and page_number is not null"))
     if sources is not None:
         first = sources.groupBy("doc_stem").agg(F.min_by("file_name", "path").alias("__source"))
         pages = pages.join(first, "doc_stem", "left")

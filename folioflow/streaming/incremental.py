@@ -21,17 +21,22 @@ def arrivals(spark: SparkSession, folder: str, pattern: str = r".*\.pdf") -> Dat
     return raw.select("path", name.alias("file_name"), file_stem(name).alias("doc_stem"), "content").where(name.rlike(f"^(?:{pattern})"))
 
 
-def run_available(spark: SparkSession, folder: str, checkpoint: str, done: Callable[[], DataFrame], handle: Callable[[DataFrame, int], None], pattern: str = r".*\.pdf") -> int:
-    """Handle all documents that have arrived and have no output; the number of batches that held any."""
+def run_stream(stream: DataFrame, key: str, checkpoint: str, done: Callable[[], DataFrame], handle: Callable[[DataFrame, int], None]) -> int:
+    """Handle all rows of a stream that have arrived and whose ``key`` has no output; the number of batches that held any."""
     batches = 0
 
     def each(batch: DataFrame, number: int) -> None:
         nonlocal batches
-        new = batch.join(done().select("doc_stem").distinct(), "doc_stem", "left_anti")
+        new = batch.join(done().select(key).distinct(), key, "left_anti")
         if not new.isEmpty():
             batches += 1
             handle(new, number)
 
-    query = arrivals(spark, folder, pattern).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return batches
+
+
+def run_available(spark: SparkSession, folder: str, checkpoint: str, done: Callable[[], DataFrame], handle: Callable[[DataFrame, int], None], pattern: str = r".*\.pdf") -> int:
+    """Handle all documents that have arrived and have no output; the number of batches that held any."""
+    return run_stream(arrivals(spark, folder, pattern), "doc_stem", checkpoint, done, handle)

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from folioflow.functions import text
 from folioflow.operators import checks, chunking, naming, providers, records, voting
 
 PAGE = "doc_stem string, page_number int, transcription string, exam_date string"
@@ -151,3 +152,14 @@ def test_vote_model(spark):
     for k, d in enumerate(docs):
         seen = Counter(t for t in d if t != "none")
         assert got[k] == (seen.most_common(1)[0][0] if seen else None)
+
+
+def test_fences_in_both_places(spark):
+    """The Python side and the column agree."""
+    cases = ["```json\n{}\n```", "```\na", "```x```", "a", "", "```", "```\n", "```\n```", "```\n\n```\n```", "``` \n b \n  ``` ", "```\na\n```\n", "x\n```", "```\na\n``` end", "````\nq\n````"]
+    got = [r[0] for r in spark.createDataFrame([(k, c) for k, c in enumerate(cases)], "k int, c string").orderBy("k").select(text.strip_fences(F.col("c"))).collect()]
+    assert [providers.strip_fences_text(c) for c in cases] == got
+
+
+def test_calls_in_flight_keep_their_order():
+    assert providers.in_flight(4, lambda x: x * x, list(range(30))) == providers.in_flight(1, lambda x: x * x, list(range(30))) == [x * x for x in range(30)]

@@ -10,7 +10,7 @@ from folioflow.config import Profile, Settings, list_profiles, read_env, resolve
 from folioflow.operators.providers import StubProvider
 from folioflow.plans.pipeline import Job, Pipeline
 from folioflow.prompts import fill, load, patient_context
-from folioflow.sources import cache
+from folioflow.sources import cache, files
 from folioflow.streaming.incremental import run_available
 
 
@@ -61,6 +61,20 @@ def test_regenerate_keeps_incomplete(spark, folders):
     assert (out / "one_2024-02-03" / "one_2024-02-03.summary.md").exists() and (out / "two b" / "two b.summary.md").exists()
 
 
+def test_stray_copies_do_not_mix(spark, folders):
+    """A copy of a page file in another folder is no page of its document; what is listed is read, by its path."""
+    source, out = folders
+    Pipeline(spark, Job(str(source), str(out))).process()
+    (out / "backup").mkdir()
+    (out / "backup" / "two b.001.md").write_text("---\ntitle: Stray\n---\n\nstray text\n")
+    listed = files.output_files(spark, f"file://{out}")
+    found = files.stored_records(listed.where("kind = 'page' and doc_stem = 'two b'")).collect()
+    assert [r["transcription"] for r in found] == ["a page that is refused at first, 2023-01-01"]
+    plan = files.read_markdown(listed.where("kind = 'page'"))._jdf.queryExecution().toString()
+    assert "binaryFile" not in plan and "MapInArrow" in plan
+    assert files.stored_images(listed.where("kind = 'image' and doc_stem = 'two b'")).count() == 1
+
+
 def test_samples_mode(spark, folders):
     source, out = folders
     Pipeline(spark, Job(str(source), str(out), n_extractions=3)).process(document="one_2024-02-03.pdf")
