@@ -16,6 +16,7 @@ from folioflow.sinks.logs import set_up
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="folioflow", description="Process scanned documents into page records and summaries.")
+    # The names of the options.
     p.add_argument("--profile", "-p", help="profile to run; all profiles without it")
     p.add_argument("--profiles-dir", default="profiles")
     p.add_argument("--list-profiles", action="store_true")

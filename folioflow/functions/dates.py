@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The two written forms of a date.
 ISO = r"(?U)\b\d{4}-\d{2}-\d{2}\b"
 DAY_FIRST = r"(?U)\b\d{1,2}[/-]\d{1,2}[/-]\d{4}\b"
 
@@ -29,10 +30,10 @@ def dates_in_text(text: Column) -> Column:
 
 def filename_date(name: Column) -> Column:
     """The first date in a file name, dashed before underscored before plain; unchecked, null without one."""
-    plain = F.regexp_extract(name, r"(\d{4})(\d{2})(\d{2})", 0)
+    plain = F.regexp_extract(name, r"\d{8}", 0)
     forms = (
-        F.regexp_extract(name, r"(\d{4})-(\d{2})-(\d{2})", 0),
-        F.replace(F.regexp_extract(name, r"(\d{4})_(\d{2})_(\d{2})", 0), F.lit("_"), F.lit("-")),
+        F.regexp_extract(name, r"\d{4}-\d{2}-\d{2}", 0),
+        F.replace(F.regexp_extract(name, r"\d{4}_\d{2}_\d{2}", 0), F.lit("_"), F.lit("-")),
         F.regexp_replace(plain, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
     )
     return F.coalesce(*(F.nullif(f, F.lit("")) for f in forms))

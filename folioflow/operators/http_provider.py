@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from folioflow.config import Settings
 from folioflow.prompts import fill, load
 
+#: The fields and the name of the tool that a classification is asked for with.
 FIELDS = {
     "is_exam": {"type": "boolean"}, "exam_name_raw": {"type": ["string", "null"]}, "exam_date": {"type": ["string", "null"]},
     "facility_name": {"type": ["string", "null"]}, "physician_name": {"type": ["string", "null"]}, "department": {"type": ["string", "null"]},
