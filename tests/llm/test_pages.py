@@ -1,7 +1,9 @@
 """HTML extraction, WARC archives and URL verdicts."""
 
 import base64
+import gzip
 import hashlib
+import io
 import random
 import re
 
@@ -161,8 +163,65 @@ def test_chunks(payload):
         warc.from_chunks(warc.to_chunks(payload + b"x", 100)[:-8])
 
 
+def crawl(version: bytes) -> list[bytes]:
+    """Records as others write them: an information record, a request, a response, metadata, a revisit."""
+    page = b"<p>other's page</p>" * 50
+    http = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n"
+    digest = hashlib.sha1(page).hexdigest()
+    rows = [
+        ("warcinfo", b"software: x\r\n", []),
+        ("request", b"GET / HTTP/1.1\r\n\r\n", [b"WARC-Target-URI: http://a.example/"]),
+        ("response", http + warc.to_chunks(page, 64), [b"WARC-Target-URI: http://a.example/", b"WARC-Payload-Digest: sha1:" + digest.encode()]),
+        ("response", http + page, [b"WARC-Payload-Digest: sha1:" + warc.digest_of(page).encode()]),
+        ("response", http + page, [b"WARC-Payload-Digest: sha256:00"]),
+        ("response", http + page, [b"WARC-Payload-Digest: sha1:", b"  WRONG"]),
+        ("metadata", b"fetchTimeMs: 1\r\n", []),
+        ("revisit", b"", [b"WARC-Payload-Digest: sha1:ABC"]),
+    ]
+    out = []
+    for k, (kind, block, more) in enumerate(rows):
+        head = [version, b"WARC-Type: " + kind.encode(), b"WARC-Record-ID: <urn:x:%d>" % k, *more, b"Content-Length: %d" % len(block)]
+        out.append(b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n")
+    return out
+
+
+@pytest.mark.parametrize("form", ["members", "one member", "plain"])
+@pytest.mark.parametrize("version", [b"WARC/1.0", b"WARC/1.1"])
+def test_archives_of_others(spark, tmp_path, form, version):
+    rows = crawl(version)
+    data = {"members": b"".join(map(gzip.compress, rows)), "one member": gzip.compress(b"".join(rows)), "plain": b"".join(rows)}[form]
+    (tmp_path / "x.warc").write_bytes(data)
+    files = spark.createDataFrame([("x.warc",)], "file string")
+    got = sorted(warc.read_records(files, f"file://{tmp_path}", True, strict=False).collect(), key=lambda r: r["origin"])
+    page = b"<p>other's page</p>" * 50
+    assert [r["record_type"] for r in got] == ["warcinfo", "request", "response", "response", "response", "response", "metadata", "revisit"]
+    assert [r["intact"] for r in got] == [None, None, True, True, None, False, None, None]
+    assert [bytes(r["block"]) for r in got[2:6]] == [page] * 4 and got[2]["url"] == "http://a.example/"
+    assert {r["payload_digest"] for r in got[2:6]} == {warc.digest_of(page)} and got[7]["payload_digest"] == "ABC"
+    with pytest.raises(Exception, match="differs from its digest"):
+        warc.read_records(files, f"file://{tmp_path}").collect()
+
+
+def test_pieces_and_ends():
+    rows = b"".join(crawl(b"WARC/1.0"))
+    whole = list(warc.parse(iter([rows])))
+    for size in (1, 7, 1000):
+        assert list(warc.parse(rows[k : k + size] for k in range(0, len(rows), size))) == whole
+    with pytest.raises(ValueError):
+        list(warc.parse(iter([rows[:-5]])))
+    assert b"".join(warc.unpacked(io.BytesIO(gzip.compress(b"x" * (5 << 20)) + gzip.compress(b"y")))) == b"x" * (5 << 20) + b"y"
+    with pytest.raises(ValueError):
+        list(warc.unpacked(io.BytesIO(gzip.compress(rows)[:-3])))
+
+
+def test_string_ids(spark):
+    rows = [("b", "http://x/", "same"), ("a é\n1", "http://x/2", "same"), (None, None, "same"), ("", "", "other")]
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.archive_round_trip(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    assert got == {"a é\n1": ("response", None), "b": ("revisit", "a é\n1"), None: ("revisit", "a é\n1"), "": ("response", None)}
+
+
 def test_gap_is_an_error(spark):
-    parts = [("o", 1, None, "response", 1, None, "d", None, b"x"), ("o", 3, 2, "continuation", None, None, None, None, b"y")]
+    parts = [("o", 1, None, "response", "1", None, None, "d", None, b"x", None), ("o", 3, 2, "continuation", None, None, None, None, None, b"y", None)]
     with pytest.raises(Exception, match="not whole"):
         warc.reassemble(spark.createDataFrame(parts, warc.RECORD)).collect()
 
