@@ -9,7 +9,7 @@ from functools import partial
 
 from folioflow.config import Profile, Settings, list_profiles, read_env
 from folioflow.operators.http_provider import HttpProvider
-from folioflow.plans.pipeline import Job, Pipeline
+from folioflow.plans.pipeline import Job, Pipeline, uri
 from folioflow.prompts import patient_context
 from folioflow.sinks.logs import set_up
 
@@ -47,7 +47,7 @@ def run_profile(spark, profile: Profile, args: argparse.Namespace, env: dict[str
         birth_date=profile.birth_date, context=patient_context(profile.full_name, profile.birth_date, profile.locale), workers=settings.max_workers,
     )
     pipeline = Pipeline(spark, job)
-    log = set_up(None if settings.dry_run else f"{job.output_path}/logs", clear=True)
+    log = set_up(None if settings.dry_run else uri(f"{job.output_path}/logs"), clear=True)
     if settings.dry_run:
         for row in pipeline.dry_run(reprocess_all=args.reprocess_all, document=args.document).toLocalIterator():
             log.info("%s: %s pages", row["doc_stem"], row["pages"])

@@ -494,7 +494,15 @@ def stub_self_consistency(spark, sf_dir):
     return providers.self_consistent(providers.sample(_chat_images(spark, sf_dir), providers.StubProvider, 3), providers.StubProvider)
 
 
-@query()
+_KIND = f"case {' '.join(f'when list_has_any(w, {list(words)}) then {k!r}' for k, words in providers.KEYWORDS)} else 'other' end"
+_TITLE = f"array_to_string(list_transform(string_split_regex({strip_sql('n')}, '\\s+'), lambda x: upper(x[1]) || lower(x[2:])), ' ')"
+
+
+@query(f"""
+with k as ({_KEYED}), c as ({V.NAME_CACHE}), asked as (select cache_key, max(exam_name_raw) as n from k where cache_key not in (select cache_key from c) group by all),
+answers as (select cache_key, {_KIND} as exam_type, {_TITLE} as standardized_name from (select *, regexp_extract_all(lower(n), '[a-z-]+') as w from asked) a)
+select exam_name_raw, coalesce(c.exam_type, a.exam_type) as exam_type, coalesce(c.standardized_name, a.standardized_name) as standardized_name from k left join c using (cache_key) left join answers a using (cache_key)
+""")
 def stub_standardize(spark, sf_dir):
     names, cache = _names(spark, sf_dir)
     return naming.look_up(names, naming.merge(cache, providers.standardize(naming.uncached(names, cache), providers.StubProvider)))

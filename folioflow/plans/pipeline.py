@@ -53,7 +53,7 @@ class Report:
     documents: DataFrame
 
 
-def _uri(path: str) -> str:
+def uri(path: str) -> str:
     """A path without a scheme is one of Hadoop's default store."""
     context = SparkSession.active().sparkContext
     p = context._jvm.org.apache.hadoop.fs.Path(path)
@@ -140,8 +140,8 @@ class Pipeline:
         exams = records.with_fallbacks(exams)
         kept = images.join(exams.select("doc_stem"), "doc_stem", "left_semi")
         before = self.outputs()
-        sinks.write_files(sinks.image_files(kept), _uri(job.output_path))
-        sinks.write_files(sinks.source_files(docs.join(exams.select("doc_stem"), "doc_stem", "left_semi"), before), _uri(job.output_path))
+        sinks.write_files(sinks.image_files(kept), uri(job.output_path))
+        sinks.write_files(sinks.source_files(docs.join(exams.select("doc_stem"), "doc_stem", "left_semi"), before), uri(job.output_path))
         if document is not None:
             sinks.remove_stale_images(before, kept)
         wanted = kept if page is None else kept.where(F.col("page_number") == page)
@@ -151,7 +151,7 @@ class Pipeline:
         names = exams.select("doc_stem", filename_date(F.col("doc_stem")).alias("filename_date"))
         rows = voting.write_back(rows, voting.elect_date(rows, births, names))
         rows = self.stage(self.standardized(rows).select(*schemas.struct(schemas.RECORD).fieldNames()), "records")
-        sinks.write_files(sinks.page_files(rows), _uri(job.output_path))
+        sinks.write_files(sinks.page_files(rows), uri(job.output_path))
         full = rows
         if page is not None:
             stored = files.stored_records(self.outputs().join(exams.select("doc_stem"), "doc_stem", "left_semi"))
@@ -169,7 +169,7 @@ class Pipeline:
     def write_summaries(self, rows: DataFrame) -> DataFrame:
         """Summaries of these records. An old one stays until a new one that is not empty takes its place."""
         found = self.stage(providers.summarize(rows, self.job.provider, self.job.max_input_tokens), "summaries")
-        sinks.write_files(sinks.summary_files(found, rows), _uri(self.job.output_path))
+        sinks.write_files(sinks.summary_files(found, rows), uri(self.job.output_path))
         return found
 
     def regenerate(self, document: str | None = None) -> DataFrame:

@@ -2,9 +2,41 @@
 
 from __future__ import annotations
 
+import json
+
 #: Names of the transcription prompts in the order in which they are tried.
 VARIANTS = ("transcription_system", "transcription_system_alt1", "transcription_system_alt2", "transcription_system_alt3")
 
+#: What a range of confidence means.
+CONFIDENCE = (
+    (1.0, 1.0, "full agreement on content"),
+    (0.7, 0.9, "they differ in details of no consequence"),
+    (0.4, 0.6, "they differ in content, the main medical facts agree"),
+    (0.1, 0.3, "they differ in medical content to a large extent"),
+    (0.0, 0.0, "they contradict each other"),
+)
+#: The categories and what belongs to them.
+CATEGORIES = (
+    ("imaging", "X-ray, MRI, CT, mammography, DEXA, PET, angiography"),
+    ("ultrasound", "ultrasound, echocardiogram, Doppler"),
+    ("endoscopy", "any scope: gastroscopy, colonoscopy, bronchoscopy, cystoscopy"),
+    ("prescription", "prescriptions and medication orders (receita, prescrição)"),
+    ("appointment", "notices and confirmations of appointments (marcação, convocatória)"),
+    ("other", "ECG, EEG, spirometry, sleep study, Holter, stress test, biopsy, pathology"),
+)
+#: Names with their category and standard name.
+EXAMPLES = (
+    ("Radiografia do Tórax", "imaging", "Chest X-ray"),
+    ("Ecografia Abdominal", "ultrasound", "Abdominal Ultrasound"),
+    ("EDA", "endoscopy", "Upper GI Endoscopy"),
+    ("Eletrocardiograma", "other", "ECG"),
+    ("RM Cerebral", "imaging", "Brain MRI"),
+    ("Receita Médica", "prescription", "Prescription"),
+    ("Prescrição", "prescription", "Prescription"),
+    ("Marcação de Consulta", "appointment", "Appointment"),
+    ("Convocatória", "appointment", "Appointment"),
+)
+
 PROMPTS = {
     "classify_system": "Decide from all pages whether this is a medical exam document. Pages with results, findings or filled exam forms make it one, together with cover letters that belong to them. Invoices and general letters are none. In doubt, it is one. Report is_exam, exam_name_raw, exam_date (when performed, else issued), facility_name, physician_name and department.",
     "transcription_system": "Copy the text of the page exactly as it stands, in its language and layout. Correct nothing. Write [illegible] for what cannot be read, [X] and [ ] for boxes, and line up tables. Describe a page without text in one plain sentence. {context}",
@@ -13,8 +45,13 @@ PROMPTS = {
     "transcription_system_alt3": "Read the image as an OCR engine would and return its text. {context}",
     "refusal_system": "Answer yes if the text is a refusal to transcribe instead of a page's content, else no.",
     "vote_system": "Several transcriptions of one page follow. Return one text that has the reading of the majority at each place, else the most complete one; medical terms and figures come first. Return the text only.",
-    "score_system": "Rate from 0 to 1 how far the transcriptions agree in content, whatever their format. Answer as JSON with confidence and reasoning.",
-    "standardize_system": "For every exam name, Portuguese or English, give exam_type (imaging, ultrasound, endoscopy, prescription, appointment or other) and a standardized English name, as a JSON object by name.",
+    "score_system": "A merged transcription and those it was made of follow. Rate from 0 to 1 how far these agree with it in content: the same findings, values and conclusions, nothing of weight missing from some, the same terms, measures, dates and names. Blanks, line breaks and punctuation that changes no meaning do not count.\n"
+    + "\n".join(f"- {low:g} to {high:g}: {meaning}" if low < high else f"- {low:g}: {meaning}" for low, high, meaning in CONFIDENCE)
+    + "\nAnswer as JSON with confidence and reasoning, the latter in one or two sentences.",
+    "standardize_system": "For every exam name, Portuguese or English, give exam_type and a standardized English name, as a JSON object by name.\n"
+    + "\n".join(f"- {kind}: {members}" for kind, members in CATEGORIES)
+    + "\nExamples:\n"
+    + json.dumps({name: {"exam_type": kind, "standardized_name": standard} for name, kind, standard in EXAMPLES}, ensure_ascii=False, indent=1),
     "summary_system": "Write an English clinical summary in prose. Keep findings, values, impressions, recommendations and dates. Leave out who the patient, the doctors and the facilities are, letterheads and repetitions.",
     "summary_first": "{n} exams:\n{exam_list}\n\n{transcriptions}\n\nSummarise them.",
     "summary_next": "Summary so far:\n{summary}\n\n{n} more exams:\n{exam_list}\n\n{transcriptions}\n\nWork them into the summary and lose nothing.",

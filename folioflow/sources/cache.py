@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
-from pathlib import Path
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow import schemas
 from folioflow.functions.text import cache_entries
+from folioflow.sources.files import listing, store_of
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """(cache_key, exam_type, standardized_name) of a JSON cache; a missing or broken one is empty."""
-    text = Path(path).read_text(encoding="utf-8") if Path(path).exists() else "{}"
+    store, at = store_of(path)
+    text = "{}"
+    with contextlib.suppress(FileNotFoundError), store.open_input_stream(at, compression=None) as file:
+        text = file.read().decode(errors="replace")
     one = spark.createDataFrame([(text,)], "value string").select(F.explode(cache_entries(F.col("value"))).alias("cache_key", "v"))
     return one.select("cache_key", "v.exam_type", "v.standardized_name")
 
@@ -23,15 +28,17 @@ def write_json(cache: DataFrame, path: str) -> None:
     """The cache as JSON with sorted keys; written beside and then moved."""
     rows = cache.orderBy("cache_key").collect()  # a table that people edit by hand
     text = json.dumps({r["cache_key"]: {"exam_type": r["exam_type"], "standardized_name": r["standardized_name"]} for r in rows}, indent=2, ensure_ascii=False, sort_keys=True)
-    beside = Path(f"{path}.new")
-    beside.parent.mkdir(parents=True, exist_ok=True)
-    beside.write_text(text, encoding="utf-8")
-    beside.replace(path)
+    store, at = store_of(path)
+    folder, slash, name = at.rpartition("/")
+    if folder:
+        store.create_dir(folder, recursive=True)
+    beside = f"{folder}{slash}.{name}.{uuid.uuid4().hex}"
+    with store.open_output_stream(beside, compression=None) as out:
+        out.write(text.encode())
+    store.move(beside, at)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    from folioflow.sources.files import listing
-
     if listing(spark, folder).where("file_name like '%.parquet'").isEmpty():
         return spark.createDataFrame([], schemas.NAME_CACHE)
     return spark.read.parquet(folder)

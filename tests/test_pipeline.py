@@ -136,14 +136,37 @@ def test_prompts_and_cache(spark, tmp_path):
     assert fill("summary_first", n=1, exam_list="{n}", transcriptions="t").startswith("1 exams:\n{n}")
     with pytest.raises(FileNotFoundError):
         load("none")
+    assert "- 0.7 to 0.9: " in load("score_system") and "- 1: " in load("score_system")
+    assert "- endoscopy: any scope" in load("standardize_system") and '"Chest X-ray"' in load("standardize_system")
     path = str(tmp_path / "names.json")
     assert cache.read_json(spark, path).count() == 0
     cache.write_json(spark.createDataFrame([("b", "other", "B"), ("a", "imaging", "Á")], "cache_key string, exam_type string, standardized_name string"), path)
     assert list(json.loads(Path(path).read_text())) == ["a", "b"] and cache.read_json(spark, path).count() == 2
+    assert cache.read_json(spark, f"file://{path}").count() == 2 and [p.name for p in tmp_path.iterdir()] == ["names.json"]
     Path(path).write_text("{broken")
     assert cache.read_json(spark, path).count() == 0
 
 
+def test_logs_in_folders_and_stores(tmp_path):
+    from pyarrow import fs
+
+    from folioflow.sinks import logs
+
+    for clear, lines in ((True, 2), (False, 4)):
+        log = logs.set_up(f"file://{tmp_path}/a", clear=clear)
+        log.info("one")
+        log.error("two")
+        logs.set_up(None)
+        assert len((tmp_path / "a" / "info.log").read_text().splitlines()) == lines and len((tmp_path / "a" / "error.log").read_text().splitlines()) == lines // 2
+    store = fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem())
+    for clear, lines in ((True, 2), (False, 4), (True, 2)):
+        handler = logs.StoreHandler(store, "other.log", clear)
+        for level in (20, 40):
+            handler.emit(logs.logging.LogRecord("x", level, "", 0, "text", None, None))
+        handler.close()
+        assert len((tmp_path / "other.log").read_text().splitlines()) == lines
+
+
 def test_http_provider(tmp_path):
     import threading
     from http.server import BaseHTTPRequestHandler, HTTPServer
