@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import bpe, embedding_dedup, exact_dedup, html_extract, jaccard_join, line_dedup, packing, quality, url_filter, warc
+from folioflow.llm import bpe, embedding_dedup, exact_dedup, html_extract, jaccard_join, lexical_search, line_dedup, packing, quality, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": warc.query,
         "op9_url_filter": url_filter.query,
         "op10_packing": packing.query,
+        "op11_lexical_search": lexical_search.query,
     }
 
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_ngram_jaccard_join": jaccard_join.ORACLE_SQL,
         "op8_warc": warc.ORACLE_SQL,
         "op9_url_filter": url_filter.ORACLE_SQL,
+        "op11_lexical_search": lexical_search.ORACLE_SQL,
     }
