@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import bpe, embedding_dedup, exact_dedup, html_extract, jaccard_join, language_id, lexical_search, line_dedup, packing, quality, url_filter, warc
+from folioflow.llm import bpe, collocations, embedding_dedup, exact_dedup, html_extract, jaccard_join, language_id, lexical_search, line_dedup, packing, quality, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_url_filter": url_filter.query,
         "op10_packing": packing.query,
         "op11_lexical_search": lexical_search.query,
+        "op12_collocations": collocations.query,
         "op13_language_id": language_id.query,
     }
 
@@ -34,4 +35,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_warc": warc.ORACLE_SQL,
         "op9_url_filter": url_filter.ORACLE_SQL,
         "op11_lexical_search": lexical_search.ORACLE_SQL,
+        "op12_collocations": collocations.ORACLE_SQL,
     }
