@@ -1,12 +1,14 @@
 """Line dedup by a log-template tree.
 
-A line's tokens that hold a digit are variable fields at once. The tree has a fixed
-depth: the number of tokens, the leading tokens, then the templates of that node. A
-line is eight runs of tokens; a template has wildcards for some of them, two for lines
-of eight tokens or more, one for shorter ones. A line matches every template that it
-equals but for the wildcards; those that some line has as its best one, with the most
-lines, are the templates of the tree. What matches and what recurs depends on the
-lines alone, not on their order or place.
+Lines that stand verbatim in several documents recur. Beyond that, lines are generalised by
+a tree of fixed depth: the number of tokens, the leading tokens, then the templates of that
+node. Tokens that hold a digit are variable fields, and a template has wildcards for some
+of a line's eight runs of tokens besides: two for lines of eight tokens or more, one for
+shorter ones. Whatever varies, at least half of a template's tokens and no fewer than
+``LEAST`` are constant, and no more than a third of them are fields alone; rows of figures,
+of which less would be left, are only ever compared verbatim. A line matches every template that it equals but for what varies, and since lines
+that differ may differ in meaning, a template recurs only from many documents on. What
+matches and what recurs depends on the lines alone, not on their order or place.
 
 A copy of a whole text is no recurrence of its lines. Equal texts are one document, and
 a text whose five-word shingles are for 0.8 or more those of the first text that holds
@@ -32,16 +34,21 @@ RUNS = 8
 #: Wildcards of a template of lines of ``RUNS`` tokens or more, and of shorter ones.
 VARIABLE, SHORT_VARIABLE = 2, 1
 LEADING = 2
-#: Lines of fewer tokens have no wildcards.
+#: Constant tokens of a template, at least; half of its tokens are constant besides.
 LEAST = 4
+FIELD = "<*>"
 #: Texts that one task compares with the first text of a class, on average.
 PART = 2000
 
 
-def plain(text: Column) -> Column:
-    """The text with a mark in place of every token that holds a digit, and with spaces for other blanks of a line."""
-    spaced = F.when(text.rlike("[\\t\\x0b-\\r\\xa0\\u2000-\\u200a\\u202f\\u3000]"), F.regexp_replace(text, "[\\t\\x0b-\\r\\xa0\\u2000-\\u200a\\u202f\\u3000]", " ")).otherwise(text)
-    return F.when(spaced.rlike(r"\d"), F.regexp_replace(spaced, r"(?<![^ \n])[^ \n\d]*+\d[^ \n]*", "<*>")).otherwise(spaced)
+def spaced(text: Column) -> Column:
+    """The text with spaces for other blanks of a line."""
+    return F.when(text.rlike("[\\t\\x0b-\\r\\xa0\\u2000-\\u200a\\u202f\\u3000]"), F.regexp_replace(text, "[\\t\\x0b-\\r\\xa0\\u2000-\\u200a\\u202f\\u3000]", " ")).otherwise(text)
+
+
+def masked(line: Column) -> Column:
+    """The line with a mark in place of every token that holds a digit; null if there is none."""
+    return F.when(line.rlike(r"\d"), F.regexp_replace(line, r"(?<![^ ])[^ \d]*+\d[^ ]*", FIELD))
 
 
 def tokens_of(line: Column) -> Column:
@@ -70,28 +77,29 @@ def wildcards(variable: int) -> list[Column]:
     return keys
 
 
-def templates(lines: DataFrame) -> DataFrame:
-    """(item, template, wild) for rows of distinct masked lines (item, n, lead, low, high, low_doc, high_doc).
+def templates(lines: DataFrame, everywhere: int) -> DataFrame:
+    """(item, template, wild) for rows of distinct lines (item, n, free, mask, lead, low, high, low_doc, high_doc, rows).
 
-    Lines of a template agree in the runs that are no wildcards. Of four pairs of runs, or two halves for short lines, such
-    lines agree in one that is known beforehand, so that lines that meet no other there have no need of keys. ``wild`` is
-    false for a line by itself, which stands in several documents. Templates of one document are left out.
+    ``mask`` names the line's fields, if it has any and enough besides; ``free`` lines may have wildcards. Lines of a template
+    agree in the runs that are no wildcards. Of four pairs of runs, or two halves for short lines, such lines agree in one that
+    is known beforehand, so that lines that meet no other there have no need of keys. ``wild`` is false for a line by itself,
+    which stands in several documents. Templates of one document are left out, and wild ones of fewer than ``everywhere`` lines.
     """
     scratch = Scratch(lines.sparkSession, "templates")
     pairs = [F.shiftrightunsigned("low", 32), F.col("high").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("high", 32)]
     long_nodes, short_nodes = (F.array(*(F.xxhash64(F.lit(k), "n", "lead", x) for k, x in enumerate(parts))) for parts in (pairs, ["low", "high"]))
-    some = lines.where(F.col("n") >= LEAST)
+    some = lines.where("free")
     nodes = some.select("item", F.explode(F.when(F.col("n") >= RUNS, long_nodes).otherwise(short_nodes)).alias("node"))
     shared = scratch.put(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("node"), "shared")
     meeting = scratch.put(nodes.join(shared.hint("merge"), "node", "left_semi").select("item").distinct(), "meeting")
     keys = F.when(F.col("n") >= RUNS, F.array(*wildcards(VARIABLE))).otherwise(F.array(*wildcards(SHORT_VARIABLE)))
-    keyed = some.join(meeting.hint("merge"), "item", "left_semi").select("item", "low_doc", "high_doc", F.explode(keys).alias("template"))
-    keyed = scratch.put(keyed, "keyed")
+    keyed = some.join(meeting.hint("merge"), "item", "left_semi").select("item", "low_doc", "high_doc", "rows", F.explode(keys).alias("template"))
+    keyed = scratch.put(keyed.unionByName(lines.where("mask is not null").select("item", "low_doc", "high_doc", "rows", F.col("mask").alias("template"))), "keyed")
     held = keyed.groupBy("template").agg(
-        F.count(F.lit(1)).alias("lines"), F.bit_xor(F.xxhash64("item")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "item")).alias("y"), F.min("low_doc").alias("low_doc"), F.max("high_doc").alias("high_doc")
+        F.count(F.lit(1)).alias("lines"), F.bit_xor(F.xxhash64("item")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "item")).alias("y"), F.min("low_doc").alias("low_doc"), F.max("high_doc").alias("high_doc"), F.sum("rows").alias("rows")
     )
     # Templates of the same lines are one.
-    held = held.where("lines > 1 and low_doc < high_doc").groupBy("lines", "x", "y").agg(F.min("template").alias("template"))
+    held = held.where((F.col("lines") > 1) & (F.col("low_doc") < F.col("high_doc")) & (F.col("rows") >= everywhere)).groupBy("lines", "x", "y").agg(F.min("template").alias("template"))
     held = scratch.put(held.select("template"), "held")
     wild = keyed.select("item", "template").join(held.hint("merge"), "template", "left_semi").withColumn("wild", F.lit(True))
     alone = lines.where("low_doc < high_doc").select("item", F.xxhash64(F.lit(-1), "item").alias("template"), F.lit(False).alias("wild"))
@@ -156,23 +164,30 @@ def decide(
     bounded_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "line-dedup")
     text = text_or_empty(docs[text_col])
-    rows = docs.select(docs[id_col].alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("doc"), plain(text).alias("text"))
-    each = F.transform(F.split("text", "\n"), lambda x, at: F.struct(at.alias("at"), tokens_of(x).alias("tokens")))
-    rows = rows.select("id", "doc", F.explode(F.filter(each, lambda x: F.size(x["tokens"]) > 0)).alias("line"))
-    tokens = F.col("line.tokens")
+    rows = docs.select(docs[id_col].alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("doc"), spaced(text).alias("text"))
+    each = F.transform(F.split("text", "\n"), lambda x, at: F.struct(at.alias("at"), tokens_of(x).alias("verbatim"), tokens_of(masked(x)).alias("tokens")))
+    rows = rows.select("id", "doc", F.explode(F.filter(each, lambda x: F.size(x["verbatim"]) > 0)).alias("line"))
+    fields = F.col("line.tokens")
+    n, constant = F.size("line.verbatim"), F.when(fields.isNull(), F.size("line.verbatim")).otherwise(F.size(F.filter(fields, lambda t: t != FIELD)))
+    rows = rows.select("id", "doc", "line.at", F.col("line.verbatim").alias("verbatim"), F.coalesce(fields, "line.verbatim").alias("tokens"), n.alias("n"), constant.alias("constant"))
+    # What wildcards can take besides the fields: two runs, or a single token of a short line.
+    most = F.when(F.col("n") >= RUNS, VARIABLE * F.ceil(F.col("n") / RUNS)).otherwise(SHORT_VARIABLE)
+    enough = lambda left: (left >= LEAST) & (2 * left >= F.col("n"))
+    rows = rows.withColumn("free", enough(F.col("constant") - most))
     rows = scratch.put(
         rows.select(
-            "id", "doc", "line.at", F.xxhash64(tokens).alias("h1"), F.xxhash64(F.lit(1), tokens).alias("h2"), F.size(tokens).alias("n"), F.hash(F.slice(tokens, 1, LEADING)).alias("lead"),
-            F.when(F.size(tokens) >= LEAST, lanes(tokens, 0)).alias("low"), F.when(F.size(tokens) >= LEAST, lanes(tokens, 1)).alias("high"),
+            "id", "doc", "at", F.xxhash64("verbatim").alias("h1"), F.xxhash64(F.lit(1), "verbatim").alias("h2"), "n", "free", F.hash(F.slice("tokens", 1, LEADING)).alias("lead"),
+            F.when((F.col("constant") < F.col("n")) & enough(F.col("constant")) & (3 * F.col("constant") >= 2 * F.col("n")), F.xxhash64(F.lit(-2), "tokens")).alias("mask"),
+            F.when(F.col("free"), lanes(F.col("tokens"), 0)).alias("low"), F.when(F.col("free"), lanes(F.col("tokens"), 1)).alias("high"),
         ),
         "lines",
     )
     holder = F.xxhash64("doc")
     distinct = rows.groupBy("h1", "h2").agg(
-        *(F.min(c).alias(c) for c in ("n", "lead", "low", "high")), F.min(holder).alias("low_doc"), F.max(holder).alias("high_doc")
+        *(F.min(c).alias(c) for c in ("n", "free", "mask", "lead", "low", "high")), F.min(holder).alias("low_doc"), F.max(holder).alias("high_doc"), F.count(F.lit(1)).alias("rows")
     )
     distinct = scratch.put(distinct.withColumn("item", F.monotonically_increasing_id()), "distinct")
-    named = scratch.put(templates(distinct).join(distinct.select("item", "h1", "h2"), "item").drop("item"), "named")
+    named = scratch.put(templates(distinct, everywhere).join(distinct.select("item", "h1", "h2"), "item").drop("item"), "named")
     # Lines that no other document has go no further.
     held = scratch.put(rows.select("id", "doc", "at", "n", "h1", "h2").join(named.hint("merge"), ["h1", "h2"]).drop("h1", "h2"), "held")
     lengths = rows.select("doc", "at", "n").join(held.select("doc").distinct().hint("merge"), "doc", "left_semi").groupBy("doc", "at").agg(F.min("n").alias("n"))
@@ -183,7 +198,7 @@ def decide(
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("class").alias("class")))
     each_class = known.groupBy("template", "class").agg(F.max("n").alias("n"), F.max("wild").alias("wild"), first.alias("first"))
     spread = each_class.groupBy("template").agg(F.count(F.lit(1)).alias("classes"), F.max("n").alias("n"), F.max("wild").alias("wild"), F.min("first").alias("first"))
-    enough = F.when((F.col("n") >= min_tokens) & (~F.col("wild") | (F.col("n") >= RUNS)), F.lit(min_docs)).otherwise(F.lit(everywhere))
+    enough = F.when((F.col("n") >= min_tokens) & ~F.col("wild"), F.lit(min_docs)).otherwise(F.lit(everywhere))
     recurring = spread.where(F.col("classes") >= enough).select("template", F.col("first.class").alias("first_class"), (F.col("classes") >= everywhere).alias("all_of_them"))
     recurring = scratch.put(recurring, "recurring")
     gone = known.join(recurring, "template").where(F.col("all_of_them") | (F.col("class") != F.col("first_class")))
@@ -193,9 +208,9 @@ def decide(
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with recurring lines dropped from the text; adds n_lines (before) and n_dropped.
 
-    * A template recurs when ``min_docs`` classes of documents hold it. It is kept in the first of them, by id, or in none
-      once ``everywhere`` classes hold it. Lines of fewer tokens than ``min_tokens``, and templates with a wildcard of lines
-      of fewer than eight tokens, recur from ``everywhere`` classes on.
+    * A line recurs when ``min_docs`` classes of documents hold it verbatim, but for blanks. It is kept in the first of them, by
+      id, or in none once ``everywhere`` classes hold it. Lines of fewer tokens than ``min_tokens``, and lines that only share
+      a template, recur from ``everywhere`` classes on.
     * Equal texts are of one class, and near copies (``similarity``) of an earlier text that holds ``copy_share`` of the tokens.
     * A null text counts as empty; blank lines are never dropped by themselves; a line repeated in one document only stays.
     * Repeated rows (same id and text) are copies of each other and stay repeated. Null ids come last. An empty table gives no rows.
