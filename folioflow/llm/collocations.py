@@ -29,7 +29,7 @@ from folioflow.llm.common import Scratch, bounded_batches, table, text_or_empty
 from folioflow.llm.linking import tasks_of
 
 #: Words of a shard (a longer document is one by itself), and positions that are extended at a time.
-SHARD, BATCH = 1 << 21, 1 << 18
+SHARD, BATCH = 1 << 19, 1 << 18
 #: A word that has this share of a shard's positions is kept as bits.
 DENSE = 1 / 64
 #: Parts of a language whose best phrases are found by themselves before they meet.
