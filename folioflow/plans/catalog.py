@@ -15,6 +15,7 @@ from folioflow.plans import views as V
 from folioflow.plans.views import view
 from folioflow.prompts import VARIANTS
 from folioflow.sinks import files as sinks
+from folioflow.sinks import pdf
 from folioflow.sources import files as sources
 from folioflow.streaming import incremental
 
@@ -555,6 +556,14 @@ def rendered_pages(spark, sf_dir):
     return sources.render(sources.contents(sources.manifest(spark, folder))).select("doc_stem", "page_number", F.md5("image").alias("digest"))
 
 
+@query(f"select doc_stem, cast(row_number() over (partition by doc_stem order by page_number) as int) as page_number, md5(image) as digest from ({_IMAGES}) i")
+def pdf_pages(spark, sf_dir):
+    """Documents written as PDF, every second with compressed cross-references, listed, read and exploded to the images of their pages."""
+    folder = scratch(spark, "pdf")
+    sinks.write_files(pdf.documents(_chat_images(spark, sf_dir), F.col("doc_stem").cast("long") % 2 == 0), folder)
+    return sources.render(sources.contents(sources.manifest(spark, folder))).select("doc_stem", "page_number", F.md5("image").alias("digest"))
+
+
 @query(f"select cast(doc_stem as string) as doc_stem, page_number, nullif(exam_name_raw, '') as exam_name_raw, nullif(exam_date, '') as exam_date, nullif(exam_type, '') as exam_type, transcription_confidence, {strip_sql('transcription')} as transcription, source_file from ({V.CHATS}) c")
 def page_files_round_trip(spark, sf_dir):
     """Page files with YAML headers written, listed, and read back as records."""

@@ -28,7 +28,7 @@ class Job:
     input_path: str
     output_path: str
     provider: providers.Factory = providers.StubProvider
-    renderer: Callable[[bytes], list[bytes]] = files.text_pages
+    renderer: Callable[[bytes], list[bytes]] = files.document_pages
     pattern: str = r".*\.pdf"
     n_extractions: int = 1
     max_input_tokens: int = 100_000

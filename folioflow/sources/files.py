@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from folioflow import schemas
 from folioflow.functions.text import file_stem, page_number
 from folioflow.operators.frontmatter import from_frontmatter, parsed
+from folioflow.sources.pdf import page_images
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,24 +79,28 @@ def contents(docs: DataFrame) -> DataFrame:
 
 
 def text_pages(content: bytes) -> list[bytes]:
-    """The stand-in renderer: pages of a text document parted by form feeds. Bytes that are no text cannot be rendered."""
+    """Pages of a text document, parted by form feeds. Bytes that are no text cannot be rendered."""
     return [p.encode() for p in content.decode("utf-8").split("\f")]
 
 
-def render(docs: DataFrame, renderer: Callable[[bytes], list[bytes]] = text_pages) -> DataFrame:
+def document_pages(content: bytes) -> list[bytes]:
+    """Page images of a document: the JPEGs of a PDF, else the pages of a text."""
+    return page_images(content) if b"%PDF-" in content[:1024] else text_pages(content)
+
+
+def render(docs: DataFrame, renderer: Callable[[bytes], list[bytes]] = document_pages) -> DataFrame:
     """(doc_stem, page_number, image) from documents with content. One that cannot be rendered gives no row and counts as failed."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for stem, content in zip(b["doc_stem"], b["content"], strict=True):
-                try:
-                    pages = renderer(bytes(content)) if content is not None else []
-                except Exception:  # noqa: BLE001  the document is reported as failed
-                    pages = []
-                if pages:
-                    yield pd.DataFrame({"doc_stem": [stem] * len(pages), "page_number": range(1, len(pages) + 1), "image": pages})
-
-    return docs.select("doc_stem", "content").mapInPandas(work, schemas.PAGE_IMAGE)
+    class Pages:
+        def eval(self, content: bytes) -> Iterator[tuple[int, bytes]]:
+            try:
+                pages = renderer(bytes(content)) if content is not None else []
+            except Exception:  # noqa: BLE001  the document is reported as failed
+                pages = []
+            yield from enumerate(pages, 1)
+
+    pages = F.udtf(Pages, returnType="page_number int, image binary")
+    return docs.select("doc_stem", "content").lateralJoin(pages(F.col("content").outer())).select("doc_stem", "page_number", "image")
 
 
 def preprocess(image: bytes) -> bytes:
