@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -17,6 +19,7 @@ from folioflow.prompts import VARIANTS
 from folioflow.sinks import files as sinks
 from folioflow.sinks import pdf
 from folioflow.sources import files as sources
+from folioflow.sources.listing import qualified
 from folioflow.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -519,13 +522,22 @@ def stub_summary_fold(spark, sf_dir):
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A folder of its own below the one that all machines share; a temporary one where none is set, in local mode."""
+    """A folder of its own below the one that all machines share, as a URI; a temporary one where none is set, in local mode. It goes when the driver ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}"
-    return f"{base.rstrip('/')}/folioflow-catalog/{name}-{uuid.uuid4().hex[:12]}"
+    folder = qualified(spark, f"{base.rstrip('/')}/folioflow-catalog/{name}-{uuid.uuid4().hex[:12]}")
+    atexit.register(_remove, spark, folder)
+    return folder
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    """Best effort at the end of the driver; by then the JVM may be gone."""
+    with contextlib.suppress(Exception):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @query(f"select doc_stem, page_number, md5(image) as digest from ({_IMAGES}) i")
@@ -579,7 +591,6 @@ def incremental_stream(spark, sf_dir):
     """Documents arriving as a stream; those with a label have output already, the others are handled."""
     docs, folder = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"), scratch(spark, "stream")
     stream = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parquet*").select(*docs.columns)
-    done = lambda: table(spark, sf_dir, "labels").select("doc_id")
-    docs.limit(0).write.mode("append").parquet(f"{folder}/new")
-    incremental.run_stream(stream, "doc_id", f"{folder}/checkpoint", done, lambda new, number: new.select(*docs.columns).write.mode("append").parquet(f"{folder}/new"))
-    return spark.read.schema(docs.schema).parquet(f"{folder}/new")
+    docs.limit(0).write.parquet(f"{folder}/new/batch=-1")
+    incremental.run_once_each(stream, "doc_id", f"{folder}/checkpoint", f"{folder}/new", lambda: table(spark, sf_dir, "labels").select("doc_id"))
+    return spark.read.schema(docs.schema).parquet(f"{folder}/new").select(*docs.columns)

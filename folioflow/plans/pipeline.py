@@ -72,16 +72,15 @@ class Pipeline:
     def outputs(self) -> DataFrame:
         return files.output_files(self.spark, self.job.output_path)
 
-    def plan(self, reprocess_all: bool = False, document: str | None = None) -> DataFrame:
+    def plan(self, reprocess_all: bool = False, document: str | None = None, outputs: DataFrame | None = None) -> DataFrame:
         """The documents to process."""
         found = files.manifest(self.spark, self.job.input_path, self.job.pattern)
         if document:
             return records.select_one(found, document)
-        return found if reprocess_all else records.unprocessed(found, self.done())
+        return found if reprocess_all else records.unprocessed(found, self.done(self.outputs() if outputs is None else outputs))
 
-    def done(self) -> DataFrame:
+    def done(self, out: DataFrame) -> DataFrame:
         """Documents that need no run: with a page for each image, or found to be no exam before. Partial and failed ones are taken again."""
-        out = self.outputs()
         images, pages = out.where("kind = 'image'"), out.where("kind = 'page'")
         whole = pages.select("doc_stem").distinct().join(checks.incomplete(images, pages).select("doc_stem"), "doc_stem", "left_anti")
         if files.listing(self.spark, self.status_path).where("file_name like '%.parquet'").isEmpty():
@@ -98,11 +97,11 @@ class Pipeline:
         pages = files.render(docs, self.job.renderer).groupBy("doc_stem").agg(F.count(F.lit(1)).cast("int").alias("pages"))
         return docs.select("doc_stem").join(pages, "doc_stem", "left").select("doc_stem", F.coalesce("pages", F.lit(0)).alias("pages"))
 
-    def images(self, docs: DataFrame, again: bool) -> DataFrame:
+    def images(self, docs: DataFrame, again: bool, outputs: DataFrame) -> DataFrame:
         """Page images: those stored before, else rendered; all rendered with ``again``."""
         if again:
             return files.preprocessed(files.render(docs, self.job.renderer))
-        stored = files.stored_images(self.outputs().where("kind = 'image'").join(docs.select("doc_stem"), "doc_stem", "left_semi"))
+        stored = files.stored_images(outputs.where("kind = 'image'").join(docs.select("doc_stem"), "doc_stem", "left_semi"))
         new = docs.join(stored.select("doc_stem").distinct(), "doc_stem", "left_anti")
         return stored.unionByName(files.preprocessed(files.render(new, self.job.renderer)))
 
@@ -128,8 +127,10 @@ class Pipeline:
         if page is not None and not document:
             raise ValueError("a page needs a document")
         spark, job = self.spark, self.job
-        docs = self.stage(files.contents(self.plan(reprocess_all, document)), "documents")
-        images = self.stage(self.images(docs, again=document is not None), "images")
+        sinks.recover(spark, job.output_path)
+        before = self.stage(self.outputs(), "outputs")  # listed once; what the run itself writes it knows
+        docs = self.stage(files.contents(self.plan(reprocess_all, document, before)), "documents")
+        images = self.stage(self.images(docs, document is not None, before), "images")
         rendered = images.select("doc_stem").distinct()
         if page is None:
             classified = self.stage(providers.classify(images, job.provider, job.context), "classified")
@@ -139,7 +140,6 @@ class Pipeline:
         exams, skipped = records.gate(classified)
         exams = records.with_fallbacks(exams)
         kept = images.join(exams.select("doc_stem"), "doc_stem", "left_semi")
-        before = self.outputs()
         sinks.write_files(sinks.image_files(kept), uri(job.output_path))
         sinks.write_files(sinks.source_files(docs.join(exams.select("doc_stem"), "doc_stem", "left_semi"), before), uri(job.output_path))
         if document is not None:
@@ -154,8 +154,8 @@ class Pipeline:
         sinks.write_files(sinks.page_files(rows), uri(job.output_path))
         full = rows
         if page is not None:
-            stored = files.stored_records(self.outputs().join(exams.select("doc_stem"), "doc_stem", "left_semi"))
-            full = self.stage(stored.join(rows.select("doc_stem", "page_number"), ["doc_stem", "page_number"], "left_anti").unionByName(rows), "merged")
+            others = before.join(exams.select("doc_stem"), "doc_stem", "left_semi").join(rows.select("doc_stem", "page_number"), ["doc_stem", "page_number"], "left_anti")
+            full = self.stage(files.stored_records(others).unionByName(rows), "merged")
         self.write_summaries(full)
         done = rows.groupBy("doc_stem").agg(F.count(F.lit(1)).cast("int").alias("pages"))
         status = docs.select("doc_stem").join(done, "doc_stem", "left").join(skipped.select("doc_stem", F.lit(True).alias("skipped")), "doc_stem", "left").join(rendered.select("doc_stem", F.lit(True).alias("rendered")), "doc_stem", "left")
@@ -180,7 +180,7 @@ class Pipeline:
             found = found.where(F.lower("doc_stem").isin(query, document.lower()))
         images, pages = found.where("kind = 'image'"), found.where("kind = 'page'")
         whole = pages.join(checks.incomplete(images, pages).select("doc_stem"), "doc_stem", "left_anti")
-        sources = files.listing(self.spark, self.job.input_path).where("file_name like '%.pdf'").withColumn("doc_stem", F.regexp_replace("file_name", r"\.pdf$", ""))
+        sources = files.listing(self.spark, self.job.input_path).where(F.col("file_name").endswith(".pdf")).withColumn("doc_stem", F.regexp_replace("file_name", r"\.pdf$", ""))
         rows = self.stage(files.stored_records(whole, sources), "stored")
         self.write_summaries(rows)
         return rows.groupBy("doc_stem").agg(F.count(F.lit(1)).cast("int").alias("pages"))

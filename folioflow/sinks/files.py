@@ -1,9 +1,8 @@
-"""Writers. Tasks write files beside their place and rename them, so that repeats leave no halves."""
+"""What is written: page files, summaries, images, source copies; and what is deleted."""
 
 from __future__ import annotations
 
 import contextlib
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,28 +12,8 @@ from pyspark.sql import functions as F
 from folioflow.functions.text import page_file
 from folioflow.operators.frontmatter import markdown, to_frontmatter
 from folioflow.operators.records import first_pages
-from folioflow.sources.files import store_of
-
-
-def write_files(files: DataFrame, folder: str) -> int:
-    """Write (doc_stem, file_name, content) below ``folder``/doc_stem; the number of files. Content is text or bytes."""
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(folder)
-        n = 0
-        for b in batches:
-            for stem, name, content in zip(b["doc_stem"], b["file_name"], b["content"], strict=True):
-                store.create_dir(f"{base}/{stem}", recursive=True)
-                beside = f"{base}/{stem}/.{uuid.uuid4().hex}"
-                with store.open_output_stream(beside, compression=None) as out:
-                    out.write(content.encode() if isinstance(content, str) else bytes(content))
-                store.move(beside, f"{base}/{stem}/{name}")
-                n += 1
-        yield pd.DataFrame({"n": [n]})
-
-    return files.select("doc_stem", "file_name", "content").mapInPandas(work, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+from folioflow.sinks.committed import recover, write as write_files  # noqa: F401
+from folioflow.sources.listing import store_of
 
 
 def page_files(records: DataFrame) -> DataFrame:

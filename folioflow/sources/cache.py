@@ -1,9 +1,10 @@
-"""The table of standard names: one Parquet folder, and its JSON form for editing by hand."""
+"""The table of standard names: versions of a Parquet table in a folder, and its JSON form for editing by hand."""
 
 from __future__ import annotations
 
 import contextlib
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from folioflow import schemas
 from folioflow.functions.text import cache_entries
-from folioflow.sources.files import listing, store_of
+from folioflow.sources.listing import listing, store_of
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -38,18 +39,23 @@ def write_json(cache: DataFrame, path: str) -> None:
     store.move(beside, at)
 
 
+def versions(spark: SparkSession, folder: str) -> list[str]:
+    """Complete versions of the table, the oldest first."""
+    whole = listing(spark, folder).where("file_name = '_SUCCESS' and folder like 'v%'").select("folder").collect()  # a few at the most
+    return sorted(r["folder"] for r in whole)
+
+
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    if listing(spark, folder).where("file_name like '%.parquet'").isEmpty():
-        return spark.createDataFrame([], schemas.NAME_CACHE)
-    return spark.read.parquet(folder)
+    """The newest complete version; an empty table if there is none."""
+    found = versions(spark, folder)
+    return spark.read.schema(schemas.NAME_CACHE).parquet(f"{folder}/{found[-1]}") if found else spark.createDataFrame([], schemas.NAME_CACHE)
 
 
 def write(cache: DataFrame, folder: str) -> None:
-    """Replace the table. What is read from it meanwhile is written beside first."""
+    """A new version beside the others. The one before stays, for readers and for a run that is lost meanwhile; older ones go."""
     spark = cache.sparkSession
-    cache.write.mode("overwrite").parquet(f"{folder}.new")
-    jvm = spark.sparkContext._jvm
-    new, old = jvm.org.apache.hadoop.fs.Path(f"{folder}.new"), jvm.org.apache.hadoop.fs.Path(folder)
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    fs.rename(new, old)
+    cache.write.mode("errorifexists").parquet(f"{folder}/v{time.time_ns():020d}")
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for old in versions(spark, folder)[:-2]:
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{old}"), True)

@@ -1,8 +1,7 @@
-"""Files as tables. Listings go through Hadoop's file systems, so that any store works; contents are read by tasks, of the listed paths only."""
+"""Files as tables: listed and read by tasks, of the listed paths only."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,51 +13,30 @@ from pyspark.sql import types as T
 from folioflow import schemas
 from folioflow.functions.text import file_stem, page_number
 from folioflow.operators.frontmatter import from_frontmatter, parsed
+from folioflow.sources.listing import listing, store_of
 from folioflow.sources.pdf import page_images
 
-
-def listing(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, file_name, size) of all files below a folder, empty files and names that begin with _ or . included; none if it is missing."""
-    jvm = spark.sparkContext._jvm
-    top = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    rows = []
-    if fs.exists(top):
-        files = fs.listFiles(top, True)
-        while files.hasNext():
-            f = files.next()
-            if not f.getPath().getName().endswith(".crc"):
-                rows.append((f.getPath().toString(), f.getPath().getName(), f.getLen()))
-    return spark.createDataFrame(rows, "path string, file_name string, size long")
+#: Bytes of files that a task reads, on average.
+TASK_BYTES = 64 << 20
 
 
 def manifest(spark: SparkSession, folder: str, pattern: str = r".*\.pdf") -> DataFrame:
-    """(path, file_name, doc_stem) of source documents in path order; the pattern is matched from the start of the file name.
+    """(path, file_name, doc_stem, size) of source documents in path order; the pattern is matched from the start of the file name.
 
     Two documents with one stem are an error: their pages would mix.
     """
     found = listing(spark, folder).where(F.col("file_name").endswith(".pdf") & F.col("file_name").rlike(f"^(?:{pattern})"))
-    found = found.select("path", "file_name", file_stem(F.col("file_name")).alias("doc_stem"))
+    found = found.select("path", "file_name", file_stem(F.col("file_name")).alias("doc_stem"), "size")
     twice = found.groupBy("doc_stem").count().where("count > 1").limit(5).collect()
     if twice:
         raise ValueError(f"several source documents are named {', '.join(r['doc_stem'] for r in twice)}")
     return found.orderBy("path")
 
 
-def store_of(path: str):
-    """The file system of a listed path, and the path there."""
-    from pyarrow import fs
-
-    scheme, colon, rest = path.partition(":")
-    if not colon or "/" in scheme or scheme == "file":  # any other character may stand in a path
-        return fs.LocalFileSystem(), re.sub("^file:/+", "/", path)
-    authority, _, below = rest.removeprefix("//").partition("/")
-    store, base = fs.FileSystem.from_uri(f"{scheme}://{authority}/")
-    return store, f"{base.rstrip('/')}/{below}"
-
-
 def with_bytes(listed: DataFrame, column: str) -> DataFrame:
-    """Rows with a path and the bytes of that file, null for an empty one. A task reads the files of its rows, and holds one at a time."""
+    """Rows with a path and the bytes of that file, null for an empty one. A task holds one file at a time; where sizes are known, tasks have about as many bytes each."""
+    if "size" in listed.columns:
+        listed = listed.repartition(max(1, -(-(listed.agg(F.sum("size")).first()[0] or 0) // TASK_BYTES)))
     at = listed.columns.index("path")
     schema = T.StructType([*listed.schema.fields, T.StructField(column, T.BinaryType())])
 
@@ -75,7 +53,7 @@ def with_bytes(listed: DataFrame, column: str) -> DataFrame:
 
 def contents(docs: DataFrame) -> DataFrame:
     """Documents with their bytes, null for an empty file."""
-    return with_bytes(docs, "content")
+    return with_bytes(docs, "content").drop("size")
 
 
 def text_pages(content: bytes) -> list[bytes]:
@@ -130,10 +108,10 @@ def preprocessed(pages: DataFrame) -> DataFrame:
 
 def output_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, file_name, doc_stem, kind, page_number) of what was written: image, page, summary or source, without logs."""
-    found = listing(spark, folder).withColumn("doc_stem", F.element_at(F.split("path", "/"), -2)).where("doc_stem <> 'logs'")
+    found = listing(spark, folder).withColumnRenamed("folder", "doc_stem").where("doc_stem <> 'logs'")
     name, own = F.col("file_name"), F.col("file_name").startswith(F.concat("doc_stem", F.lit(".")))
     kind = F.when(own & name.endswith(".summary.md"), "summary").when(own & name.endswith(".md"), "page").when(own & name.endswith(".jpg"), "image").when(name.endswith(".pdf"), "source")
-    return found.select("path", "file_name", "doc_stem", kind.alias("kind"), F.when(kind.isin("page", "image"), page_number(name)).alias("page_number")).where("kind is not null")
+    return found.select("path", "file_name", "doc_stem", "size", kind.alias("kind"), F.when(kind.isin("page", "image"), page_number(name)).alias("page_number")).where("kind is not null")
 
 
 def read_markdown(files: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 """Arriving documents: a file stream, read until nothing is left, and the anti-join on what has output.
 
 The stream remembers paths; the anti-join runs in every batch, so that a document whose
-output was deleted is taken again when it is asked for.
+output was deleted is taken again when it is asked for. A batch whose end was not noted
+runs again with its number: ``run_once_each`` keeps its rows by that number and replaces
+them, so that none is lost and none stands twice.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import file_stem
+from folioflow.sources.listing import listing
 
 
 def arrivals(spark: SparkSession, folder: str, pattern: str = r".*\.pdf") -> DataFrame:
@@ -37,6 +40,28 @@ def run_stream(stream: DataFrame, key: str, checkpoint: str, done: Callable[[],
     return batches
 
 
+def run_once_each(stream: DataFrame, key: str, checkpoint: str, folder: str, done: Callable[[], DataFrame] | None = None, make: Callable[[DataFrame], DataFrame] = lambda new: new) -> int:
+    """Write ``make`` of all rows that have arrived, whose ``key`` is new, to ``folder``/batch=N; the number of batches that held any.
+
+    New is what neither an earlier batch nor ``done`` has; a batch that runs again does not count as earlier than itself.
+    """
+    spark, batches = stream.sparkSession, 0
+
+    def each(batch: DataFrame, number: int) -> None:
+        nonlocal batches
+        new = batch if done is None else batch.join(done().select(key).distinct(), key, "left_anti")
+        if not listing(spark, folder).where("file_name = '_SUCCESS'").isEmpty():
+            earlier = spark.read.option("basePath", folder).parquet(folder).where(F.col("batch") < number)
+            new = new.join(earlier.select(key).distinct(), key, "left_anti")
+        made = make(new)
+        made.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        batches += not spark.read.schema(made.schema).parquet(f"{folder}/batch={number}").isEmpty()
+
+    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return batches
+
+
 def run_available(spark: SparkSession, folder: str, checkpoint: str, done: Callable[[], DataFrame], handle: Callable[[DataFrame, int], None], pattern: str = r".*\.pdf") -> int:
     """Handle all documents that have arrived and have no output; the number of batches that held any."""
     return run_stream(arrivals(spark, folder, pattern), "doc_stem", checkpoint, done, handle)
