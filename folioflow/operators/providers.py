@@ -11,7 +11,6 @@ import hashlib
 import json
 import math
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 
 from folioflow import schemas
 from folioflow.functions.text import too_short
+from folioflow.operators import alignment
 from folioflow.operators.chunking import assign_chunks, chunk_budget, exam_lists, transcriptions, with_content
 from folioflow.operators.voting import vote_samples
 from folioflow.prompts import PROMPTS, VARIANTS, fill
@@ -72,11 +72,10 @@ class StubProvider:
         return text.lower().startswith("i cannot")
 
     def vote(self, samples: list[str]) -> str:
-        n = Counter(samples)
-        return max(samples, key=lambda s: (n[s], -samples.index(s)))
+        return alignment.merge(samples)[0]
 
     def score(self, merged: str, samples: list[str]) -> str:
-        return json.dumps({"confidence": sum(s == merged for s in samples) / max(1, len(samples))})
+        return json.dumps({"confidence": alignment.score(merged, samples)})
 
     def standardize(self, names: list[str]) -> str:
         def kind(name: str) -> str:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions import dates, text
-from folioflow.operators import checks, chunking, frontmatter, naming, providers, records, voting
+from folioflow.operators import alignment, checks, chunking, frontmatter, naming, providers, records, voting
 from folioflow.plans import views as V
 from folioflow.plans.views import view
 from folioflow.prompts import VARIANTS
@@ -373,6 +373,42 @@ def sample_vote(spark, sf_dir):
     return providers.native_vote(view(spark, sf_dir, _SAMPLES))
 
 
+def _erring(spark, sf_dir):
+    """Turns of six words or more in four samples: the text, one with another word, one without a word, one with another word, each elsewhere."""
+    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("doc_stem"), F.col("turn").cast("int").alias("page_number"), "conv_id", words.alias("words")).where(F.size("words") >= 6)
+    place = lambda k: F.col("conv_id").cast("int") % F.size("words") if not k else (F.col("conv_id").cast("int") + k) % F.size("words")
+    other = lambda at, word: F.transform("words", lambda w, i: F.when(i == at, F.lit(word)).otherwise(w))
+    texts = [F.col("words"), other(place(0), "qqa"), F.filter("words", lambda w, i: i != place(2)), other(place(4), "qqb")]
+    samples = F.array(*(F.struct(F.lit(k).alias("sample_idx"), F.array_join(t, " ").alias("text")) for k, t in enumerate(texts)))
+    return turns.select("doc_stem", "page_number", F.inline(samples))
+
+
+_WEIGHT = f"case when regexp_matches({{0}}, '[0-9]') or list_contains({list(alignment.UNITS)}, regexp_replace(lower({{0}}), '^[^\\w%]+|[^\\w%]+$', '', 'g')) then {alignment.CRITICAL} else {alignment.OTHER} end"
+_CERTAINTY = """
+with w as (select cast(conv_id as string) as doc_stem, cast(turn as int) as page_number, conv_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') as words from conversations),
+k as (select *, len(words) as n, list_transform(words, lambda x: {weight}) as weights from w where len(words) >= 6),
+e as (select *, [weights[1 + conv_id % n], weights[1 + (conv_id + 2) % n], weights[1 + (conv_id + 4) % n]] as errors from k),
+s as (select *, (list_sum(errors) / 4.0::double) / list_sum(weights) as share, list_max(errors) > {other} as touched from e),
+c as (select *, case when share <= 0.1 then 0.9 - 2 * share when share <= 0.3 then 0.7 - 1.5 * (share - 0.1) when share <= 0.6 then 0.4 - (share - 0.3) else 0.1 - 0.25 * (share - 0.6) end as value from s)
+select doc_stem, page_number, array_to_string(words, ' ') as transcription, round(case when touched then least(value, 0.6) else value end, 6) as transcription_confidence from c
+""".format(weight=_WEIGHT.format("x"), other=alignment.OTHER)
+
+
+@query(_CERTAINTY)
+def aligned_vote(spark, sf_dir):
+    """Samples that differ, merged place by place, and the confidence of the result."""
+    found = alignment.merged(_erring(spark, sf_dir))
+    return found.withColumn("transcription_confidence", F.round("transcription_confidence", 6))
+
+
+@query(f"select *, '{VARIANTS[0]}' as prompt_variant, 1 as retry_attempts from ({_CERTAINTY}) c")
+def stub_votes_and_scores(spark, sf_dir):
+    """The same through a provider, which is asked for the vote and for the score of pages whose samples differ."""
+    found = providers.self_consistent(_erring(spark, sf_dir), providers.StubProvider)
+    return found.withColumn("transcription_confidence", F.round("transcription_confidence", 6))
+
+
 @query("select event_id, case when try_cast(reply as double) is null then 0.5::double else greatest(0.0::double, least(1.0::double, try_cast(reply as double))) end as confidence from (select event_id, case event_id % 4 when 0 then 'n/a' when 1 then cast(-1 as string) when 2 then '0.25' else '7' end as reply from events) e")
 def confidence_clamp(spark, sf_dir):
     k = F.col("event_id") % 4
