@@ -24,7 +24,7 @@ from folioflow.functions.text import too_short
 from folioflow.operators import alignment
 from folioflow.operators.chunking import assign_chunks, chunk_budget, exam_lists, transcriptions, with_content
 from folioflow.operators.voting import vote_samples
-from folioflow.prompts import PROMPTS, VARIANTS, fill
+from folioflow.prompts import EXAMPLES, PROMPTS, VARIANTS, fill
 
 
 class ModelProvider(Protocol):
@@ -82,7 +82,8 @@ class StubProvider:
             words = set(re.findall(r"[a-z-]+", name.lower()))
             return next((k for k, some in KEYWORDS if words.intersection(some)), "other")
 
-        return json.dumps({n: {"exam_type": kind(n), "standardized_name": " ".join(n.split()).title()} for n in names})
+        guide = {" ".join(name.lower().split()): {"exam_type": k, "standardized_name": standard} for name, k, standard in EXAMPLES}
+        return json.dumps({n: guide.get(" ".join(n.lower().split())) or {"exam_type": kind(n), "standardized_name": " ".join(n.split()).title()} for n in names})
 
     def summarize(self, system: str, prompt: str) -> str:
         return f"Summary {hashlib.sha256(prompt.encode()).hexdigest()[:16]}"

@@ -235,6 +235,22 @@ def attach_standard_names(spark, sf_dir):
     return naming.attach(names, naming.look_up(names, cache)).select("p_partkey", "exam_name_raw", "exam_type", "exam_name_standardized")
 
 
+#: Names with an error each: a letter left out, one doubled, two exchanged, or too many to be near anything.
+_MISSPELLED = "case p_partkey % 4 when 0 then left(n, 4) || substring(n, 6, 200) when 1 then left(n, 6) || substring(n, 6, 200) when 2 then left(n, 2) || substring(n, 4, 1) || substring(n, 3, 1) || substring(n, 5, 200) else substring(n, 9, 200) || 'zzzz' end"
+_ERRING = f"select p_partkey, {_MISSPELLED} as exam_name_raw from (select p_partkey, p_type as n from part) p"
+_SPELLED = "trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+
+@query(f"""
+with a as (select exam_name_raw, {_SPELLED.format("exam_name_raw")} as a from (select distinct exam_name_raw from ({_ERRING}) e) x), b as (select *, {_SPELLED.format("cache_key")} as b from ({V.NAME_CACHE}) c)
+select exam_name_raw, cache_key, cast(levenshtein(a, b) as int) as distance, exam_type, standardized_name from a, b
+where levenshtein(a, b) <= cast(floor(greatest(length(a), length(b)) * 0.2::double) as int) qualify row_number() over (partition by exam_name_raw order by levenshtein(a, b), cache_key) = 1
+""")
+def nearest_names(spark, sf_dir):
+    """Misspelled names and the known names that they are nearest to; those too far from all stay out."""
+    return naming.nearest(view(spark, sf_dir, _ERRING), view(spark, sf_dir, V.NAME_CACHE))
+
+
 @query(f"select to_json(list(exam_name_raw order by exam_name_raw)) as names from ({_KEYED}) k")
 def names_json(spark, sf_dir):
     return chunking.names_json(_names(spark, sf_dir)[0])

@@ -37,6 +37,7 @@ class Job:
     workers: int = 1  # calls in flight in a task
     cache_path: str | None = None
     work_path: str | None = None
+    near_names: bool = False  # take a misspelled name for the known one that it is nearest to, without asking the model
     run: str = field(default_factory=lambda: uuid.uuid4().hex[:12])
 
     @property
@@ -116,6 +117,10 @@ class Pipeline:
         """Pages with standard names; only names that the cache lacks are asked for, and only answers are cached."""
         known = cache.read(self.spark, self.job.cache)
         asked = naming.uncached(pages, known)
+        if self.job.near_names:
+            near = self.stage(naming.nearest(asked, known.unionByName(naming.guide(self.spark))), "near-names")
+            known = self.stage(naming.merge(known, near), "known-names")
+            asked = naming.uncached(pages, known)
         if not asked.isEmpty():
             answers = self.stage(providers.standardize(asked, self.job.provider), "names")
             cache.write(naming.merge(known, answers), self.job.cache)

@@ -7,22 +7,22 @@ import json
 #: Names of the transcription prompts in the order in which they are tried.
 VARIANTS = ("transcription_system", "transcription_system_alt1", "transcription_system_alt2", "transcription_system_alt3")
 
-#: What a range of confidence means.
+#: Ranges of confidence (fixed values) and what they stand for.
 CONFIDENCE = (
-    (1.0, 1.0, "full agreement on content"),
-    (0.7, 0.9, "they differ in details of no consequence"),
-    (0.4, 0.6, "they differ in content, the main medical facts agree"),
-    (0.1, 0.3, "they differ in medical content to a large extent"),
-    (0.0, 0.0, "they contradict each other"),
+    (1.0, 1.0, "the same content throughout"),
+    (0.7, 0.9, "a few words apart, none that a reader would act on"),
+    (0.4, 0.6, "a figure, unit or statement apart, while the findings stay what they are"),
+    (0.1, 0.3, "findings or values that contradict or lack each other"),
+    (0.0, 0.0, "no common content"),
 )
-#: The categories and what belongs to them.
+#: Categories (fixed values) and how to tell them.
 CATEGORIES = (
-    ("imaging", "X-ray, MRI, CT, mammography, DEXA, PET, angiography"),
-    ("ultrasound", "ultrasound, echocardiogram, Doppler"),
-    ("endoscopy", "any scope: gastroscopy, colonoscopy, bronchoscopy, cystoscopy"),
-    ("prescription", "prescriptions and medication orders (receita, prescrição)"),
-    ("appointment", "notices and confirmations of appointments (marcação, convocatória)"),
-    ("other", "ECG, EEG, spirometry, sleep study, Holter, stress test, biopsy, pathology"),
+    ("imaging", "pictures by radiation or magnetism"),
+    ("ultrasound", "pictures or flow by sound, of the heart too"),
+    ("endoscopy", "a look inside by an instrument that is led in"),
+    ("prescription", "orders of medicines"),
+    ("appointment", "times and summons, without a finding"),
+    ("other", "curves and functions of organs, tissue samples, and all else"),
 )
 #: Names with their category and standard name.
 EXAMPLES = (

@@ -163,3 +163,60 @@ def test_fences_in_both_places(spark):
 
 def test_calls_in_flight_keep_their_order():
     assert providers.in_flight(4, lambda x: x * x, list(range(30))) == providers.in_flight(1, lambda x: x * x, list(range(30))) == [x * x for x in range(30)]
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_nearest_names_against_all_pairs(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    known = sorted({f"{word(rng.randint(1, 9))} {word(rng.randint(0, 6))}".strip() for _ in range(120)})
+    asked = set()
+    for _ in range(250):
+        name = list(rng.choice(known))
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(name) + 1)
+            name[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "d", "c"])
+        asked.add("".join(name))
+    frame = spark.createDataFrame([(k, "other", k.upper()) for k in known], "cache_key string, exam_type string, standardized_name string")
+    rows = [(n,) for n in asked] * 2 + [(None,), (" ",), ("",)]
+    for share in (0.1, 0.2, 0.34):
+        want = {}
+        for n in asked:
+            text = " ".join(n.split())
+            near = [(edits(text, k), k) for k in known if text and edits(text, k) <= int(max(len(text), len(k)) * share)]
+            if near:
+                want[n] = min(near)
+        got = {r["exam_name_raw"]: (r["distance"], r["cache_key"]) for r in naming.nearest(spark.createDataFrame(rows, "exam_name_raw string").repartition(3), frame, share).collect()}
+        assert got == want and len(want) > 50
+
+
+def test_names_of_the_guide(spark):
+    """All worked examples, as they stand and misspelled; what is near none stays uncached."""
+    import json
+
+    from folioflow.prompts import EXAMPLES
+
+    answers = json.loads(providers.StubProvider().standardize([name for name, _, _ in EXAMPLES]))
+    assert [(n, a["exam_type"], a["standardized_name"]) for n, a in answers.items()] == list(EXAMPLES)
+    wrong = ["radiografia do torax", "Ecografia  Abdominál", "EDA.", "Eletrocardiogrma", "RM Cerebrall", "Receita Medica", "Prescriçao", "Marcacao de Consulta", "Convocatoria"]
+    names = spark.createDataFrame([(n,) for n in [*wrong, "Ecografia Renal", "Biopsia", "XY"]], "exam_name_raw string")
+    got = {r["exam_name_raw"]: (r["exam_type"], r["standardized_name"]) for r in naming.nearest(names, naming.guide(spark)).collect()}
+    assert got == {w: (kind, standard) for w, (_, kind, standard) in zip(wrong, EXAMPLES, strict=True)}
+    merged = naming.merge(naming.guide(spark), naming.nearest(names, naming.guide(spark)))
+    assert {r[0] for r in naming.uncached(names, merged).collect()} == {"Ecografia Renal", "Biopsia", "XY"}
+
+
+def test_hot_grams_meet_nothing(spark):
+    """Names that share all but their rarest grams are compared with few others."""
+    known = spark.range(3000).select(F.concat(F.lit("exame de rotina numero "), F.col("id")).alias("cache_key"), F.lit("other").alias("exam_type"), F.lit("x").alias("standardized_name"))
+    names = spark.createDataFrame([("exame de rotnia numero 17",)], "exam_name_raw string")
+    assert naming.nearest(names, known, 0.1).first()["cache_key"] == "exame de rotina numero 17"

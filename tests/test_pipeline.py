@@ -137,7 +137,7 @@ def test_prompts_and_cache(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         load("none")
     assert "- 0.7 to 0.9: " in load("score_system") and "- 1: " in load("score_system")
-    assert "- endoscopy: any scope" in load("standardize_system") and '"Chest X-ray"' in load("standardize_system")
+    assert "- endoscopy: a look inside" in load("standardize_system") and '"Chest X-ray"' in load("standardize_system")
     path = str(tmp_path / "names.json")
     assert cache.read_json(spark, path).count() == 0
     cache.write_json(spark.createDataFrame([("b", "other", "B"), ("a", "imaging", "Á")], "cache_key string, exam_type string, standardized_name string"), path)
