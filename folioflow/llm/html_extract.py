@@ -4,10 +4,11 @@ A page becomes text lines, one per block, each with the role of the elements aro
 it. Every page is paired with the pages before and after it in the order of URL paths
 within its host; the lines of both are aligned by longest common subsequence, and
 shared lines are deleted. Only line hashes move between pages. Then roles correct
-this: a shared line is restored where the page marks its article and the line lies in
-it, or where the two pages are copies, and what no other page shares is dropped all
-the same if it lies outside a marked article or in menus, headers, footers, sidebars,
-notices, adverts, forms or comments.
+this: a marked article rules if it holds the larger part of the text that no neighbour
+shares, so that its lines are restored and others go; an article that is less than the
+rest, as a teaser is, rules nothing, and differencing decides alone. Lines of two pages
+that are copies are restored too, and what lies in menus, headers, footers, sidebars,
+notices, adverts, forms or comments is dropped whether or not another page shares it.
 """
 
 from __future__ import annotations
@@ -93,8 +94,12 @@ def is_article(tag: str, attributes: str) -> bool:
 INSIDE, OUTSIDE, ROLE = 1, 0, 2
 
 
-def lines_of(page: str) -> tuple[list[str], list[int], bool]:
-    """Blocks of visible text, the kind of each, and whether the page marks an article.
+#: What a page marks: nothing, articles, or its main part alone.
+NOTHING, ARTICLES, MAIN = 0, 1, 2
+
+
+def lines_of(page: str) -> tuple[list[str], list[int], int]:
+    """Blocks of visible text, the kind of each, and what the page marks.
 
     Truncated pages and unclosed elements are read as far as they go; a block ends at any element that is not inline.
     """
@@ -172,16 +177,28 @@ def lines_of(page: str) -> tuple[list[str], list[int], bool]:
         cut = re.search(r"<[a-zA-Z/!?][^>]*\Z", rest)  # a tag that the end of the page cuts off
         parts.append(entities.unescape(rest[: cut.start()] if cut else rest))
     flush()
-    if INSIDE not in kinds:  # then the page's main part, if it marks one
-        kinds = [INSIDE if k == OUTSIDE and m else k for k, m in zip(kinds, mains, strict=True)]
-    return out, kinds, INSIDE in kinds
+    if INSIDE in kinds:
+        return out, kinds, ARTICLES
+    kinds = [INSIDE if k == OUTSIDE and m else k for k, m in zip(kinds, mains, strict=True)]
+    return out, kinds, MAIN if INSIDE in kinds else NOTHING
+
 
+def rules(marked: int, kinds: list[int], sizes: list[int], gone: set[int] = frozenset()) -> bool:
+    """Whether what the page marks is its text: its main part always, articles if they are the larger part of what could stay.
 
-def chosen(kinds: list[int], gone: set[int], copy: bool) -> list[int]:
+    Of the lines outside, those that a neighbour shares do not count.
+    """
+    if marked != ARTICLES:
+        return marked == MAIN
+    inside = sum(n for kind, n in zip(kinds, sizes, strict=True) if kind == INSIDE)
+    return inside > 0 and inside >= sum(n for k, (kind, n) in enumerate(zip(kinds, sizes, strict=True)) if kind == OUTSIDE and k not in gone)
+
+
+def chosen(kinds: list[int], gone: set[int], copy: bool, article: bool) -> list[int]:
     """Positions of the lines that stay: ``gone`` are those that a neighbour shares; it is a ``copy`` if it shares all that could stay."""
-    if INSIDE in kinds:
+    if article:
         return [k for k, kind in enumerate(kinds) if kind == INSIDE]  # shared or not: restored
-    return [k for k, kind in enumerate(kinds) if kind == OUTSIDE and (copy or k not in gone)]
+    return [k for k, kind in enumerate(kinds) if kind != ROLE and (copy or k not in gone)]
 
 
 def shared(lines, other) -> set[int]:
@@ -227,20 +244,27 @@ def neighbours(scratch: Scratch, rows: DataFrame, order: list[str], carry: str,
     w = Window.partitionBy("task").orderBy("place")
     mine = F.struct(within, carry)
     both = rows.withColumns({"prev": F.lag(mine).over(w), "next": F.lead(mine).over(w)})
-    edges = rows.groupBy("task").agg(F.min_by(mine, "place").alias("first"), F.max_by(mine, "place").alias("last"))
-    tasks = Window.partitionBy(F.lit(0)).orderBy("task")
-    edges = edges.select("task", F.lag("last").over(tasks).alias("prev_last"), F.lead("first").over(tasks).alias("next_first"))
-    both = both.join(F.broadcast(edges), "task")
-    both = both.withColumns({"prev": F.coalesce("prev", "prev_last"), "next": F.coalesce("next", "next_first")})
+    # The first and last row of a task look into the tasks before and after it that have rows: two rows a task meet in a join.
+    tasks = sorted(r["task"] for r in rows.select("task").distinct().collect())
+    if len(tasks) > 1:
+        spark = rows.sparkSession
+        steps = spark.createDataFrame(list(zip(tasks, tasks[1:], strict=False)), "task int, following int")
+        last = both.where("next is null").select("task", mine.alias("other")).join(steps, "task").select(F.col("following").alias("task"), F.col("other").alias("before"))
+        first = both.where("prev is null").select(F.col("task").alias("following"), mine.alias("other")).join(steps, "following").select("task", F.col("other").alias("behind"))
+        ends = both.where("prev is null or next is null").join(last, "task", "left").join(first, "task", "left")
+        ends = ends.withColumns({"prev": F.coalesce("prev", "before"), "next": F.coalesce("next", "behind")}).select(*both.columns)
+        both = both.where("prev is not null and next is not null").unionByName(ends)
     near = {side: F.when(F.col(f"{side}.{within}") == F.col(within), F.col(f"{side}.{carry}")) for side in ("prev", "next")}
-    return both.withColumns(near).drop("prev_last", "next_first", "task")
+    return both.withColumns(near).drop("task")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", pairing: bool = True) -> DataFrame:
     """One row per page: page_id, url, text, n_chars, n_lines (text lines kept), n_shared (lines that a neighbour shares), n_restored (of these, kept).
 
     * A null html counts as empty and gives empty text; a null url has an empty host and is paired with its likes.
-    * A page without a marked article that shares all its lines with a neighbour is a copy of it and keeps them.
+    * An article that is the larger part of the lines without a role, or of those of them that no neighbour shares, is the text,
+      and so is the main part of a page without one.
+    * Another page that shares all its lines with a neighbour is a copy of it and keeps them.
     * Without ``pairing`` no line is shared. Repeated rows stay repeated and are paired like others. Very long pages count whole.
     * An empty table gives no rows. Only the three named columns are read.
     """
@@ -254,33 +278,38 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         for b in batches:
             found = [lines_of(page) for page in b.column(4).to_pylist()]
             hashes = [[xxhash.xxh64_intdigest(x) - (1 << 63) for x in lines] for lines, _, _ in found]
-            # Of a page with an article, no other line can stay. What can stay travels packed.
-            lines = [[x if k == INSIDE or (k == OUTSIDE and not has) else "" for x, k in zip(x, kinds, strict=True)] for x, kinds, has in found]
+            # Of a page whose article is the larger part whatever is shared, no other line can stay. What can stay travels packed.
+            sizes = [[len(x) for x in lines] for lines, _, _ in found]
+            sure = [rules(marked, kinds, n) for (_, kinds, marked), n in zip(found, sizes, strict=True)]
+            sizes = [n if has and not one else None for (_, _, has), n, one in zip(found, sizes, sure, strict=True)]
+            lines = [[x if k == INSIDE or (k == OUTSIDE and not one) else "" for x, k in zip(x, kinds, strict=True)] for (x, kinds, _), one in zip(found, sure, strict=True)]
             packed = [zlib.compress("\n".join(x).encode("utf-8", "surrogatepass")) for x in lines]  # a line has no line break
-            columns = [pa.array(packed, pa.binary()), pa.array([f[1] for f in found], pa.list_(pa.int8())), pa.array(hashes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], *columns], names=["page_id", "url", "host", "path", "packed", "kinds", "hashes"])
+            columns = [pa.array(packed, pa.binary()), pa.array([f[1] for f in found], pa.list_(pa.int8())), pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], *columns], names=["page_id", "url", "host", "path", "packed", "kinds", "hashes", "sizes"])
 
     rows = pages.select(pages[id_col].alias("page_id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"), text_or_empty(pages[html_col]).alias("html"))
-    parsed = rows.mapInArrow(work, f"page_id {kind}, url string, host string, path string, packed binary, kinds array<tinyint>, hashes array<long>")
+    parsed = rows.mapInArrow(work, f"page_id {kind}, url string, host string, path string, packed binary, kinds array<tinyint>, hashes array<long>, sizes array<int>")
     parsed = scratch.put(parsed.withColumn("row", F.monotonically_increasing_id()), "parsed")
 
     @F.pandas_udf("kept array<int>, n_shared long, n_restored long")
-    def differenced(kinds: pd.Series, mine: pd.Series, prev: pd.Series, following: pd.Series) -> pd.DataFrame:
+    def differenced(kinds: pd.Series, sizes: pd.Series, mine: pd.Series, prev: pd.Series, following: pd.Series) -> pd.DataFrame:
+        """``sizes`` of the lines are given where it depends on what is shared whether the article rules."""
         out = []
-        for kind, x, *others in zip(kinds, mine, prev, following, strict=True):
-            could = {k for k, one in enumerate(kind) if one == OUTSIDE}
+        for kind, size, x, *others in zip(kinds, sizes, mine, prev, following, strict=True):
+            could = {k for k, one in enumerate(kind) if one != ROLE}
             gone: set[int] = set()
             copy = False
             for found in (shared(x, o) for o in others if o is not None):
                 copy |= found >= could
                 gone |= found
-            kept = chosen(list(kind), gone, copy)
+            article = INSIDE in kind if size is None else rules(ARTICLES, list(kind), list(size), gone)
+            kept = chosen(list(kind), gone, copy, article)
             out.append((kept, len(gone), len(gone.intersection(kept))))
         return pd.DataFrame(out, columns=["kept", "n_shared", "n_restored"])
 
-    near = neighbours(scratch, parsed.select("row", "host", "path", "kinds", "hashes"), ["host", "path", "row"], "hashes", "host", ("host", "row"))
+    near = neighbours(scratch, parsed.select("row", "host", "path", "kinds", "sizes", "hashes"), ["host", "path", "row"], "hashes", "host", ("host", "row"))
     others = (F.col("prev"), F.col("next")) if pairing else (F.lit(None).cast("array<long>"),) * 2
-    kept = near.select("row", differenced("kinds", "hashes", *others).alias("d")).select("row", "d.*")
+    kept = near.select("row", differenced("kinds", "sizes", "hashes", *others).alias("d")).select("row", "d.*")
 
     @F.pandas_udf("string")
     def text_of(packed: pd.Series, kept: pd.Series) -> pd.Series:
