@@ -2,8 +2,8 @@
 
 The graph has hosts as nodes and an edge for the links of one host's pages to another
 host, and for each host to the domain it is under. Seeds are hosts that rules judge for
-the larger part of their pages, with that share as weight, hosts of a seed table, and
-hosts with a blocked word. Trust spreads from trusted hosts along edges (personalised
+the larger part of their pages, with that share as weight, and hosts of a seed table.
+Words of a host's name are no evidence unless a caller names some. Trust spreads from trusted hosts along edges (personalised
 PageRank); distrust spreads from blocked hosts against them, to hosts that link there
 and to hosts under them. A host is blocked when its distrust passes a threshold and
 exceeds its trust. Everything runs on host tables: pages meet the result in one join
@@ -42,8 +42,8 @@ RULES = (
     Rule("block", "example.net", "/de/8"),
     Rule("block", "org", "/es/"),
 )
-#: Words of a host name, between dots and hyphens, that make it a blocked seed.
-BLOCKED_WORDS = ("adult", "ads", "bets", "casino", "pills", "porn", "spam", "viagra", "warez")
+#: Rounds of propagation that make one staged table.
+STEP = 5
 LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
 
 
@@ -89,23 +89,26 @@ def domain_edges(hosts: DataFrame) -> DataFrame:
 def propagate(scratch: Scratch, edges: DataFrame, seeds: DataFrame, name: str, damping: float, tolerance: float) -> DataFrame:
     """Personalised PageRank of (host, seed) over (src, dst, n), in units of one seed's restart: (host, score).
 
-    Mass that reaches a host without outgoing links is lost. Each round is a staged table. Rounds go on until no score
-    moves by ``tolerance``; what moves falls by ``damping`` a round, from the sum of the seeds, so that they end.
+    Mass that reaches a host without outgoing links is lost. ``STEP`` rounds make a staged table. They go on until no score
+    moves by ``tolerance`` in the last round; what moves falls by ``damping`` a round, from the sum of the seeds, so that they end.
     """
     total = edges.groupBy("src").agg(F.sum("n").alias("total"))
     flow = scratch.put(edges.join(total, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")), f"{name}-flow")
-    start = seeds.select("host", F.col("seed").cast("double").alias("score"))
+    start = scratch.put(seeds.select("host", F.col("seed").cast("double").alias("score")), f"{name}-seeds")
     mass = start.agg(F.sum("score")).first()[0] or 0.0
     most = 2 + max(0, math.ceil(math.log(tolerance / max(mass, tolerance)) / math.log(damping)))
     rank, last = start, None
-    for k in range(most):
-        spread = rank.join(flow, rank["host"] == flow["src"]).groupBy(F.col("dst").alias("host")).agg((damping * F.sum(F.col("score") * F.col("share"))).alias("score"))
-        new = spread.unionByName(start).groupBy("host").agg(F.sum("score").alias("score"))
-        new = scratch.put(new.join(rank.withColumnRenamed("score", "old"), "host", "left"), f"{name}-{k}")
-        moved = new.agg(F.max(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0))))).first()[0] or 0.0
+    for k in range(-(-most // STEP)):
+        new = rank
+        for _ in range(STEP):
+            old = new
+            spread = old.join(flow, old["host"] == flow["src"]).groupBy(F.col("dst").alias("host")).agg((damping * F.sum(F.col("score") * F.col("share"))).alias("score"))
+            new = spread.unionByName(start).groupBy("host").agg(F.sum("score").alias("score"))
+        staged = scratch.put(new.join(old.withColumnRenamed("score", "old"), "host", "left"), f"{name}-{k}")
+        moved = staged.agg(F.max(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0))))).first()[0] or 0.0
         if last:
             scratch.drop(last)
-        rank, last = new.drop("old"), f"{name}-{k}"
+        rank, last = staged.drop("old"), f"{name}-{k}"
         if moved < tolerance:
             return rank
     raise RuntimeError(f"{name}: scores still move by {moved} after {most} rounds")
@@ -114,7 +117,7 @@ def propagate(scratch: Scratch, edges: DataFrame, seeds: DataFrame, name: str, d
 def judge(
     pages: DataFrame,
     rules: tuple[Rule, ...] = RULES,
-    blocked_words: tuple[str, ...] = BLOCKED_WORDS,
+    blocked_words: tuple[str, ...] = (),
     trusted_hosts: tuple[str, ...] = (),
     seeds: DataFrame | None = None,
     seed_share: float = 0.5,
@@ -127,7 +130,7 @@ def judge(
 ) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict.
 
-    Seeds are hosts. Blocked ones are those with a word of ``blocked_words`` in their name, of ``seeds`` (host, verdict), or
+    Seeds are hosts. Blocked ones are of ``seeds`` (host, verdict), those with a word of ``blocked_words`` in their name, or
     under a rule that blocks a whole host, with weight one, and those of which rules block ``seed_share`` of the pages or
     more, with that share as weight; trusted ones are named, of ``seeds``, under a rule that allows a whole host, or have
     pages that rules allow, by their share. A seed of both kinds has the larger weight of each.
@@ -205,7 +208,7 @@ parts as (select string_split(host, '.') as l from hosts where len(string_split(
 ups as (select distinct array_to_string(l[k:], '.') as src, array_to_string(l[k + 1:], '.') as dst, 1 as n from (select l, unnest(range(1, len(l) - 1)) as k from parts)),
 edges as (select src, dst, sum(n) as n from (select * from links union all select * from ups) group by all),
 weights as (
-  select host, case when regexp_matches(host, '(^|[.-])(adult|ads|bets|casino|pills|porn|spam|viagra|warez)([.-]|$)') then 1.0 when coalesce(blocked, 0) >= 0.5 then blocked else 0 end as bad, coalesce(allowed, 0) as good
+  select host, case when coalesce(blocked, 0) >= 0.5 then blocked else 0 end as bad, coalesce(allowed, 0) as good
   from (select host from hosts union select dst from edges) left join counts using (host)),
 forth as (select src, dst, n / sum(n) over (partition by src) as share from edges),
 back as (select dst as src, src as dst, n / sum(n) over (partition by dst) as share from edges),

@@ -15,8 +15,8 @@ PAGES = "page_id long, url string, html string"
 
 
 def text_of(page):
-    found, kinds, _ = html_extract.lines_of(page)
-    return [found[k] for k in html_extract.chosen(kinds, set(), False)]
+    found, kinds, marked = html_extract.lines_of(page)
+    return [found[k] for k in html_extract.chosen(kinds, set(), False, html_extract.rules(marked, kinds, [len(x) for x in found]))]
 
 
 @pytest.mark.parametrize(
@@ -105,14 +105,15 @@ def test_pairing_on_all_pages(spark):
     order = sorted(rows, key=lambda r: (r[1].split("/")[2], r[1].split("/")[3], r[0]))
     want = {}
     for at, (i, url, _) in enumerate(order):
-        lines, kinds, _ = parsed[i]
+        lines, kinds, marked = parsed[i]
         gone, copy = set(), False
         for j in (at - 1, at + 1):
             if 0 <= j < len(order) and order[j][1].split("/")[2] == url.split("/")[2]:
                 found = html_extract.shared(lines, parsed[order[j][0]][0])
                 gone |= found
-                copy |= found >= {k for k, kind in enumerate(kinds) if kind == html_extract.OUTSIDE}
-        want[i] = (" ".join(lines[k] for k in html_extract.chosen(kinds, gone, copy)), len(gone))
+                copy |= found >= {k for k, kind in enumerate(kinds) if kind != html_extract.ROLE}
+        article = html_extract.rules(marked, kinds, [len(x) for x in lines], gone)
+        want[i] = (" ".join(lines[k] for k in html_extract.chosen(kinds, gone, copy, article)), len(gone))
     df = spark.createDataFrame(rows, PAGES).coalesce(1)
     assert {r["page_id"]: (r["text"], r["n_shared"]) for r in html_extract.extract(df).collect()} == want
     off = {r["page_id"]: (r["text"], r["n_shared"]) for r in html_extract.extract(df, pairing=False).collect()}
@@ -131,6 +132,103 @@ def test_differencing(spark, extra):
     assert html_extract.extract(spark.createDataFrame([], PAGES)).collect() == []
 
 
+def independent(page):
+    """(kind, text) of blocks by the standard library's parser; kinds as the operator has them, from tags alone."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.stack, self.blocks, self.parts = [], [], []
+
+        def end(self):
+            text = " ".join("".join(self.parts).split())
+            if text:
+                kind = html_extract.ROLE if set(self.stack) & html_extract.BOILER else html_extract.INSIDE if "article" in self.stack else html_extract.OUTSIDE
+                self.blocks.append((kind, text))
+            self.parts = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in html_extract.INLINE:
+                if tag not in ("script", "style"):
+                    self.end()
+                self.stack += [tag] * (tag not in html_extract.VOID)
+
+        def handle_endtag(self, tag):
+            if tag not in html_extract.INLINE:
+                if tag not in ("script", "style"):
+                    self.end()
+                if tag in self.stack:
+                    del self.stack[len(self.stack) - 1 - self.stack[::-1].index(tag) :]
+
+        def handle_data(self, data):
+            if not {"script", "style"} & set(self.stack):
+                self.parts.append(data)
+
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    reader.end()
+    return reader.blocks
+
+
+def test_blocks_match_an_independent_parser():
+    rng = random.Random(12)
+
+    def element(depth):
+        kind = rng.choice(["p", "div", "section", "article", "nav", "aside", "footer", "ul", "script", "text", "inline", "br"])
+        if kind == "text" or depth > 4:
+            return rng.choice(["some words ", "a &amp; b ", "caf&eacute; ", "&#8364;5\n", " "])
+        if kind in ("br", "script"):
+            return "<br>" if kind == "br" else "<script>var x = 'no text';</script>"
+        inner = "".join(element(depth + 1) for _ in range(rng.randint(0, 3)))
+        if kind == "inline":
+            return f"<b>{rng.choice(['bold', 'x'])}</b>"
+        return f"<ul><li>{rng.choice(['one', 'two'])}</li><li>three</li></ul>" if kind == "ul" else f"<p>{rng.choice(['one', 'two &lt; 3'])}</p>" if kind == "p" else f"<{kind}>{inner}</{kind}>"
+
+    seen = set()
+    for _ in range(400):
+        page = "<html><body>" + "".join(element(0) for _ in range(4)) + "</body></html>"
+        want = independent(page)
+        lines, kinds, marked = html_extract.lines_of(page)
+        assert list(zip(kinds, lines, strict=True)) == want and (marked == html_extract.ARTICLES) == any(k == html_extract.INSIDE for k, _ in want)
+        seen.update(k for k, _ in want)
+    assert seen == {0, 1, 2}
+
+
+def test_a_teaser_is_no_article(spark):
+    """An article that is less than the rest of the page rules nothing; one that is more than what is not shared does."""
+    story = "".join(f"<div>Sentence {{0}} of the story number {k} that the page is about.</div>" for k in range(6))
+    teaser = "<article><a href='/x'>Teaser of another story</a></article>"
+    menu = "".join(f"<div>Link of the menu {k} to another part of the site</div>" for k in range(9))
+    rows = [(k, f"http://h.test/a/{k}", menu + story.format(k) + (teaser if k == 1 else "")) for k in range(3)]
+    short = "<article><p>A short piece of its own, {0}.</p></article>"
+    rows += [(10 + k, f"http://i.test/a/{k}", menu + short.format(k)) for k in range(3)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    told = lambda k: " ".join(f"Sentence {k} of the story number {j} that the page is about." for j in range(6))
+    assert [got[k] for k in range(3)] == [told(0), f"{told(1)} Teaser of another story", told(2)]
+    assert [got[10 + k] for k in range(3)] == [f"A short piece of its own, {k}." for k in range(3)]
+
+
+def test_neighbours_over_tasks_without_rows(spark):
+    from folioflow.llm.common import Scratch
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    rows = [(h, f"{k:03d}", k, [k]) for h, n in (("a", 30), ("b", 1), ("c", 7)) for k in range(n)]
+    try:
+        for n in (1, 3, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            df = spark.createDataFrame(rows, "host string, path string, row long, hashes array<long>")
+            near = html_extract.neighbours(Scratch(spark, "n"), df, ["host", "path", "row"], "hashes", "host", ("host", "row"))
+            plan = near._jdf.queryExecution().toString()
+            got = sorted((r["host"], r["row"], r["prev"], r["next"]) for r in near.collect())
+            size = {"a": 30, "b": 1, "c": 7}
+            assert got == sorted((h, k, [k - 1] if k else None, [k + 1] if k + 1 < size[h] else None) for h, _, k, _ in rows)
+            assert "SinglePartition" not in plan
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_archives(spark, extra):
     big = "".join(chr(0x61 + k % 26) for k in range(200_000)) + "é"
     rows = [(5, "http://a", "x"), (3, "http://b\r\nX: y", "x"), (4, None, None), (9, "u", ""), (1, "u", big), (2, "u", big), (7, "u", "unique é"), (None, "u", "x"), (8, "u", "dup"), (8, "u", "dup")]
@@ -239,7 +337,7 @@ def test_rules(spark, extra):
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(df).collect()}
     assert got == {
         1: ("a.example.com", "/en/700", "example.com/en/7", "allow"), 2: ("x.com", "/en/8", "com/en/", "block"), 3: ("example.net", "/de/81", "example.net/de/8", "block"), 4: ("n.net", "/de/", "net/de/", "block"),
-        5: ("", "", None, "allow"), 6: ("", "", None, "allow"), 7: ("acom", "/en/1", None, "allow"), 8: ("b.org", "", None, "allow"), 9: ("spam-farm.example.org", "/x", None, "block"), 10: ("İ.org", "/es/", "org/es/", "block"),
+        5: ("", "", None, "allow"), 6: ("", "", None, "allow"), 7: ("acom", "/en/1", None, "allow"), 8: ("b.org", "", None, "allow"), 9: ("spam-farm.example.org", "/x", None, "allow"), 10: ("İ.org", "/es/", "org/es/", "block"),
     }
     assert url_filter.judge(df).count() == len(rows) and url_filter.judge(df.limit(0)).collect() == []
 
@@ -247,7 +345,7 @@ def test_rules(spark, extra):
 def test_distrust_runs_against_links(spark):
     link = lambda *hosts: "".join(f'<a href="https://{h}/x">l</a>' for h in hosts)
     rows = [(1, "http://spam.test/", link("victim.test")), (2, "http://feeder.test/", link("spam.test")), (3, "http://far.test/", link("feeder.test", "good.test", "good2.test", "good3.test")), (4, "http://victim.test/", ""), (5, "http://good.test/", link("mixed.test")), (6, "http://mixed.test/", link("spam.test", "good.test"))]
-    got = {k: v[3] for k, v in verdicts(spark, rows, rules=(), trusted_hosts=("good.test",)).items()}
+    got = {k: v[3] for k, v in verdicts(spark, rows, rules=(), trusted_hosts=("good.test",), blocked_words=("spam",)).items()}
     assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow"}
 
 
@@ -307,6 +405,16 @@ def test_verdicts_match_brute_force(spark):
     assert {want[k] for k in free} == {"allow", "block"} and any(want[k] == "block" and host[k] not in bad for k in free)
 
 
+def test_distrust_reaches_hosts_three_links_away(spark):
+    """No rule, seed or word names the hosts that link to a blocked one over two others."""
+    link = lambda *hosts: "".join(f'<a href="https://{h}/x">l</a>' for h in hosts)
+    rows = [(k, f"http://bad.com/en/{k}", "") for k in range(3)]
+    rows += [(10, "http://one.test/", link("bad.com")), (11, "http://two.test/", link("one.test")), (12, "http://three.test/", link("two.test")), *((30 + k, f"http://l{k}.test/", link("three.test")) for k in range(9))]
+    rows += [(20, "http://fine.example.com/en/70", link("also.test")), (21, "http://also.test/", link("one.test"))]
+    got = {k: v[3] for k, v in verdicts(spark, rows).items()}
+    assert {k: v for k, v in got.items() if k >= 10} == dict.fromkeys((10, 11, 12), "block") | dict.fromkeys((20, 21, *range(30, 39)), "allow")
+
+
 def test_seed_table(spark):
     rows = [(1, "http://A.shop.test/", ""), (2, "http://b.test/", "<a href='http://c.test/'>c</a>"), (3, "http://c.test/", "")]
     seeds = spark.createDataFrame([("Shop.test", "block"), ("c.test", "block"), ("b.test", "allow"), (None, "block"), ("far.test", "block")], "host string, verdict string")
