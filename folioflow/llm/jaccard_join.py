@@ -248,10 +248,11 @@ def join(docs: DataFrame, similarity: float = 0.8, trees: int = 20, longest: int
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the documents that ``join`` does not keep; all columns stay, of a repeated row one."""
-    kept = join(docs, id_col=id_col, text_col=text_col, **options).where("kept").select(F.col(id_col).alias("__its_id"), F.col("text_key").alias("__its_key"))
+    kept = join(docs, id_col=id_col, text_col=text_col, **options).where("kept").select(F.col(id_col).alias("its_id"), F.col("text_key").alias("its_key"))
     key = F.md5(text_or_empty(docs[text_col]).cast("binary"))
-    found = docs.withColumn("__text_key", key).join(kept.hint("merge"), docs[id_col].eqNullSafe(F.col("__its_id")) & (F.col("__text_key") == F.col("__its_key")), "left_semi")
-    return found.dropDuplicates([id_col, "__text_key"]).drop("__text_key")
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].alias("id"), key.alias("key"))
+    found = whole.join(kept.hint("merge"), F.col("id").eqNullSafe(F.col("its_id")) & (F.col("key") == F.col("its_key")), "left_semi")
+    return found.dropDuplicates(["id", "key"]).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

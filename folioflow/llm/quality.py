@@ -130,6 +130,20 @@ class Model:
         return scored(text)
 
 
+def gradients(model: Model, x: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
+    """Of the mean cross-entropy of some documents, by the model's parts; ``x`` is scaled."""
+    W, b, V, U, w, c, d = model.parts
+    first, H, T, G, a, z, p = model.forward(x, counts)
+    dy = ((p - labels) / len(labels)).astype(x.dtype)
+    dz = np.repeat(dy[:, None] * c, counts, axis=0)
+    da = (H * dz).sum(1)
+    ds = a * (da - np.repeat(np.add.reduceat(a * da, first), counts))
+    dTG = ds[:, None] * w
+    dT, dG = dTG * G * (1 - T * T), dTG * T * G * (1 - G)
+    dA = (a[:, None] * dz + dT @ V.T + dG @ U.T) * (1 - H * H)
+    return [x.T @ dA, dA.sum(0), H.T @ dT, H.T @ dG, (T * G).T @ ds, z.T @ dy, dy.sum(keepdims=True)]
+
+
 def train(x: np.ndarray, counts: np.ndarray, labels: np.ndarray, hidden: int = 32, attention: int = 16, epochs: int = 40, batch: int = 128, rate: float = 0.01, decay: float = 1e-3) -> Model:
     """Adam on the cross-entropy of documents at a rate that falls to nothing; seeded, so that equal samples give equal models."""
     share = float(labels.mean()) if len(labels) else 0.5
@@ -150,17 +164,8 @@ def train(x: np.ndarray, counts: np.ndarray, labels: np.ndarray, hidden: int = 3
             bags = order[at : at + batch]
             n = counts[bags]
             rows = np.repeat(start[bags] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            X = x[rows]
-            first, H, T, G, a, z, p = model.forward(X, n)
-            W, b, V, U, w, c, d = parts
-            dy = ((p - labels[bags]) / len(bags)).astype(np.float32)
-            dz = np.repeat(dy[:, None] * c, n, axis=0)
-            da = (H * dz).sum(1)
-            ds = a * (da - np.repeat(np.add.reduceat(a * da, first), n))
-            dTG = ds[:, None] * w
-            dT, dG = dTG * G * (1 - T * T), dTG * T * G * (1 - G)
-            dA = (a[:, None] * dz + dT @ V.T + dG @ U.T) * (1 - H * H)
-            grads = [X.T @ dA + decay * W, dA.sum(0), H.T @ dT, H.T @ dG, (T * G).T @ ds, z.T @ dy, dy.sum(keepdims=True)]
+            grads = gradients(model, x[rows], n, labels[bags])
+            grads[0] += decay * parts[0]
             step += 1
             for p_, g, u, v in zip(parts, grads, m1, m2, strict=True):
                 u += 0.1 * (g - u)
@@ -173,15 +178,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = 6000, most_bytes: int = 128 << 20, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on at most ``sample`` labelled documents that are not held out, chosen by a hash of the id, on their whole texts.
 
-    A document with several labels has their mean; of several texts with one id, the first in the order of their encodings is
-    read, so that at most ``sample`` rows reach the driver. Labels that are null or have no document are left out. A sample
+    Texts are taken in the order of that hash as long as they have ``most_bytes`` in all, so that what reaches the driver is
+    bounded: less than a byte for each byte of them. A document with several labels has their mean; of several texts with one
+    id, the first in the order of their encodings is read. Labels that are null or have no document are left out. A sample
     without both labels, or an empty table, gives a model that scores its share of ones, or 0.5.
     """
+    spark = docs.sparkSession
     chosen = labels.select(labels[id_col].alias("its_id"), labels[label_col].cast("double").alias("label")).where(F.col("label").isNotNull() & F.col("its_id").isNotNull())
     chosen = chosen.where(~held_out(F.col("its_id"))).groupBy("its_id").agg(F.avg("label").alias("label")).orderBy(F.xxhash64("its_id"), "its_id").limit(sample)
+    sized = docs.select(docs[id_col].alias("id"), F.octet_length(text_or_empty(docs[text_col])).cast("long").alias("bytes")).join(F.broadcast(chosen), F.col("id") == F.col("its_id"))
+    sized = sized.groupBy(F.xxhash64("its_id").alias("place"), "its_id").agg(F.min("label").alias("label"), F.sum("bytes").alias("bytes"))
+    found, total = [], 0
+    for r in sorted(sized.collect(), key=lambda r: (r["place"], str(r["its_id"]))):  # ``sample`` rows of four numbers
+        if total + r["bytes"] > most_bytes:
+            break
+        total += r["bytes"]
+        found.append((r["its_id"], r["label"]))
+    chosen = spark.createDataFrame(found, chosen.schema)
     rows = docs.select(docs[id_col].alias("id"), text_or_empty(docs[text_col]).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("its_id"))
     rows = rows.select("id", "label", "text")
 
@@ -212,7 +228,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, text_col:
     """``docs`` without those that score below ``least``; all columns stay."""
     bounded_batches(docs.sparkSession)
     model = fit(docs, labels, text_col=text_col, **options)
-    return docs.withColumn("__score", model.column(text_or_empty(docs[text_col]))).where(F.col("__score") >= least).drop("__score")
+    return docs.where(model.column(text_or_empty(docs[text_col])) >= least)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

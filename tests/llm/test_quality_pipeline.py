@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from folioflow.llm import quality
@@ -68,13 +69,91 @@ def test_labels_in_doubt(spark, documents):
 
 
 def test_gradient_matches_differences():
+    """Every part's gradient against differences of the loss in some of its places; and training lowers the loss."""
     rng = np.random.default_rng(0)
-    x, counts, labels = rng.normal(size=(7, quality.WIDTH)).astype(np.float32), np.array([2, 1, 4]), np.array([1.0, 0.0, 1.0])
+    x, counts, labels = rng.normal(size=(7, quality.WIDTH)), np.array([2, 1, 4]), np.array([1.0, 0.0, 1.0])
     x[:, -1] = 1
-    before = quality.train(x, counts, labels, epochs=1, rate=0.0, decay=0.0)
-    after = quality.train(x, counts, labels, epochs=60, decay=0.0)
-    loss = lambda m: -np.mean(np.log(np.where(labels == 1, m.forward(m.scaled(x), counts)[-1], 1 - m.forward(m.scaled(x), counts)[-1])))
-    assert loss(after) < 0.2 * loss(before)
+    before = quality.train(x.astype(np.float32), counts, labels, epochs=1, rate=0.0, decay=0.0)
+    after = quality.train(x.astype(np.float32), counts, labels, epochs=60, decay=0.0)
+
+    def loss(model, rows):
+        p = model.forward(rows, counts)[-1]
+        return -np.mean(np.log(np.where(labels == 1, p, 1 - p)))
+
+    assert loss(after, after.scaled(x)) < 0.2 * loss(before, before.scaled(x))
+    exact = quality.Model([p.astype(np.float64) for p in before.parts], before.mean, before.scale)
+    rows = exact.scaled(x).astype(np.float64)
+    for part, found in zip(exact.parts, quality.gradients(exact, rows, counts, labels), strict=True):
+        flat, grads = part.reshape(-1), np.asarray(found).reshape(-1)
+        for k in rng.choice(len(flat), min(12, len(flat)), replace=False):
+            kept, step = flat[k], 1e-5
+            flat[k] = kept + step
+            up = loss(exact, rows)
+            flat[k] = kept - step
+            down = loss(exact, rows)
+            flat[k] = kept
+            assert grads[k] == pytest.approx((up - down) / (2 * step), rel=1e-3, abs=1e-8)
+
+
+def plain_score(model, text):
+    """The score by loops over passages, n-grams and units."""
+    import math
+
+    data, vectors = text.encode(), []
+    for at in range(0, max(1, len(data)), quality.PASSAGE):
+        part = data[at : at + quality.PASSAGE]
+        x = [0.0] * quality.WIDTH
+        grams = {}
+        for a, b, c in zip(part, part[1:], part[2:], strict=False):
+            mixed = (a * 0x9E3779B1 ^ b * 0x85EBCA6B ^ c * 0xC2B2AE35) & 0xFFFFFFFF
+            mixed = (mixed ^ mixed >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
+            grams[mixed >> 24] = grams.get(mixed >> 24, 0) + 1
+        total = sum(grams.values())
+        for g, n in grams.items():
+            x[g] = math.sqrt(n / total)
+            x[quality.TRIGRAMS] -= n / total * math.log(n / total)
+        for b in part:
+            x[quality.TRIGRAMS + 1 + quality.KINDS[b]] += 1 / len(part)
+        drawn = len(part) / (len(part) + quality.HALF)
+        vectors.append([(v - m) / s * drawn for v, m, s in zip(x, model.mean, model.scale, strict=True)][:-1] + [0.0])
+    W, b, V, U, w, c, d = (p.astype(float).tolist() for p in model.parts)
+    hidden = [[math.tanh(b[j] + sum(x[i] * W[i][j] for i in range(len(x)))) for j in range(len(b))] for x in vectors]
+    weights = []
+    for h in hidden:
+        gated = [math.tanh(sum(h[i] * V[i][j] for i in range(len(h)))) / (1 + math.exp(-sum(h[i] * U[i][j] for i in range(len(h))))) for j in range(len(w))]
+        weights.append(math.exp(sum(g * v for g, v in zip(gated, w, strict=True))))
+    bag = [sum(a * h[j] for a, h in zip(weights, hidden, strict=True)) / sum(weights) for j in range(len(b))]
+    return 1 / (1 + math.exp(-(sum(z * v for z, v in zip(bag, c, strict=True)) + d[0])))
+
+
+def test_scores_by_plain_loops(spark, documents):
+    rows, labels = sample(150)
+    model = quality.fit(documents(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    texts = [t for _, t in rows[:12]] + ["", "a", "é" * 900, "x" * quality.PASSAGE, "short TEXT!! " * 200]
+    got = quality.score(documents(list(enumerate(texts))), model).collect()
+    assert all(r["score"] == pytest.approx(plain_score(model, texts[r["doc_id"]]), abs=1e-4) for r in got)
+
+
+def test_sample_is_bounded_in_bytes(spark, documents):
+    """Texts count by the order of their ids' hashes, until the bytes are used up."""
+    rows, labels = sample(150)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    whole = quality.fit(documents(rows), marks)
+    same = quality.fit(documents(rows), marks, most_bytes=1 << 30)
+    less = quality.fit(documents(rows), marks, most_bytes=20_000)
+    assert all(np.array_equal(p, q) for p, q in zip(whole.parts, same.parts, strict=True)) and not np.array_equal(whole.mean, less.mean)
+    assert quality.fit(documents(rows), marks, most_bytes=1).share == 0.5
+
+
+def test_clashing_names_stay(spark, documents):
+    from folioflow.llm import jaccard_join
+
+    rows, labels = sample(60)
+    df = documents(rows).withColumns({c: F.lit("mine") for c in ("__score", "__text_key", "key", "row", "its_id")})
+    good = quality.keep_good(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert good.columns == df.columns and {r["__score"] for r in good.collect()} == {"mine"}
+    one = jaccard_join.keep_one(df)
+    assert one.columns == df.columns and {(r["__text_key"], r["key"], r["row"], r["its_id"]) for r in one.collect()} == {("mine",) * 4}
 
 
 def test_stages_on_nasty_documents(spark, documents, tmp_path):
