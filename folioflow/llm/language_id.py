@@ -32,6 +32,8 @@ SPREAD, MIX = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 #: Bytes of a text that are hashed at a time, and texts of one matrix product.
 STEP, ROWS = 4 << 20, 128
 UNDETERMINED = "und"
+#: Parts of a language's labelled documents whose first ones are found apart.
+PARTS = 256
 #: ASCII letters in lower case, spaces for the rest of ASCII; other bytes stand for themselves.
 LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
@@ -126,8 +128,10 @@ def fit(docs: DataFrame, sample: int = 4000, id_col: str = "doc_id", text_col: s
     ``BUCKETS`` bits a text, whatever its length. Without such texts the model knows no language.
     """
     labelled = docs.select(docs[id_col].alias("its_id"), docs[lang_col].alias("its_lang")).where(F.col("its_lang").isNotNull() & F.col("its_id").isNotNull())
-    turn = F.row_number().over(Window.partitionBy("its_lang").orderBy(F.xxhash64("its_id"), "its_id"))
-    chosen = labelled.where(~held_out(F.col("its_id"))).withColumn("turn", turn).where(F.col("turn") <= sample)
+    turn = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("its_id"), "its_id"))
+    # The first of a language are among the first of its parts, so that no task has more than so many of each part.
+    parted = labelled.where(~held_out(F.col("its_id"))).withColumn("part", F.pmod(F.hash("its_id"), F.lit(PARTS)))
+    chosen = parted.withColumn("turn", turn("its_lang", "part")).where(F.col("turn") <= sample).withColumn("turn", turn("its_lang")).where(F.col("turn") <= sample)
     chosen = chosen.orderBy("turn", "its_lang").limit(sample).select("its_id").distinct()
     text = text_or_empty(docs[text_col])
     rows = docs.select(docs[id_col].alias("id"), docs[lang_col].alias("lang"), text.alias("text")).where(F.col("lang").isNotNull() & has_letter(F.col("text")))
