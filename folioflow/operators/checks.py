@@ -36,6 +36,11 @@ def incomplete(images: DataFrame, pages: DataFrame) -> DataFrame:
     return counted.withColumn("pages", F.coalesce("pages", F.lit(0))).where("images <> pages")
 
 
+def whole(images: DataFrame, pages: DataFrame) -> DataFrame:
+    """Pages of documents that have one for each image."""
+    return pages.join(incomplete(images, pages).select("doc_stem"), "doc_stem", "left_anti")
+
+
 def missing_keys(present: Column) -> Column:
     """Required keys that an array of keys lacks."""
     return F.array_sort(F.array_except(F.array(*(F.lit(k) for k in REQUIRED_KEYS)), present))

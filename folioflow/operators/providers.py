@@ -166,16 +166,24 @@ def in_flight(workers: int, call: Callable, items: list) -> list:
         return list(pool.map(call, items))
 
 
-def classify(pages: DataFrame, factory: Factory, context: str = "") -> DataFrame:
-    """One row per document of (doc_stem, page_number, image), from all its pages in order."""
+def classify(pages: DataFrame, factory: Factory, context: str = "", most: int = 64) -> DataFrame:
+    """One row per document of (doc_stem, page_number, image), from all its pages in order.
+
+    A call sees up to ``most`` consecutive pages, and so does a task: the images of a long document never meet. Such a document
+    is an exam if any of its parts is, and has every field from the first part that tells it.
+    """
 
     provider = once(factory)
+    fields = schemas.struct(schemas.CLASSIFICATION).fieldNames()[2:]
 
     def one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         images = [bytes(x) for x in group.sort_values("page_number")["image"]]
-        return pd.DataFrame([{"doc_stem": key[0]} | classify_document(provider(), images, context)])
+        return pd.DataFrame([{"doc_stem": key[0], "part": key[1]} | classify_document(provider(), images, context)])
 
-    return pages.select("doc_stem", "page_number", "image").groupBy("doc_stem").applyInPandas(one, schemas.CLASSIFICATION)
+    part = F.floor(F.col("page_number") / most).cast("int")
+    parts = pages.select("doc_stem", "page_number", "image", part.alias("part")).groupBy("doc_stem", "part").applyInPandas(one, f"{schemas.CLASSIFICATION}, part int")
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("part", c)))[c].alias(c)
+    return parts.groupBy("doc_stem").agg(F.max("is_exam").alias("is_exam"), *map(first, fields))
 
 
 def transcribe(pages: DataFrame, factory: Factory, retries: int = 3, context: str = "", workers: int = 1) -> DataFrame:
@@ -270,31 +278,49 @@ def standardize(names: DataFrame, factory: Factory, batch: int = 50) -> DataFram
     return names.select("exam_name_raw").mapInPandas(work, "exam_name_raw string, exam_type string, standardized_name string")
 
 
-def summarize(pages: DataFrame, factory: Factory, max_input_tokens: int = 100_000) -> DataFrame:
+Stage = Callable[[DataFrame, str], DataFrame]
+
+
+def summarize(pages: DataFrame, factory: Factory, stage: Stage, max_input_tokens: int = 100_000, workers: int = 1) -> DataFrame:
     """(doc_stem, summary) of documents with content: chunks in order, each refining the summary so far.
 
-    An empty answer ends with an empty summary; a call that fails ends with the summary so far. Documents run in
-    parallel, the chunks of one in order; only rendered chunks move, a row each.
+    An empty answer ends with an empty summary; a call that fails ends with the summary so far. Round k calls for chunk k of
+    every document that goes on, ``workers`` calls at a time in a task, and is written by ``stage``, which returns what is
+    written under a name already: a lost task repeats its own calls, and a run that is taken up again those of its last round.
     """
     budget = chunk_budget(max_input_tokens, PROMPTS["summary_system"])
     full = with_content(pages)
     chunked = full.join(assign_chunks(full, budget).select("doc_stem", F.col("page_number").cast("int").alias("page_number"), "chunk_idx"), ["doc_stem", "page_number"])
     keys = ["doc_stem", "chunk_idx"]
     prompts = exam_lists(chunked, keys).join(transcriptions(chunked, keys), keys).join(chunked.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("n")), keys)
+    prompts = stage(prompts, "summary-chunks")
+    tasks = pages.sparkSession.sparkContext.defaultParallelism
 
-    make = once(factory)
-
-    def one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        provider, summary = make(), ""
-        for c in group.sort_values("chunk_idx").itertuples():
-            name = "summary_first" if c.chunk_idx == group["chunk_idx"].min() else "summary_next"
-            prompt = fill(name, n=c.n, exam_list=c.exam_list, transcriptions=c.transcriptions, summary=summary)
-            try:
-                summary = (provider.summarize(PROMPTS["summary_system"], prompt) or "").strip()
-            except Exception:  # noqa: BLE001  by contract
-                break
-            if not summary:
-                break
-        return pd.DataFrame([{"doc_stem": key[0], "summary": summary}])
-
-    return prompts.groupBy("doc_stem").applyInPandas(one, "doc_stem string, summary string")
+    def answer(provider: ModelProvider, chunk: int, row) -> tuple[str, str, bool]:
+        prompt = fill("summary_next" if chunk else "summary_first", n=row.n, exam_list=row.exam_list, transcriptions=row.transcriptions, summary=row.summary)
+        try:
+            found = (provider.summarize(PROMPTS["summary_system"], prompt) or "").strip()
+        except Exception:  # noqa: BLE001  by contract
+            return row.doc_stem, row.summary, True
+        return row.doc_stem, found, not found
+
+    def called(chunk: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        make = once(factory)
+
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                found = in_flight(workers, lambda row: answer(make(), chunk, row), list(b.itertuples()))
+                yield pd.DataFrame(found, columns=["doc_stem", "summary", "over"])
+
+        return work
+
+    rounds: list[DataFrame] = []
+    for chunk in range((prompts.agg(F.max("chunk_idx")).first()[0] or 0) + 1):
+        due = prompts.where(F.col("chunk_idx") == chunk)
+        due = due.join(rounds[-1].where("not over").select("doc_stem", "summary"), "doc_stem") if rounds else due.withColumn("summary", F.lit(""))
+        due = due.select("doc_stem", "n", "exam_list", "transcriptions", "summary").repartition(tasks)
+        rounds.append(stage(due.mapInPandas(called(chunk), "doc_stem string, summary string, over boolean"), f"summary-{chunk}"))
+    every = rounds[0].withColumn("chunk", F.lit(0))
+    for k, more in enumerate(rounds[1:], 1):
+        every = every.unionByName(more.withColumn("chunk", F.lit(k)))
+    return every.groupBy("doc_stem").agg(F.max_by("summary", "chunk").alias("summary"))

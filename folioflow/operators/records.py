@@ -50,3 +50,8 @@ def select_one(docs: DataFrame, query: str, name_col: str = "file_name") -> Data
     if n != 1:
         raise LookupError(f"{'no document' if n == 0 else 'more than one document'} matches {query!r}")
     return found
+
+
+def replaced(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored pages with new ones in the places that have some."""
+    return stored.join(new.select("doc_stem", "page_number"), ["doc_stem", "page_number"], "left_anti").unionByName(new)

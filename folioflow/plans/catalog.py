@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -15,7 +16,7 @@ from folioflow.functions import dates, text
 from folioflow.operators import alignment, checks, chunking, frontmatter, naming, providers, records, voting
 from folioflow.plans import views as V
 from folioflow.plans.views import view
-from folioflow.prompts import VARIANTS
+from folioflow.prompts import PROMPTS, VARIANTS
 from folioflow.sinks import files as sinks
 from folioflow.sinks import pdf
 from folioflow.sources import files as sources
@@ -340,20 +341,26 @@ def text_row_sql(i: str) -> str:
 
 
 _COST = f"length({list_row_sql(chr(39) + '1' + chr(39))} || {text_row_sql(chr(39) + '1' + chr(39))}) // 4"
-_CHUNKS = f"""
-with recursive p as (select doc_stem, page_number, {_COST} as cost, row_number() over (partition by doc_stem order by page_number) as k from ({V.CHATS}) c),
+
+
+def chunks_sql(pages: str, budget: int) -> str:
+    return f"""
+with recursive p as (select doc_stem, page_number, {_COST} as cost, row_number() over (partition by doc_stem order by page_number) as k from ({pages}) c),
 w as (
-  select doc_stem, page_number, cost, k, 0 as chunk_idx, not (cost > {BUDGET}) as open, case when cost > {BUDGET} then 0 else cost end as used from p where k = 1
+  select doc_stem, page_number, cost, k, 0 as chunk_idx, not (cost > {budget}) as open, case when cost > {budget} then 0 else cost end as used from p where k = 1
   union all
   select p.doc_stem, p.page_number, p.cost, p.k,
-         case when w.open and w.used + p.cost > {BUDGET} then w.chunk_idx + 1 when not w.open then w.chunk_idx + 1 else w.chunk_idx end,
-         not (not w.open and p.cost > {BUDGET}),
-         case when not w.open and p.cost > {BUDGET} then 0 when w.open and w.used + p.cost > {BUDGET} then p.cost when not w.open then p.cost else w.used + p.cost end
+         case when w.open and w.used + p.cost > {budget} then w.chunk_idx + 1 when not w.open then w.chunk_idx + 1 else w.chunk_idx end,
+         not (not w.open and p.cost > {budget}),
+         case when not w.open and p.cost > {budget} then 0 when w.open and w.used + p.cost > {budget} then p.cost when not w.open then p.cost else w.used + p.cost end
   from w join p on p.doc_stem = w.doc_stem and p.k = w.k + 1)
 select doc_stem, cast(page_number as bigint) as page_number, cost, cast(chunk_idx as int) as chunk_idx from w
 """
 
 
+_CHUNKS = chunks_sql(V.CHATS, BUDGET)
+
+
 @query(_CHUNKS)
 def chunk_assignment(spark, sf_dir):
     return chunking.assign_chunks(view(spark, sf_dir, V.CHATS), BUDGET)
@@ -512,12 +519,24 @@ def _chat_images(spark, sf_dir):
     return chats.select(F.col("doc_stem").cast("string").alias("doc_stem"), "page_number", F.encode(refuse, "utf-8").alias("image"))
 
 
-@query()
+def yaml_line(key: str, value: str, given: str) -> str:
+    return f"case when {given} then '{key}: ' || {value} || chr(10) else '' end"
+
+
+_YAML = " || ".join(
+    [yaml_line("exam_date", "chr(39) || exam_date || chr(39)", "coalesce(exam_date, '') <> ''")]
+    + [yaml_line(k, f, f"coalesce({f}, '') <> ''") for f, k in frontmatter.FRONTMATTER_KEYS[1:]]
+    + [yaml_line("page", "cast(page_number as varchar)", "page_number <> 0"), yaml_line("source", "source_file", "source_file <> ''"), yaml_line("prompt_variant", "prompt_variant", "coalesce(prompt_variant, '') <> ''")]
+    + [yaml_line("confidence", "cast(transcription_confidence as varchar)", "transcription_confidence is not null"), yaml_line("retry_attempts", "cast(retry_attempts as varchar)", "retry_attempts > 1")]
+)
+
+
+@query(f"select doc_stem, page_number, '---' || chr(10) || {_YAML} || '---' || chr(10) || chr(10) || {strip_sql('transcription')} || chr(10) as file from ({V.CHATS}) c")
 def yaml_render(spark, sf_dir):
     return view(spark, sf_dir, V.CHATS).select("doc_stem", "page_number", frontmatter.markdown(frontmatter.to_frontmatter(), F.array("transcription")).alias("file"))
 
 
-@query()
+@query("select conv_id, turn, " + ", ".join(f"nullif(regexp_extract(header, '(?m)^{k}: (.*)$', 1), '') as {k}" for k in ("title", "category", "exam_date")) + f", body from ({_SPLIT}) s")
 def frontmatter_parse(spark, sf_dir):
     return frontmatter.parsed(view(spark, sf_dir, V.HEADED)).select("conv_id", "turn", "header.title", "header.category", "header.exam_date", "body")
 
@@ -564,10 +583,47 @@ def stub_standardize(spark, sf_dir):
     return naming.look_up(names, naming.merge(cache, providers.standardize(naming.uncached(names, cache), providers.StubProvider)))
 
 
-@query()
+_FOLD_TOKENS = 3000
+_FULL = f"select * from ({V.CHATS}) h where {strip_sql('transcription')} <> ''"
+
+
+def _prompt_sql(name: str) -> str:
+    """The template as a concatenation of its parts and columns."""
+    parts = re.split(r"\{(\w+)\}", PROMPTS[name])
+    return " || ".join((f"cast({p} as varchar)" if k % 2 else "'" + p.replace("'", "''").replace("\n", "' || chr(10) || '") + "'") for k, p in enumerate(parts) if p)
+
+
+@query(f"""
+with recursive c as (select * from ({chunks_sql(_FULL, chunking.chunk_budget(_FOLD_TOKENS, PROMPTS['summary_system']))}) x),
+g as (select h.*, c.chunk_idx, row_number() over (partition by h.doc_stem, c.chunk_idx order by h.page_number) as i from ({_FULL}) h join c on c.doc_stem = h.doc_stem and c.page_number = h.page_number),
+t as (select doc_stem, chunk_idx, count(*) as n, string_agg({list_row_sql('cast(i as string)')}, chr(10) order by i) as exam_list, string_agg({text_row_sql('cast(i as string)')}, chr(10) || chr(10) order by i) as transcriptions from g group by all),
+f as (select doc_stem, chunk_idx, 'Summary ' || left(sha256({_prompt_sql('summary_first')}), 16) as summary from t where chunk_idx = 0
+  union all select t.doc_stem, t.chunk_idx, 'Summary ' || left(sha256({_prompt_sql('summary_next')}), 16) from f join t on t.doc_stem = f.doc_stem and t.chunk_idx = f.chunk_idx + 1)
+select cast(doc_stem as string) as doc_stem, summary from f qualify row_number() over (partition by doc_stem order by chunk_idx desc) = 1
+""")
 def stub_summary_fold(spark, sf_dir):
-    chats = view(spark, sf_dir, V.CHATS).withColumn("doc_stem", F.col("doc_stem").cast("string"))
-    return providers.summarize(chats, providers.StubProvider, max_input_tokens=3000)
+    chats, folder = view(spark, sf_dir, V.CHATS).withColumn("doc_stem", F.col("doc_stem").cast("string")), scratch(spark, "fold")
+
+    def stage(df, name):
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    return providers.summarize(chats, providers.StubProvider, stage, max_input_tokens=_FOLD_TOKENS)
+
+
+@query("select conv_id as doc_stem, cast(turn as int) as page_number, case when turn = conv_id % 4 then 'again ' || role else role end as transcription from conversations")
+def page_taken_again(spark, sf_dir):
+    """One page of every document processed again takes its place among the stored ones."""
+    stored = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_stem"), F.col("turn").cast("int").alias("page_number"), F.col("role").alias("transcription"))
+    new = stored.where("page_number = doc_stem % 4").withColumn("transcription", F.concat(F.lit("again "), "transcription"))
+    return records.replaced(stored, new)
+
+
+@query(f"with {_OUT} select t.doc_stem, t.turn from t left join i using (doc_stem) left join p using (doc_stem) where t.role = 'assistant' and (i.images is null or i.images = p.pages)")
+def pages_to_summarise_again(spark, sf_dir):
+    """Stored pages of the documents that have one for each image."""
+    _, images, pages, _ = _outputs(spark, sf_dir)
+    return checks.whole(images, pages).select("doc_stem", "turn")
 
 
 # files: written by tasks, listed and read again

@@ -70,6 +70,13 @@ class Pipeline:
         df.write.mode("overwrite").parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
+    def stage_once(self, df: DataFrame, name: str) -> DataFrame:
+        """As ``stage``, but what this run has written to its end under the name is taken instead."""
+        where = f"{self.job.work_path or self.job.output_path + '/logs/work'}/{self.job.run}/{name}"
+        if files.listing(self.spark, where).where("file_name = '_SUCCESS'").isEmpty():
+            return self.stage(df, name)
+        return self.spark.read.schema(df.schema).parquet(where)
+
     def outputs(self) -> DataFrame:
         return files.output_files(self.spark, self.job.output_path)
 
@@ -83,7 +90,7 @@ class Pipeline:
     def done(self, out: DataFrame) -> DataFrame:
         """Documents that need no run: with a page for each image, or found to be no exam before. Partial and failed ones are taken again."""
         images, pages = out.where("kind = 'image'"), out.where("kind = 'page'")
-        whole = pages.select("doc_stem").distinct().join(checks.incomplete(images, pages).select("doc_stem"), "doc_stem", "left_anti")
+        whole = checks.whole(images, pages).select("doc_stem").distinct()
         if files.listing(self.spark, self.status_path).where("file_name like '%.parquet'").isEmpty():
             return whole
         return whole.unionByName(self.spark.read.schema(schemas.STATUS).parquet(self.status_path).where("status = 'skipped'").select("doc_stem"))
@@ -159,8 +166,8 @@ class Pipeline:
         sinks.write_files(sinks.page_files(rows), uri(job.output_path))
         full = rows
         if page is not None:
-            others = before.join(exams.select("doc_stem"), "doc_stem", "left_semi").join(rows.select("doc_stem", "page_number"), ["doc_stem", "page_number"], "left_anti")
-            full = self.stage(files.stored_records(others).unionByName(rows), "merged")
+            stored = files.stored_records(before.join(exams.select("doc_stem"), "doc_stem", "left_semi"))
+            full = self.stage(records.replaced(stored, rows), "merged")
         self.write_summaries(full)
         done = rows.groupBy("doc_stem").agg(F.count(F.lit(1)).cast("int").alias("pages"))
         status = docs.select("doc_stem").join(done, "doc_stem", "left").join(skipped.select("doc_stem", F.lit(True).alias("skipped")), "doc_stem", "left").join(rendered.select("doc_stem", F.lit(True).alias("rendered")), "doc_stem", "left")
@@ -173,7 +180,7 @@ class Pipeline:
 
     def write_summaries(self, rows: DataFrame) -> DataFrame:
         """Summaries of these records. An old one stays until a new one that is not empty takes its place."""
-        found = self.stage(providers.summarize(rows, self.job.provider, self.job.max_input_tokens), "summaries")
+        found = self.stage(providers.summarize(rows, self.job.provider, self.stage_once, self.job.max_input_tokens, self.job.workers), "summaries")
         sinks.write_files(sinks.summary_files(found, rows), uri(self.job.output_path))
         return found
 
@@ -184,7 +191,7 @@ class Pipeline:
             query = document.lower().removesuffix(".pdf")
             found = found.where(F.lower("doc_stem").isin(query, document.lower()))
         images, pages = found.where("kind = 'image'"), found.where("kind = 'page'")
-        whole = pages.join(checks.incomplete(images, pages).select("doc_stem"), "doc_stem", "left_anti")
+        whole = checks.whole(images, pages)
         sources = files.listing(self.spark, self.job.input_path).where(F.col("file_name").endswith(".pdf")).withColumn("doc_stem", F.regexp_replace("file_name", r"\.pdf$", ""))
         rows = self.stage(files.stored_records(whole, sources), "stored")
         self.write_summaries(rows)

@@ -127,8 +127,59 @@ def test_summary_fold(spark):
                 raise RuntimeError
             return "s"
 
-    assert [tuple(r) for r in providers.summarize(pages, Empty, 3300).collect()] == [("d", "")]
-    assert [tuple(r) for r in providers.summarize(pages, Failing, 3300).collect()] == [("d", "s")]
+    keep = lambda df, _: spark.createDataFrame(df.collect(), df.schema)
+    assert [tuple(r) for r in providers.summarize(pages, Empty, keep, 3300).collect()] == [("d", "")]
+    assert [tuple(r) for r in providers.summarize(pages, Failing, keep, 3300).collect()] == [("d", "s")]
+    assert providers.summarize(pages.limit(0), Failing, keep, 3300).collect() == []
+
+
+def test_fold_taken_up_again(spark, tmp_path):
+    """A run that is lost in a round calls nothing twice of the rounds before; documents of all lengths come to their own end."""
+    rows = [(f"d{d}", p, f"{d} {p} " + "x" * 3000) for d in range(6) for p in range(1, d + 2)]
+    pages = spark.createDataFrame(rows, "doc_stem string, page_number int, transcription string").selectExpr("*", "'N' as exam_name_raw", "cast(null as string) as exam_name_standardized", "cast(null as string) as exam_type", "cast(null as string) as exam_date")
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    class Counting(providers.StubProvider):
+        def summarize(self, system, prompt):
+            import re
+            import uuid
+
+            found = "-".join(re.findall(r"\n(\d \d) x", prompt)).replace(" ", "_")
+            (log / f"{found}-{uuid.uuid4().hex}").touch()
+            return f"{re.findall('sum:([^.]*)[.]', prompt)[0] if 'so far' in prompt else ''}".join(["sum:", f"{found}."])
+
+    def stage(lost):
+        def put(df, name):
+            where = tmp_path / "work" / name
+            if not (where / "_SUCCESS").exists():
+                if name == lost:
+                    raise RuntimeError("lost")
+                df.write.mode("overwrite").parquet(str(where))
+            return spark.read.schema(df.schema).parquet(str(where))
+
+        return put
+
+    with pytest.raises(RuntimeError, match="lost"):
+        providers.summarize(pages, Counting, stage("summary-3"), 3300)
+    assert len(list(log.iterdir())) == 6 + 5 + 4
+    got = {r[0]: r[1] for r in providers.summarize(pages, Counting, stage(None), 3300, workers=3).collect()}
+    assert len(list(log.iterdir())) == sum(range(1, 7))
+    assert got == {f"d{d}": "sum:" + "".join(f"{d}_{p}" for p in range(1, d + 2)) + "." for d in range(6)}
+
+
+def test_long_documents_are_classified_in_parts(spark):
+    """A document of 10,000 pages; no call and no group has more than some of them, and the result is that of one call."""
+    rows = spark.range(10_000, numPartitions=8).select(F.lit("long").alias("doc_stem"), (F.col("id") + 1).cast("int").alias("page_number"), F.concat(F.lit("Exam page "), F.col("id"), F.when(F.col("id") == 700, F.lit(" 2024-02-03")).otherwise("")).cast("binary").alias("image"))
+
+    class Bounded(providers.StubProvider):
+        def classify(self, pages, context=""):
+            assert len(pages) <= 64
+            return super().classify(pages, context)
+
+    more = spark.createDataFrame([("bill", 1, b"fatura 1"), ("two", 2, b"b 2020-01-01"), ("two", 1, b"\n A \n")], "doc_stem string, page_number int, image binary")
+    got = {r["doc_stem"]: (r["is_exam"], r["exam_name_raw"], r["exam_date"]) for r in providers.classify(rows.unionByName(more), Bounded).collect()}
+    assert got == {"long": (True, "Exam page 0", "2024-02-03"), "bill": (False, "fatura 1", None), "two": (True, "A", "2020-01-01")}
 
 
 def test_selection(spark):
