@@ -73,6 +73,18 @@ def transcriptions(pages: DataFrame, keys: list[str]) -> DataFrame:
     return render(pages, keys, transcription_row(F.col("i"), name, F.col("page_number"), F.col("transcription")), "\n\n", "transcriptions")
 
 
-def names_json(names: DataFrame, name_col: str = "exam_name_raw") -> DataFrame:
-    """One row: the distinct names as a sorted JSON array. For a bounded batch of names."""
-    return names.select(name_col).distinct().agg(F.to_json(F.array_sort(F.collect_list(name_col))).alias("names"))
+def names_json(names: DataFrame, size: int = 50, name_col: str = "exam_name_raw") -> DataFrame:
+    """(batch, names): the distinct names in order, ``size`` at a time, as JSON arrays; the last may be shorter.
+
+    Names are sorted by range over all tasks. A name's number is its place among those of its task behind the names of the tasks
+    before, of which only the counts, a number a task, reach the driver. Nulls are no names.
+    """
+    ordered = names.select(F.col(name_col).alias("name")).where(F.col("name").isNotNull()).distinct().repartitionByRange("name").sortWithinPartitions("name")
+    # Kept, since the bounds of ranges are drawn anew with each plan: counts and places are of the same ranges.
+    ordered = ordered.withColumn("task", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).persist()
+    before, starts = 0, []
+    for r in sorted(ordered.groupBy("task").count().collect()):
+        starts.append((r["task"], before))
+        before += r["count"]
+    numbered = ordered.join(names.sparkSession.createDataFrame(starts, "task int, before long"), "task").withColumn("n", F.col("before") + F.col("place"))
+    return numbered.groupBy(F.floor(F.col("n") / size).alias("batch")).agg(F.to_json(F.array_sort(F.collect_list("name"))).alias("names"))

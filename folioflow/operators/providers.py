@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from folioflow import schemas
 from folioflow.functions.text import too_short
 from folioflow.operators import alignment
-from folioflow.operators.chunking import assign_chunks, chunk_budget, exam_lists, transcriptions, with_content
+from folioflow.operators.chunking import assign_chunks, chunk_budget, exam_lists, names_json, transcriptions, with_content
 from folioflow.operators.voting import vote_samples
 from folioflow.prompts import EXAMPLES, PROMPTS, VARIANTS, fill
 
@@ -256,7 +256,7 @@ def rejected(transcripts: DataFrame) -> DataFrame:
 
 
 def standardize(names: DataFrame, factory: Factory, batch: int = 50) -> DataFrame:
-    """(exam_name_raw, exam_type, standardized_name) for distinct names, asked in batches.
+    """(exam_name_raw, exam_type, standardized_name) for distinct names, asked in batches in order, a row of ``names_json`` each.
 
     A name that the answer lacks, or a whole answer that does not parse, gives no row: it stays uncached.
     """
@@ -264,9 +264,7 @@ def standardize(names: DataFrame, factory: Factory, batch: int = 50) -> DataFram
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         provider = factory()
         for b in batches:
-            wanted = b["exam_name_raw"].tolist()
-            for at in range(0, len(wanted), batch):
-                part = wanted[at : at + batch]
+            for part in map(json.loads, b["names"]):
                 try:
                     found = json.loads(strip_fences_text(provider.standardize(part).strip()))
                 except Exception:  # noqa: BLE001  nothing is cached
@@ -275,7 +273,7 @@ def standardize(names: DataFrame, factory: Factory, batch: int = 50) -> DataFram
                 rows = [(n, found[n].get("exam_type", "other"), found[n].get("standardized_name", n)) for n in part if isinstance(found.get(n), dict)]
                 yield pd.DataFrame(rows, columns=["exam_name_raw", "exam_type", "standardized_name"])
 
-    return names.select("exam_name_raw").mapInPandas(work, "exam_name_raw string, exam_type string, standardized_name string")
+    return names_json(names, batch).select("names").mapInPandas(work, "exam_name_raw string, exam_type string, standardized_name string")
 
 
 Stage = Callable[[DataFrame, str], DataFrame]

@@ -252,7 +252,7 @@ def nearest_names(spark, sf_dir):
     return naming.nearest(view(spark, sf_dir, _ERRING), view(spark, sf_dir, V.NAME_CACHE))
 
 
-@query(f"select to_json(list(exam_name_raw order by exam_name_raw)) as names from ({_KEYED}) k")
+@query(f"select (k - 1) // 50 as batch, to_json(list(exam_name_raw order by exam_name_raw)) as names from (select exam_name_raw, row_number() over (order by exam_name_raw) as k from (select distinct exam_name_raw from ({_KEYED}) x) d) n group by all")
 def names_json(spark, sf_dir):
     return chunking.names_json(_names(spark, sf_dir)[0])
 

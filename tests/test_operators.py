@@ -271,3 +271,21 @@ def test_hot_grams_meet_nothing(spark):
     known = spark.range(3000).select(F.concat(F.lit("exame de rotina numero "), F.col("id")).alias("cache_key"), F.lit("other").alias("exam_type"), F.lit("x").alias("standardized_name"))
     names = spark.createDataFrame([("exame de rotnia numero 17",)], "exam_name_raw string")
     assert naming.nearest(names, known, 0.1).first()["cache_key"] == "exame de rotina numero 17"
+
+
+def test_names_in_batches(spark):
+    import json
+
+    names = [f"name {k:03d} é\"" for k in range(137)]
+    frame = spark.createDataFrame([(n,) for n in names * 2] + [(None,), ("",)], "exam_name_raw string").repartition(5)
+    got = {r["batch"]: json.loads(r["names"]) for r in chunking.names_json(frame, 20).collect()}
+    assert [n for k in sorted(got) for n in got[k]] == sorted(["", *names]) and [len(got[k]) for k in sorted(got)] == [20] * 6 + [18]
+    assert chunking.names_json(frame.limit(0)).collect() == []
+
+    class Watching(providers.StubProvider):
+        def standardize(self, part):
+            assert len(part) <= 30 and part == sorted(part)
+            return super().standardize(part) if "name 000 é\"" not in part else "no answer"
+
+    found = {r["exam_name_raw"] for r in providers.standardize(frame, Watching, 30).collect()}
+    assert found == set(sorted(["", *names])[30:])
