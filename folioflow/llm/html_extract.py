@@ -22,10 +22,10 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import Scratch, bounded_batches, table, text_or_empty
+from folioflow.llm.common import Scratch, bounded_batches, neighbours, table, text_or_empty
 from folioflow.llm.url_filter import host_of, path_of
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
@@ -230,34 +230,6 @@ def shared(lines, other) -> set[int]:
     return out
 
 
-def neighbours(scratch: Scratch, rows: DataFrame, order: list[str], carry: str, within: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``rows`` with ``carry`` of the rows before and after in the order of the columns ``order``, where ``within`` is equal.
-
-    Of the columns ``order`` the result has those of ``keep`` only.
-
-    Rows are sorted by range over all tasks, so that a hot value of ``within`` is no group. What meets at the edges of
-    tasks is a row per task.
-    """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumns({"task": F.spark_partition_id(), "place": F.monotonically_increasing_id()})
-    rows = scratch.put(rows.drop(*(c for c in order if c not in keep)), "sorted")
-    w = Window.partitionBy("task").orderBy("place")
-    mine = F.struct(within, carry)
-    both = rows.withColumns({"prev": F.lag(mine).over(w), "next": F.lead(mine).over(w)})
-    # The first and last row of a task look into the tasks before and after it that have rows: two rows a task meet in a join.
-    tasks = sorted(r["task"] for r in rows.select("task").distinct().collect())
-    if len(tasks) > 1:
-        spark = rows.sparkSession
-        steps = spark.createDataFrame(list(zip(tasks, tasks[1:], strict=False)), "task int, following int")
-        last = both.where("next is null").select("task", mine.alias("other")).join(steps, "task").select(F.col("following").alias("task"), F.col("other").alias("before"))
-        first = both.where("prev is null").select(F.col("task").alias("following"), mine.alias("other")).join(steps, "following").select("task", F.col("other").alias("behind"))
-        ends = both.where("prev is null or next is null").join(last, "task", "left").join(first, "task", "left")
-        ends = ends.withColumns({"prev": F.coalesce("prev", "before"), "next": F.coalesce("next", "behind")}).select(*both.columns)
-        both = both.where("prev is not null and next is not null").unionByName(ends)
-    near = {side: F.when(F.col(f"{side}.{within}") == F.col(within), F.col(f"{side}.{carry}")) for side in ("prev", "next")}
-    return both.withColumns(near).drop("task")
-
-
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", pairing: bool = True) -> DataFrame:
     """One row per page: page_id, url, text, n_chars, n_lines (text lines kept), n_shared (lines that a neighbour shares), n_restored (of these, kept).
 

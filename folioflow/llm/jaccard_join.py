@@ -1,12 +1,15 @@
 """N-gram Jaccard self-join by a MinHash LSH forest, with exact verification.
 
-Every document becomes the set of its five-word shingles. In each tree of the forest
-it has a signature of ``longest`` min-hashes, and the tree is the trie of these
-signatures: documents meet in the node of their common prefix. A document starts at
-full length and its prefix is shortened until the least similar partner that a set of
-its size can have meets it in some tree with the target recall: sets of few shingles,
-of which one is much, stop early, and the smallest, which can have no partner but
-their equals, need no search.
+Every document becomes the set of its five-word shingles. In each tree of the forest it
+has a signature of ``longest`` min-hashes; the tree is the trie of these, and sorting
+puts every subtree in one run. In each tree a document's prefix starts at full length
+and is shortened to where it matches a neighbour in the order. The least similar partner
+that a set of its size can have shares a prefix of length d with probability s^d, so that
+these prefixes give the document a recall; while that is below the target, the longest
+prefix that it has in any tree is shortened by one. So copies of a document keep long
+prefixes in some trees, and one that matches little goes down to where the target holds
+in any case, its floor. A document meets all that stand below the node of its prefix,
+whatever their own prefixes are.
 
 What meets in a node is checked on the whole signatures before it is tied. The groups
 of checked ties are verified exactly, block by block, on the shingle sets themselves,
@@ -21,13 +24,14 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm import linking
-from folioflow.llm.common import Scratch, bounded_batches, table, text_or_empty
+from folioflow.llm.common import Scratch, bounded_batches, neighbours, table, text_or_empty
 
 WORD = re.compile(r"\w+")
 N = 5
@@ -84,18 +88,20 @@ def depth(size: int, trees: int, longest: int, similarity: float, recall: float)
     return next((k for k in range(longest, 1, -1) if 1 - (1 - least**k) ** trees >= recall), 1)
 
 
-@functools.lru_cache(8192)
-def depths(size: int, trees: int, longest: int, similarity: float, recall: float) -> tuple[int, ...]:
-    """Prefix lengths at which a set of this size stands in the tries: where it stops, and where a possible partner stops earlier.
+def shortened(size: int, matched: list[int], trees: int, longest: int, similarity: float, recall: float) -> list[int]:
+    """Prefix lengths of a set of this size in the trees where it has neighbours, from the lengths that it shares with them.
 
-    A pair is as similar as both sizes allow, so that it need not go beyond the longer of its two prefixes.
+    In the other trees it has none down to its floor, which is the length that gives the recall in all trees; there is
+    nothing to meet in them, and they count with it. Of equally long prefixes the first is shortened first.
     """
-    mine = depth(size, trees, longest, similarity, recall)
-    if mine is None:
-        return ()
-    others = range(math.ceil(similarity * size - 1e-9), math.floor(size / similarity + 1e-9) + 1) if size < 20 / (1 - similarity) else ()
-    found = {depth(n, trees, longest, similarity, recall) for n in others} | {mine}
-    return tuple(sorted(d for d in found if d is not None and d >= mine))
+    floor, least = depth(size, trees, longest, similarity, recall), least_similarity(size, similarity)
+    out = [max(floor, m) for m in matched]
+    miss = (1 - least**floor) ** (trees - len(out)) * math.prod(1 - least**d for d in out)
+    while miss > 1 - recall and out and max(out) > floor:
+        k = out.index(max(out))
+        miss *= (1 - least ** (out[k] - 1)) / (1 - least ** out[k])
+        out[k] -= 1
+    return out
 
 
 @functools.lru_cache(64)
@@ -123,12 +129,6 @@ def signature(found: np.ndarray, by: np.ndarray) -> bytes:
     return (low >> np.uint64(48)).astype("<u2").tobytes()
 
 
-def prefixes(sign: bytes, trees: int, longest: int, lengths: tuple[int, ...]) -> list[bytes]:
-    """The trie nodes of a signature: tree, length and the min-hashes up to it."""
-    wide = 2 * longest
-    return [bytes((t, d)) + sign[wide * t : wide * t + 2 * d] for t in range(trees) for d in lengths]
-
-
 def agreeing(left: list[np.ndarray], right: list[np.ndarray], least: int) -> np.ndarray:
     """Which rows have so many min-hashes in common."""
     if not left:
@@ -167,6 +167,48 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None, similarity:
     return out
 
 
+def common(label: str, other: str, floor: int, longest: int) -> Column:
+    """How many min-hashes two labels begin with alike, from ``floor`` on; null without another one."""
+    out = F.when(F.col(other).isNotNull(), F.lit(floor))
+    for k in range(floor + 1, longest + 1):
+        out = F.when(F.substring(F.col(label), 1, 2 * k) == F.substring(F.col(other), 1, 2 * k), F.lit(k)).otherwise(out)
+    return out
+
+
+def forest(items: DataFrame, trees: int, longest: int, similarity: float, recall: float) -> DataFrame:
+    """(item, tree, node, label, depth): the prefix lengths of (item, size, sign) in the trees where they have company.
+
+    ``node`` names the subtree of the shortest prefix that any set can have. A subtree is a run of the sorted labels, cut over
+    tasks where it is large; a label looks at the ones before and behind it only.
+    """
+    scratch = Scratch(items.sparkSession, "forest")
+    floor = min([longest, *(d for d in (depth(n, trees, longest, similarity, recall) for n in range(1, 200)) if d)])
+    each = items.select("item", "size", "sign", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    label = F.expr(f"substring(sign, tree * {2 * longest} + 1, {2 * longest})")
+    rows = each.select("item", "size", F.col("tree").cast("tinyint").alias("tree"), label.alias("label")).withColumn("node", F.xxhash64("tree", F.substring("label", 1, 2 * floor)))
+    rows = scratch.put(rows, "labels")
+    crowded = scratch.put(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node"), "crowded")
+    rows = rows.join(crowded.hint("merge"), "node", "left_semi").select("item", "size", "tree", "label", "node")
+    near = neighbours(scratch, rows, ["tree", "label", "item"], "label", "node", ("tree", "label", "item"))
+    matched = F.greatest(common("label", "prev", floor, longest), common("label", "next", floor, longest), F.lit(floor))
+    own = near.withColumn("matched", matched).groupBy("item").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("tree", "node", "label", "matched"))).alias("places"))
+
+    @F.pandas_udf("array<int>")
+    def lengths(sizes: pd.Series, matched: pd.Series) -> pd.Series:
+        return pd.Series([shortened(int(n), [int(x) for x in m], trees, longest, similarity, recall) for n, m in zip(sizes, matched, strict=True)])
+
+    found = own.select("item", "places", lengths("size", F.transform("places", lambda x: x["matched"])).alias("depths"))
+    found = found.select("item", F.inline(F.arrays_zip("places", "depths"))).select("item", "places.tree", "places.node", "places.label", F.col("depths").alias("depth"))
+    return scratch.put(found, "prefixes")
+
+
+def meetings(placed: DataFrame) -> DataFrame:
+    """(key, item): below each prefix that some item has in a subtree, all items of the subtree that begin with it."""
+    asked = placed.groupBy("node").agg(F.collect_set("depth").alias("lengths"))
+    every = placed.select("item", "tree", "node", "label").join(asked, "node").select("item", "tree", "label", F.explode("lengths").alias("depth"))
+    return every.select(F.xxhash64("tree", "depth", F.expr("substring(label, 1, 2 * depth)")).alias("key"), "item")
+
+
 def join(docs: DataFrame, similarity: float = 0.8, trees: int = 20, longest: int = 8, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, class_id, n_links, group_size, kept, n_shingles, and ``text_key``, the MD5 of its text.
 
@@ -188,36 +230,33 @@ def join(docs: DataFrame, similarity: float = 0.8, trees: int = 20, longest: int
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets, print_of, signs, met = [], [], [], []
+            sets, print_of, signs = [], [], []
             for t in b.column(2).to_pylist():
                 found = shingles(t)
-                lengths = depths(len(found), trees, longest, similarity, recall)
-                made = signature(found, by) if lengths else None
                 sets.append(len(found))
                 print_of.append(xxhash.xxh128_digest(found.tobytes()))
-                signs.append(made)
-                met.append(prefixes(made, trees, longest, lengths) if lengths else [])
-            columns = [pa.array(sets, pa.int64()), pa.array(print_of, pa.binary()), pa.array(signs, pa.binary()), pa.array(met, pa.list_(pa.binary()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["id", "text_key", "n_shingles", "print", "sign", "nodes"])
+                signs.append(signature(found, by) if least_similarity(len(found), similarity) else None)  # else it has no partner but its equals
+            columns = [pa.array(sets, pa.int64()), pa.array(print_of, pa.binary()), pa.array(signs, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["id", "text_key", "n_shingles", "print", "sign"])
 
-    signed = source.mapInArrow(sign, f"id {kind}, text_key string, n_shingles long, print binary, sign binary, nodes array<binary>")
+    signed = source.mapInArrow(sign, f"id {kind}, text_key string, n_shingles long, print binary, sign binary")
     signed = scratch.put(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
     worded = signed.where("n_shingles > 0")
     # Documents with equal shingles are one item, named by its first row.
     items = worded.groupBy("print").agg(F.min("row").alias("item"), F.count(F.lit(1)).alias("weight"))
     items = scratch.put(items, "items")
-    firsts = scratch.put(items.join(worded.drop("print"), items["item"] == worded["row"]).select("item", "weight", "id", "text_key", F.col("n_shingles").alias("size"), "sign", "nodes"), "firsts")
+    firsts = scratch.put(items.join(worded.drop("print"), items["item"] == worded["row"]).select("item", "weight", "id", "text_key", F.col("n_shingles").alias("size"), "sign"), "firsts")
     least = least_agreement(trees * longest, similarity)
     loads = firsts.select("item", F.lit(0).alias("kind"), F.col("sign").alias("load"))
     groups = linking.groups(
-        firsts.select(F.explode("nodes").alias("key"), "item"),
+        meetings(forest(firsts.where("sign is not null"), trees, longest, similarity, recall)),
         loads,
         lambda _, signs: [np.frombuffer(s, "<u2") for s in signs.to_pylist()],
         functools.partial(agreeing, least=least),
         functools.partial(all_agreeing, least=least),
         linking.tasks_of(docs),
     )
-    members = firsts.drop("nodes", "sign").join(groups.select(F.col("node").alias("item"), "root"), "item")
+    members = firsts.drop("sign").join(groups.select(F.col("node").alias("item"), "root"), "item")
     # Whole texts travel for members of groups only, once, and again for each pair of blocks of a large group.
     members = scratch.put(members, "members")
     wanted = members.select(F.col("id").alias("its_id"), F.col("text_key").alias("its_key"), "item", "root", "weight", "size")
@@ -234,7 +273,7 @@ def join(docs: DataFrame, similarity: float = 0.8, trees: int = 20, longest: int
     named = items.join(counts, "item", "left").join(roots.withColumnRenamed("node", "item"), "item", "left")
     named = scratch.put(named.select("print", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "item").alias("root")), "named")
     rows = scratch.put(
-        signed.drop("nodes", "sign").join(named, (signed["print"] == named["print"]) & (signed["n_shingles"] > 0), "left").select(
+        signed.drop("sign").join(named, (signed["print"] == named["print"]) & (signed["n_shingles"] > 0), "left").select(
             "row", "id", "text_key", "n_shingles", F.coalesce("root", "row").alias("root"), F.coalesce(F.col("links") + F.col("weight") - 1, F.lit(0)).alias("n_links")
         ),
         "rows",

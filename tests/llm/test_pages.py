@@ -211,7 +211,7 @@ def test_a_teaser_is_no_article(spark):
 
 
 def test_neighbours_over_tasks_without_rows(spark):
-    from folioflow.llm.common import Scratch
+    from folioflow.llm.common import Scratch, neighbours
 
     before = spark.conf.get("spark.sql.shuffle.partitions")
     rows = [(h, f"{k:03d}", k, [k]) for h, n in (("a", 30), ("b", 1), ("c", 7)) for k in range(n)]
@@ -219,7 +219,7 @@ def test_neighbours_over_tasks_without_rows(spark):
         for n in (1, 3, 40):
             spark.conf.set("spark.sql.shuffle.partitions", n)
             df = spark.createDataFrame(rows, "host string, path string, row long, hashes array<long>")
-            near = html_extract.neighbours(Scratch(spark, "n"), df, ["host", "path", "row"], "hashes", "host", ("host", "row"))
+            near = neighbours(Scratch(spark, "n"), df, ["host", "path", "row"], "hashes", "host", ("host", "row"))
             plan = near._jdf.queryExecution().toString()
             got = sorted((r["host"], r["row"], r["prev"], r["next"]) for r in near.collect())
             size = {"a": 30, "b": 1, "c": 7}

@@ -64,27 +64,88 @@ def test_prefixes_end_at_different_depths():
     for n in range(1, 40):
         found = [i / (n + m - i) for m in range(1, 80) for i in range(min(n, m) + 1) if (i < n or m > n) and 10 * i >= 8 * (n + m - i)]
         assert jaccard_join.least_similarity(n, 0.8) == (min(found) if found else None)
-    # A possible pair meets at the longer of its prefixes: both stand there.
-    sides = {n: jaccard_join.depths(n, 20, 8, 0.8, 0.999) for n in range(1, 60)}
-    for n, mine in sides.items():
-        for m in range(1, 60):
-            if any(10 * i >= 8 * (n + m - i) for i in range(min(n, m) + 1)) and mine and sides[m]:
-                assert max(mine[0], sides[m][0]) in mine and max(mine[0], sides[m][0]) in sides[m]
 
 
-def test_forest_recall():
-    rng = np.random.default_rng(5)
-    by, met, agreed = jaccard_join.multipliers(20, 8), 0, 0
+FOREST = {"trees": 20, "longest": 8, "similarity": 0.8, "recall": 0.999}
+
+
+def test_prefixes_are_shortened_by_what_they_match():
+    """From the matched lengths down, the longest first, until the recall holds; never below the floor."""
+    miss = lambda lengths, s=0.8: np.prod([1 - s**d for d in lengths]) * (1 - s**5) ** (20 - len(lengths))
+    assert jaccard_join.shortened(270, [], **FOREST) == [] and jaccard_join.shortened(270, [5, 5], **FOREST) == [5, 5]
+    assert jaccard_join.shortened(270, [8, 5, 6], **FOREST) == [8, 5, 6] and miss([8, 5, 6]) < 0.001
+    assert jaccard_join.shortened(270, [8] * 20, **FOREST)[0] < 8 and miss([8] * 20) > 0.001
+    rng = random.Random(3)
+    for _ in range(200):
+        matched = [rng.randint(5, 8) for _ in range(rng.randint(0, 20))]
+        got = jaccard_join.shortened(270, matched, **FOREST)
+        assert all(5 <= d <= m for d, m in zip(got, matched, strict=True)) and miss(got) <= 0.001
+        if got != matched:  # one step less would not do
+            k = min((k for k in range(len(got)) if got[k] < matched[k]), key=lambda k: got[k])
+            assert miss([d + (j == k) for j, d in enumerate(got)]) > 0.001
+    assert set(jaccard_join.shortened(7, [8] * 20, **FOREST)) == {7, 8}  # partners of 6/7 or more need little
+
+
+def planted(n, share, seed):
+    """Texts of 270 shingles in fours: a text, a close copy, one that is about ``share`` similar to it, and a close copy of that."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    rows = []
+    for k in range(n):
+        base = [word() for _ in range(274)]
+
+        def edited(words, edits):
+            out = list(words)
+            for at in rng.sample(range(4, 270, 5), edits):
+                out[at] = word()
+            return out
+
+        far = edited(base, int(270 * (1 - share) / (1 + share) / 5))
+        rows += [(4 * k + j, " ".join(t)) for j, t in enumerate((base, edited(base, 1), far, edited(far, 1)))]
+    return rows
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9])
+def test_forest_recall(documents, similarity):
+    """All links are found, against all pairs; documents end at different depths."""
+    rows = planted(60, similarity + 0.01, int(100 * similarity))
+    sets = {i: set(jaccard_join.shingles(t).tolist()) for i, t in rows}
+    linked = [(a, b) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
+    got = {r["doc_id"]: r for r in jaccard_join.join(documents(rows).repartition(3), similarity=similarity).collect()}
+    assert {i: r["n_links"] for i, r in got.items()} == {i: sum(i in p for p in linked) for i in sets}
+    assert {i: r["class_id"] for i, r in got.items()} == classes(sets, linked) and len(linked) > 150
+
+
+def test_documents_end_at_different_depths(spark):
+    """In one corpus, of sets of one size: those with close copies keep long prefixes in some trees, others come down to the floor; all reach the recall."""
+    by = jaccard_join.multipliers(20, 8)
+    rng = np.random.default_rng(6)
+    sets = []
+    for k in range(120):
+        base = rng.integers(0, 1 << 63, 270, dtype=np.uint64)
+        sets.append(base)
+        other = base.copy()
+        edits = 3 if k % 2 else 29
+        other[rng.choice(270, edits, replace=False)] = rng.integers(0, 1 << 63, edits, dtype=np.uint64)
+        sets.append(other)
+    items = spark.createDataFrame([(k, 270, jaccard_join.signature(np.sort(x), by)) for k, x in enumerate(sets)], "item long, size long, sign binary")
+    placed = jaccard_join.forest(items.repartition(3), **FOREST)
+    ends = {}
+    for r in placed.collect():
+        ends.setdefault(r["item"], {})[r["tree"]] = r["depth"]
+        assert bytes(r["label"]) == jaccard_join.signature(np.sort(sets[r["item"]]), by)[16 * r["tree"] : 16 * r["tree"] + 16]
+    assert {d for e in ends.values() for d in e.values()} == {5, 6, 7, 8}
+    mean = lambda odd: np.mean([np.mean(list(e.values())) for k, e in ends.items() if k // 2 % 2 == odd])
+    assert mean(1) > mean(0)
+    assert all(np.prod([1 - 0.8 ** e.get(t, 5) for t in range(20)]) <= 0.001 for e in ends.values())
+    keys = {}
+    for r in jaccard_join.meetings(placed).collect():
+        keys.setdefault(r["key"], set()).add(r["item"])
+    met = {p for v in keys.values() for p in combinations(sorted(v), 2)}
+    assert sum((2 * k, 2 * k + 1) in met for k in range(120)) >= 119
     least = jaccard_join.least_agreement(160, 0.8)
-    for k in range(400):
-        n = 7 if k % 2 else 270
-        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
-        b = np.concatenate((a[: n - (1 if n == 7 else 30)], rng.integers(0, 1 << 63, 0 if n == 7 else 30, dtype=np.uint64)))
-        lengths = [jaccard_join.depths(len(x), 20, 8, 0.8, 0.999) for x in (a, b)]
-        signs = [jaccard_join.signature(x, by) for x in (a, b)]
-        met += not set(jaccard_join.prefixes(signs[0], 20, 8, lengths[0])).isdisjoint(jaccard_join.prefixes(signs[1], 20, 8, lengths[1]))
-        agreed += (np.frombuffer(signs[0], "<u2") == np.frombuffer(signs[1], "<u2")).sum() >= least
-    assert met >= 398 and agreed == 400
+    signs = [np.frombuffer(jaccard_join.signature(np.sort(x), by), "<u2") for x in sets]
+    assert all((signs[2 * k] == signs[2 * k + 1]).sum() >= least for k in range(120))
 
 
 def test_blocks_give_the_same(documents, monkeypatch):
