@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioflow.functions.text import display_name, exam_list_row, is_blank, token_estimate, transcription_row
 
@@ -31,28 +35,32 @@ def with_content(pages: DataFrame) -> DataFrame:
 def assign_chunks(pages: DataFrame, budget: int, cost: Column | None = None, keys: str = "doc_stem", order: str = "page_number") -> DataFrame:
     """keys, order, cost, chunk_idx from 0: a page joins the open chunk while the budget lasts.
 
-    A page over the budget is a chunk of its own if no chunk is open, else it opens one, and the next page closes it.
-    The fold runs over (page, cost) pairs only; texts stay where they are.
+    A page over the budget is a chunk of its own if no chunk is open, else it opens one, and the next page closes it. Pages
+    stream through a task in order, and the fold holds the open chunk's number and cost alone, however long a document is; texts
+    stay where they are. A page without a cost costs nothing.
     """
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("page"), (page_cost() if cost is None else cost).cast("long").alias("cost"))))
-    state = "struct<chunk:int,open:boolean,used:bigint,out:array<struct<page:bigint,cost:bigint,chunk_idx:int>>>"
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(False).alias("open"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<page:bigint,cost:bigint,chunk_idx:int>>").alias("out"))
-
-    def step(acc: Column, page: Column) -> Column:
-        cost = page["cost"]
-        alone = ~acc["open"] & (cost > budget)
-        flush = acc["open"] & (acc["used"] + cost > budget)
-        chunk = acc["chunk"] + flush.cast("int")
-        out = F.concat(acc["out"], F.array(F.struct(page["page"].cast("long").alias("page"), cost.alias("cost"), chunk.cast("int").alias("chunk_idx"))))
-        return F.struct(
-            F.when(alone, chunk + 1).otherwise(chunk).cast("int").alias("chunk"),
-            (~alone).alias("open"),
-            F.when(alone, F.lit(0)).when(flush, cost).otherwise(acc["used"] + cost).cast("long").alias("used"),
-            out.alias("out"),
-        ).cast(state)
-
-    folded = pages.groupBy(keys).agg(pairs.alias("pairs")).select(keys, F.aggregate("pairs", start.cast(state), step, lambda acc: acc["out"]).alias("out"))
-    return folded.select(keys, F.inline("out")).withColumnRenamed("page", order)
+    cost = F.coalesce((page_cost() if cost is None else cost).cast("long"), F.lit(0).cast("long"))
+    rows = pages.select(keys, F.col(order).cast("long").alias(order), cost.alias("cost")).repartition(keys).sortWithinPartitions(keys, order, "cost")
+    schema = T.StructType([*rows.schema.fields, T.StructField("chunk_idx", T.IntegerType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, chunk, used, filling = object(), 0, 0, False  # no key equals the first one
+        for b in batches:
+            found = []
+            for key, cost in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if key != at:
+                    at, chunk, used, filling = key, 0, 0, False
+                if not filling and cost > budget:
+                    found.append(chunk)
+                    chunk += 1
+                    continue
+                if filling and used + cost > budget:
+                    chunk, used = chunk + 1, 0
+                used, filling = used + cost, True
+                found.append(chunk)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.int32())], names=schema.names)
+
+    return rows.mapInArrow(fold, schema)
 
 
 def render(pages: DataFrame, keys: list[str], row: Column, separator: str, name: str) -> DataFrame:

@@ -66,6 +66,18 @@ def test_chunks_match_model(spark):
     assert all(by[k] == model_chunks(costs, 20) for k, costs in enumerate(cases))
 
 
+def test_chunks_of_a_long_document(spark):
+    """A document of 300,000 pages streams through; no array, no group."""
+    pages = spark.range(300_000).select(F.when(F.col("id") % 3 == 0, "short").otherwise("long").alias("doc_stem"), (F.col("id") * 7919 % 300_007).cast("int").alias("page_number"), (F.col("id") * 31 % 29).alias("cost"))
+    found = chunking.assign_chunks(pages, 20, F.col("cost"))
+    plan = found._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "MapInArrow" in plan
+    rows = pages.toPandas().sort_values(["doc_stem", "page_number"])
+    for stem, part in rows.groupby("doc_stem"):
+        got = found.where(F.col("doc_stem") == stem).orderBy("page_number").toPandas()["chunk_idx"].tolist()
+        assert got == model_chunks(part["cost"].tolist(), 20)
+
+
 def test_sample_vote(spark):
     rows = [("d", 1, 0, "x"), ("d", 1, 1, "y"), ("d", 1, 2, "y"), ("d", 2, 0, "b"), ("d", 2, 1, "a")]
     got = {r["page_number"]: (r["text"], r["agreed"]) for r in providers.native_vote(spark.createDataFrame(rows, "doc_stem string, page_number int, sample_idx int, text string")).collect()}
