@@ -11,8 +11,10 @@ import hashlib
 import json
 import math
 import re
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 from typing import Protocol
 
 import pandas as pd
@@ -158,12 +160,26 @@ def once(factory: Factory) -> Factory:
     return get
 
 
-def in_flight(workers: int, call: Callable, items: list) -> list:
-    """The calls' answers in order, so many at a time."""
+def sliding(workers: int, call: Callable, items: Iterable) -> Iterator:
+    """The calls' answers in order, so many at a time; twice as many are taken ahead, so that one slow call holds up no others."""
     if workers <= 1:
-        return list(map(call, items))
+        yield from map(call, items)
+        return
     with ThreadPoolExecutor(workers) as pool:
-        return list(pool.map(call, items))
+        ahead: deque = deque()
+        for item in items:
+            ahead.append(pool.submit(call, item))
+            if len(ahead) >= 2 * workers:
+                yield ahead.popleft().result()
+        while ahead:
+            yield ahead.popleft().result()
+
+
+def framed(rows: Iterable[tuple], columns: list[str], size: int = 64) -> Iterator[pd.DataFrame]:
+    """Rows as frames, so many at a time."""
+    rows = iter(rows)
+    while part := list(islice(rows, size)):
+        yield pd.DataFrame(part, columns=columns)
 
 
 def classify(pages: DataFrame, factory: Factory, context: str = "", most: int = 64) -> DataFrame:
@@ -189,14 +205,18 @@ def classify(pages: DataFrame, factory: Factory, context: str = "", most: int =
 def transcribe(pages: DataFrame, factory: Factory, retries: int = 3, context: str = "", workers: int = 1) -> DataFrame:
     """Single mode: text, variant and attempts of each page, with retries over prompt variants; ``workers`` pages at a time in a task."""
 
+    names = schemas.struct(schemas.TRANSCRIPT).fieldNames()
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         provider = factory()
-        for b in batches:
-            found = in_flight(workers, lambda x: transcribe_with_retry(provider, bytes(x), retries=retries, context=context), list(b["image"]))
-            out = b[["doc_stem", "page_number"]].copy()
-            out["transcription"], out["prompt_variant"], out["retry_attempts"] = zip(*found, strict=True) if found else ((), (), ())
-            out["transcription_confidence"] = pd.Series([None] * len(out), dtype="float64", index=out.index)
-            yield out[["doc_stem", "page_number", "transcription", "transcription_confidence", "prompt_variant", "retry_attempts"]]
+
+        def one(row: tuple) -> tuple:
+            text, variant, attempts = transcribe_with_retry(provider, bytes(row[2]), retries=retries, context=context)
+            return row[0], row[1], text, None, variant, attempts
+
+        rows = (row for b in batches for row in zip(b["doc_stem"], b["page_number"], b["image"], strict=True))
+        for out in framed(sliding(workers, one, rows), names):
+            yield out.astype({"transcription_confidence": "float64"})
 
     return pages.select("doc_stem", "page_number", "image").mapInPandas(work, schemas.TRANSCRIPT)
 
@@ -204,13 +224,12 @@ def transcribe(pages: DataFrame, factory: Factory, retries: int = 3, context: st
 def sample(pages: DataFrame, factory: Factory, n: int, temperature: float = 0.5, context: str = "", workers: int = 1) -> DataFrame:
     """n samples of each page as rows (doc_stem, page_number, sample_idx, text), ``workers`` at a time in a task; a failing call fails its task."""
 
+    names = schemas.struct(schemas.SAMPLE).fieldNames()
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         provider = factory()
-        for b in batches:
-            out = b.loc[b.index.repeat(n), ["doc_stem", "page_number"]].reset_index(drop=True)
-            out["sample_idx"] = list(range(n)) * len(b)
-            out["text"] = in_flight(workers, lambda x: provider.transcribe(bytes(x), VARIANTS[0], temperature, context) or "", [x for x in b["image"] for _ in range(n)])
-            yield out
+        rows = (row for b in batches for page in zip(b["doc_stem"], b["page_number"], b["image"], strict=True) for row in ((*page, k) for k in range(n)))
+        yield from framed(sliding(workers, lambda r: (r[0], r[1], r[3], provider.transcribe(bytes(r[2]), VARIANTS[0], temperature, context) or ""), rows), names)
 
     return pages.select("doc_stem", "page_number", "image").mapInPandas(work, schemas.SAMPLE)
 
@@ -306,9 +325,8 @@ def summarize(pages: DataFrame, factory: Factory, stage: Stage, max_input_tokens
         make = once(factory)
 
         def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                found = in_flight(workers, lambda row: answer(make(), chunk, row), list(b.itertuples()))
-                yield pd.DataFrame(found, columns=["doc_stem", "summary", "over"])
+            rows = (row for b in batches for row in b.itertuples())
+            yield from framed(sliding(workers, lambda row: answer(make(), chunk, row), rows), ["doc_stem", "summary", "over"])
 
         return work
 

@@ -225,7 +225,34 @@ def test_fences_in_both_places(spark):
 
 
 def test_calls_in_flight_keep_their_order():
-    assert providers.in_flight(4, lambda x: x * x, list(range(30))) == providers.in_flight(1, lambda x: x * x, list(range(30))) == [x * x for x in range(30)]
+    """A slow call holds up no others; no more run at a time than asked for, and no more are taken than can wait."""
+    import threading
+    import time
+
+    assert list(providers.sliding(4, lambda x: x * x, range(30))) == list(providers.sliding(1, lambda x: x * x, range(30))) == [x * x for x in range(30)]
+    lock, running, most, done, taken = threading.Lock(), 0, 0, [], 0
+
+    def call(x):
+        nonlocal running, most
+        with lock:
+            running += 1
+            most = max(most, running)
+        time.sleep(0.3 if x == 0 else 0.01)
+        with lock:
+            running -= 1
+            done.append(x)
+        return x
+
+    def items():
+        nonlocal taken
+        for x in range(40):
+            taken += 1
+            yield x
+
+    answers = providers.sliding(4, call, items())
+    assert next(answers) == 0 and taken <= 8 and set(done) >= {1, 2, 3, 4, 5, 6}
+    assert list(answers) == list(range(1, 40)) and most == 4
+    assert [len(f) for f in providers.framed(((k,) for k in range(150)), ["a"])] == [64, 64, 22] and list(providers.framed([], ["a"])) == []
 
 
 def edits(a, b):
