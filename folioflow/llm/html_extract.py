@@ -90,6 +90,8 @@ def is_article(tag: str, attributes: str) -> bool:
     return tag == "article" or (bool(attributes) and "articlebody" in attributes.lower())
 
 
+#: Bytes of a line's hash, which is compared with those of two other pages only.
+HASH = 6
 #: Kinds of a line: of the article, of the page outside it or without one, and boilerplate by its role.
 INSIDE, OUTSIDE, ROLE = 1, 0, 2
 
@@ -230,6 +232,10 @@ def shared(lines, other) -> set[int]:
     return out
 
 
+def hashes_of(packed: bytes) -> list[bytes]:
+    return [packed[k : k + HASH] for k in range(0, len(packed), HASH)]
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", pairing: bool = True) -> DataFrame:
     """One row per page: page_id, url, text, n_chars, n_lines (text lines kept), n_shared (lines that a neighbour shares), n_restored (of these, kept).
 
@@ -249,18 +255,18 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [lines_of(page) for page in b.column(4).to_pylist()]
-            hashes = [[xxhash.xxh64_intdigest(x) - (1 << 63) for x in lines] for lines, _, _ in found]
+            hashes = [b"".join(xxhash.xxh64_digest(x)[:HASH] for x in lines) for lines, _, _ in found]
             # Of a page whose article is the larger part whatever is shared, no other line can stay. What can stay travels packed.
             sizes = [[len(x) for x in lines] for lines, _, _ in found]
             sure = [rules(marked, kinds, n) for (_, kinds, marked), n in zip(found, sizes, strict=True)]
             sizes = [n if has and not one else None for (_, _, has), n, one in zip(found, sizes, sure, strict=True)]
             lines = [[x if k == INSIDE or (k == OUTSIDE and not one) else "" for x, k in zip(x, kinds, strict=True)] for (x, kinds, _), one in zip(found, sure, strict=True)]
             packed = [zlib.compress("\n".join(x).encode("utf-8", "surrogatepass")) for x in lines]  # a line has no line break
-            columns = [pa.array(packed, pa.binary()), pa.array([f[1] for f in found], pa.list_(pa.int8())), pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))]
+            columns = [pa.array(packed, pa.binary()), pa.array([bytes(f[1]) for f in found], pa.binary()), pa.array(hashes, pa.binary()), pa.array(sizes, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], *columns], names=["page_id", "url", "host", "path", "packed", "kinds", "hashes", "sizes"])
 
     rows = pages.select(pages[id_col].alias("page_id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"), text_or_empty(pages[html_col]).alias("html"))
-    parsed = rows.mapInArrow(work, f"page_id {kind}, url string, host string, path string, packed binary, kinds array<tinyint>, hashes array<long>, sizes array<int>")
+    parsed = rows.mapInArrow(work, f"page_id {kind}, url string, host string, path string, packed binary, kinds binary, hashes binary, sizes array<int>")
     parsed = scratch.put(parsed.withColumn("row", F.monotonically_increasing_id()), "parsed")
 
     @F.pandas_udf("kept array<int>, n_shared long, n_restored long")
@@ -271,7 +277,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             could = {k for k, one in enumerate(kind) if one != ROLE}
             gone: set[int] = set()
             copy = False
-            for found in (shared(x, o) for o in others if o is not None):
+            for found in (shared(hashes_of(x), hashes_of(o)) for o in others if o is not None):
                 copy |= found >= could
                 gone |= found
             article = INSIDE in kind if size is None else rules(ARTICLES, list(kind), list(size), gone)
@@ -280,7 +286,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         return pd.DataFrame(out, columns=["kept", "n_shared", "n_restored"])
 
     near = neighbours(scratch, parsed.select("row", "host", "path", "kinds", "sizes", "hashes"), ["host", "path", "row"], "hashes", "host", ("host", "row"))
-    others = (F.col("prev"), F.col("next")) if pairing else (F.lit(None).cast("array<long>"),) * 2
+    others = (F.col("prev"), F.col("next")) if pairing else (F.lit(None).cast("binary"),) * 2
     kept = near.select("row", differenced("kinds", "sizes", "hashes", *others).alias("d")).select("row", "d.*")
 
     @F.pandas_udf("string")
