@@ -55,6 +55,20 @@ def test_majority_at_each_place():
     assert A.merge(["Dose: 5 mg", "dose 5 mg", "dose 5 mg."])[0] == "dose 5 mg"  # spelled as most of the majority do
 
 
+@pytest.mark.parametrize("said", ["mentear la. La la los asezado", "eran of. Of of thenheea the", "so la la la la la los"])
+def test_word_missed_beside_its_equals(said):
+    """It may be missed at the place of any of them, one of which another sample has wrong."""
+    words = said.split()
+    for at in range(len(words)):
+        samples = [list(words) for _ in range(4)]
+        samples[1][at] = "qqa"
+        samples[3][(at + 4) % len(words)] = "qqb"
+        del samples[2][(at + 2) % len(words)]
+        texts = [" ".join(s) for s in samples]
+        merged, value = A.merge(texts)
+        assert merged == said and A.score(merged, texts) == pytest.approx(value)
+
+
 def test_no_samples_and_equal_ones():
     assert A.merge([]) == ("", 0.0) and A.merge(["  x \n"]) == ("  x \n", 1.0) and A.merge(["", ""]) == ("", 1.0)
     assert A.merge(["", "", "a b"]) == ("", 0.0) and A.merge(["a b", "a b", ""])[0] == "a b"
