@@ -419,3 +419,15 @@ def test_seed_table(spark):
     rows = [(1, "http://A.shop.test/", ""), (2, "http://b.test/", "<a href='http://c.test/'>c</a>"), (3, "http://c.test/", "")]
     seeds = spark.createDataFrame([("Shop.test", "block"), ("c.test", "block"), ("b.test", "allow"), (None, "block"), ("far.test", "block")], "host string, verdict string")
     assert {k: v[3] for k, v in verdicts(spark, rows, seeds=seeds).items()} == {1: "block", 2: "allow", 3: "block"}
+
+
+def test_query_seeds_hosts_with_blocked_words(spark, tmp_path):
+    """As its SQL does; words are whole parts of a name."""
+    rows = [(1, "http://casino.test.org/x", "<a href='//a.test'>l</a>"), (2, "http://best-pills.test/x", ""), (3, "http://casinos.test/x", ""), (4, "http://feeder.test/x", "<a href='//best-pills.test/'>l</a>"), (5, "http://spam.example.com/en/7", ""), (6, None, None)]
+    spark.createDataFrame(rows, PAGES).write.parquet(str(tmp_path / "pages.parquet"))
+    got = {tuple(r) for r in url_filter.query(spark, str(tmp_path)).collect()}
+    assert {r[0]: r[4] for r in got} == {1: "block", 2: "block", 3: "allow", 4: "block", 5: "allow", 6: "allow"}
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert set(con.execute(url_filter.ORACLE_SQL).fetchall()) == got
