@@ -189,19 +189,25 @@ def decide(
     distinct = scratch.put(distinct.withColumn("item", F.monotonically_increasing_id()), "distinct")
     named = scratch.put(templates(distinct, everywhere).join(distinct.select("item", "h1", "h2"), "item").drop("item"), "named")
     # Lines that no other document has go no further.
-    held = scratch.put(rows.select("id", "doc", "at", "n", "h1", "h2").join(named.hint("merge"), ["h1", "h2"]).drop("h1", "h2"), "held")
-    lengths = rows.select("doc", "at", "n").join(held.select("doc").distinct().hint("merge"), "doc", "left_semi").groupBy("doc", "at").agg(F.min("n").alias("n"))
+    lined = rows.select("id", "doc", "at", "n", "h1", "h2").join(named.select("h1", "h2").distinct().hint("merge"), ["h1", "h2"], "left_semi")
+    lined = scratch.put(lined, "lined")
+    held = scratch.put(lined.join(named.hint("merge"), ["h1", "h2"]).select("template", "doc", "id", "at", "n"), "held")
+    lengths = rows.select("doc", "at", "n").join(lined.select("doc").distinct().hint("merge"), "doc", "left_semi").groupBy("doc", "at").agg(F.min("n").alias("n"))
     lengths = scratch.put(lengths.groupBy("doc").agg(F.sum("n").alias("tokens")), "lengths")
     classes = copies(docs, held, lengths, text_col, copy_share, similarity)
-    known = held.join(classes, "doc", "left").withColumn("class", F.coalesce("class", "doc"))
-    known = scratch.put(known.select("template", "wild", "class", "doc", "id", "at", "n"), "known")
+    known = lined.join(classes, "doc", "left").withColumn("class", F.coalesce("class", "doc"))
+    known = scratch.put(known.select("h1", "h2", "class", "doc", "id", "at", "n"), "known")
+    # A line meets its templates once a class, and a document's line once what they say of the line.
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("class").alias("class")))
-    each_class = known.groupBy("template", "class").agg(F.max("n").alias("n"), F.max("wild").alias("wild"), first.alias("first"))
+    each_class = known.groupBy("h1", "h2", "class").agg(F.max("n").alias("n"), first.alias("first")).join(named.hint("merge"), ["h1", "h2"])
+    each_class = each_class.groupBy("template", "class").agg(F.max("n").alias("n"), F.max("wild").alias("wild"), F.min("first").alias("first"))
     spread = each_class.groupBy("template").agg(F.count(F.lit(1)).alias("classes"), F.max("n").alias("n"), F.max("wild").alias("wild"), F.min("first").alias("first"))
     enough = F.when((F.col("n") >= min_tokens) & ~F.col("wild"), F.lit(min_docs)).otherwise(F.lit(everywhere))
     recurring = spread.where(F.col("classes") >= enough).select("template", F.col("first.class").alias("first_class"), (F.col("classes") >= everywhere).alias("all_of_them"))
     recurring = scratch.put(recurring, "recurring")
-    gone = known.join(recurring, "template").where(F.col("all_of_them") | (F.col("class") != F.col("first_class")))
+    said = named.join(recurring.hint("merge"), "template").groupBy("h1", "h2").agg(F.max("all_of_them").alias("all_of_them"), F.min("first_class").alias("low"), F.max("first_class").alias("high"))
+    # Some template has another first class if one end of them is another.
+    gone = known.join(said.hint("merge"), ["h1", "h2"]).where(F.col("all_of_them") | (F.col("class") != F.col("low")) | (F.col("class") != F.col("high")))
     return gone.groupBy("doc").agg(F.sort_array(F.collect_set("at")).alias("dropped"))
 
 
