@@ -404,7 +404,7 @@ def test_boilerplate_makes_no_copies(documents):
 def test_lines_meet_what_their_templates_say_once(documents, monkeypatch):
     """A line of many documents and templates is decided as one row for each document, not one for each of its templates."""
     kept, put = {}, line_dedup.Scratch.put
-    monkeypatch.setattr(line_dedup.Scratch, "put", lambda self, df, name: kept.setdefault(name, put(self, df, name)))
+    monkeypatch.setattr(line_dedup.Scratch, "put", lambda self, df, name: kept.update({name: put(self, df, name)}) or kept[name])
     rows = [(k, f"alpha beta gamma delta epsilon zeta eta theta iota\nalpha beta gamma delta epsilon zeta eta theta kappa{chr(97 + k)}\nown {chr(97 + k) * 9} text") for k in range(14)]
     gone = line_dedup.decide(documents(rows)).collect()
     assert len(gone) == 14 and all(r["dropped"] == [0, 1] for r in gone)
