@@ -19,7 +19,9 @@ across classes are dropped.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ from folioflow.llm import linking
 from folioflow.llm.common import Scratch, bounded_batches, table, text_or_empty
 from folioflow.llm.jaccard_join import shingles
 
+#: Blanks of a line besides the space, in ASCII and beyond.
+BLANKS, WIDE_BLANKS = "\t\x0b\x0c\r", "\xa0" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u3000"
 RUNS = 8
 #: Wildcards of a template of lines of ``RUNS`` tokens or more, and of shorter ones.
 VARIABLE, SHORT_VARIABLE = 2, 1
@@ -42,8 +46,10 @@ PART = 2000
 
 
 def spaced(text: Column) -> Column:
-    """The text with spaces for other blanks of a line."""
-    return F.when(text.rlike("[\\t\\x0b-\\r\\xa0\\u2000-\\u200a\\u202f\\u3000]"), F.regexp_replace(text, "[\\t\\x0b-\\r\\xa0\\u2000-\\u200a\\u202f\\u3000]", " ")).otherwise(text)
+    """The text with spaces for other blanks of a line. Each is sought by itself, which costs less than a regular expression of all."""
+    has = lambda blanks: reduce(or_, (text.contains(c) for c in blanks))
+    some = has(BLANKS) | ((F.octet_length(text) > F.length(text)) & has(WIDE_BLANKS))
+    return F.when(some, F.regexp_replace(text, f"[{BLANKS}{WIDE_BLANKS}]", " ")).otherwise(text)
 
 
 def masked(line: Column) -> Column:
@@ -51,18 +57,36 @@ def masked(line: Column) -> Column:
     return F.when(line.rlike(r"\d"), F.regexp_replace(line, r"(?<![^ ])[^ \d]*+\d[^ ]*", FIELD))
 
 
-def tokens_of(line: Column) -> Column:
-    return F.filter(F.split(line, " "), lambda t: t != "")
+def tight(line: Column) -> Column:
+    """The line's tokens with one space between them."""
+    return F.when(line.contains("  "), F.trim(F.regexp_replace(line, "  +", " "))).otherwise(F.trim(line))
 
 
-def lanes(tokens: Column, half: int) -> Column:
-    """Four of the eight runs of tokens of about equal length, as 16 bits of hash each in a long."""
-    n = F.size(tokens)
-    bound = lambda k: F.floor(n * k / RUNS).cast("int")
+def n_fields(line: Column) -> Column:
+    """How many tokens of a tight line are marks."""
+    apart = F.concat(F.lit(" "), F.replace(line, F.lit(" "), F.lit("  ")), F.lit(" "))
+    return ((F.octet_length(apart) - F.octet_length(F.replace(apart, F.lit(f" {FIELD} "), F.lit("")))) / (len(FIELD) + 2)).cast("int")
+
+
+def with_runs(lines: DataFrame, line: str) -> DataFrame:
+    """``lines`` with the eight runs of tokens of about equal length as run0 to run7, cut in halves; ``n`` is how many tokens the tight line has."""
+    bound = lambda k: (F.col("n") * k / RUNS).cast("int")
+    names, step = [line], RUNS
+    while step > 1:
+        halves, step = {}, step // 2
+        for k, name in enumerate(names):
+            low, mid, high = (bound(j * step) for j in (2 * k, 2 * k + 1, 2 * k + 2))
+            for part, tokens in ((2 * k, mid - low), (2 * k + 1, mid - high)):  # the last ones, where the number is negative
+                halves[f"run{part}of{step}"] = F.call_function("substring_index", F.col(name), F.lit(" "), tokens)
+        lines, names = lines.withColumns(halves), list(halves)
+    return lines.withColumnsRenamed({name: f"run{k}" for k, name in enumerate(names)})
+
+
+def lanes(half: int) -> Column:
+    """Four of the eight runs, as 16 bits of hash each in a long."""
     out = F.lit(0).cast("long")
     for k in range(RUNS // 2):
-        at = half * (RUNS // 2) + k
-        lane = F.hash(F.slice(tokens, bound(at) + 1, bound(at + 1) - bound(at))).bitwiseAND(0xFFFF).cast("long")
+        lane = F.hash(f"run{half * (RUNS // 2) + k}").bitwiseAND(0xFFFF).cast("long")
         out = out.bitwiseOR(F.shiftleft(lane, 16 * k))
     return out
 
@@ -165,20 +189,21 @@ def decide(
     scratch = Scratch(docs.sparkSession, "line-dedup")
     text = text_or_empty(docs[text_col])
     rows = docs.select(docs[id_col].alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("doc"), spaced(text).alias("text"))
-    each = F.transform(F.split("text", "\n"), lambda x, at: F.struct(at.alias("at"), tokens_of(x).alias("verbatim"), tokens_of(masked(x)).alias("tokens")))
-    rows = rows.select("id", "doc", F.explode(F.filter(each, lambda x: F.size(x["verbatim"]) > 0)).alias("line"))
-    fields = F.col("line.tokens")
-    n, constant = F.size("line.verbatim"), F.when(fields.isNull(), F.size("line.verbatim")).otherwise(F.size(F.filter(fields, lambda t: t != FIELD)))
-    rows = rows.select("id", "doc", "line.at", F.col("line.verbatim").alias("verbatim"), F.coalesce(fields, "line.verbatim").alias("tokens"), n.alias("n"), constant.alias("constant"))
+    # The lines are rows before anything is done to them: Spark compiles no function of an array's elements.
+    rows = rows.select("id", "doc", F.posexplode(F.split("text", "\n")).alias("at", "line")).where("trim(line) <> ''")
+    rows = rows.withColumn("line", tight(F.col("line"))).withColumn("masked", masked(F.col("line"))).withColumn("said", F.coalesce("masked", "line"))
+    rows = rows.withColumn("n", F.octet_length("said") - F.octet_length(F.replace("said", F.lit(" "), F.lit(""))) + 1)
+    rows = rows.withColumn("constant", F.when(F.col("masked").isNull(), F.col("n")).otherwise(F.col("n") - n_fields(F.col("masked"))))
     # What wildcards can take besides the fields: two runs, or a single token of a short line.
     most = F.when(F.col("n") >= RUNS, VARIABLE * F.ceil(F.col("n") / RUNS)).otherwise(SHORT_VARIABLE)
     enough = lambda left: (left >= LEAST) & (2 * left >= F.col("n"))
-    rows = rows.withColumn("free", enough(F.col("constant") - most))
+    rows = rows.withColumn("free", enough(F.col("constant") - most)).withColumn("cut", F.when(F.col("free"), F.col("said")))
+    rows = with_runs(rows, "cut")
     rows = scratch.put(
         rows.select(
-            "id", "doc", "at", F.xxhash64("verbatim").alias("h1"), F.xxhash64(F.lit(1), "verbatim").alias("h2"), "n", "free", F.hash(F.slice("tokens", 1, LEADING)).alias("lead"),
-            F.when((F.col("constant") < F.col("n")) & enough(F.col("constant")) & (3 * F.col("constant") >= 2 * F.col("n")), F.xxhash64(F.lit(-2), "tokens")).alias("mask"),
-            F.when(F.col("free"), lanes(F.col("tokens"), 0)).alias("low"), F.when(F.col("free"), lanes(F.col("tokens"), 1)).alias("high"),
+            "id", "doc", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "n", "free", F.hash(F.substring_index("said", " ", LEADING)).alias("lead"),
+            F.when((F.col("constant") < F.col("n")) & enough(F.col("constant")) & (3 * F.col("constant") >= 2 * F.col("n")), F.xxhash64(F.lit(-2), "masked")).alias("mask"),
+            F.when(F.col("free"), lanes(0)).alias("low"), F.when(F.col("free"), lanes(1)).alias("high"),
         ),
         "lines",
     )
@@ -225,10 +250,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = decide(docs, id_col=id_col, text_col=text_col, **options).select(F.col("doc").alias("doc"), "dropped")
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     text = text_or_empty(docs[text_col])
-    whole = docs.select(F.struct(*(docs[c] for c in names)).alias("row"), F.unhex(F.md5(text.cast("binary"))).alias("doc"), text.alias("text"))
+    whole = docs.select(F.struct(*(docs[c] for c in names)).alias("row"), F.unhex(F.md5(text.cast("binary"))).alias("doc"))
     # What loses lines grows with the documents, so that no size of the input has it broadcast.
     found = whole.join(gone.hint("merge"), "doc", "left")
-    lines = F.split("text", "\n")
+    lines = F.split(text_or_empty(F.col(f"row.`{text_col}`")), "\n")  # the row's own text: it moves once
     left = F.filter(lines, lambda x, at: ~F.array_contains(F.col("dropped"), at))
     cleaned = F.when(F.col("dropped").isNull(), F.col(f"row.`{text_col}`")).otherwise(F.array_join(left, "\n"))
     n_dropped = F.coalesce(F.size("dropped"), F.lit(0))

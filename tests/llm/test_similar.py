@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from itertools import combinations
 
 import numpy as np
@@ -409,3 +410,27 @@ def test_lines_meet_what_their_templates_say_once(documents, monkeypatch):
     gone = line_dedup.decide(documents(rows)).collect()
     assert len(gone) == 14 and all(r["dropped"] == [0, 1] for r in gone)
     assert kept["held"].count() > 28 and kept["known"].count() == 28
+
+
+def test_lines_are_told_apart_by_compiled_code(documents, monkeypatch):
+    """No function of an array's elements, which Spark runs without compiling it, sees the lines, and a document moves with its text once."""
+    plans, put = {}, line_dedup.Scratch.put
+    monkeypatch.setattr(line_dedup.Scratch, "put", lambda self, df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or put(self, df, name))
+    whole = line_dedup.line_dedup(documents([(1, "one line of some words\nand another"), (2, "third")]))
+    assert "Generate posexplode" in plans["lines"] and "lambda" not in plans["lines"]
+    moved = next(x for x in whole._jdf.queryExecution().optimizedPlan().toString().split("\n") if "struct(doc_id" in x)
+    assert len(re.findall(r"AS (?!row)\w+#", moved)) == 1  # the digest, by which it moves
+
+
+def test_blanks_and_marks_of_a_line(documents):
+    """Lines are the same whatever blanks part their tokens; a mark of a field in the text is a token."""
+    blanks = ["\t", "\x0b", "\x0c", "\r", "\xa0", "\u2000", "\u2005", "\u200a", "\u202f", "\u3000", "  "]
+    said = "these words stand here in the same order \xe9t\xe9 \u65e5\u672c".split()
+    rows = [(k, f"{b}{b.join(said)} {b}\n{words(f'o{k}', 12)}") for k, b in enumerate(blanks)]
+    other = ["\u200b", "\u1680", "\x85", "\u2028"]  # these part no tokens
+    rows += [(20 + k, f"{b.join(said)}\n{words(f'p{k}', 12)}") for k, b in enumerate(other)]
+    got = cleaned(documents, rows)
+    assert all(got[k]["text"] == words(f"o{k}", 12) for k in range(len(blanks)))
+    assert all(got[20 + k]["n_dropped"] == 0 for k in range(len(other)))
+    marks = [(k, f"said <*> of <*> as a<*> {k} times in {k} rows <*>\n{words(f'q{k}', 12)}") for k in range(12)]  # with the text's own marks five of twelve tokens are fields: no template
+    assert all(r["n_dropped"] == 0 for r in cleaned(documents, marks).values())
